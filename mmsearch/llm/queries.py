@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import ngram_join, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,5 +36,33 @@ WITH RECURSIVE split AS (
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.y) AS component_id FROM sets s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.s
 """
 
-QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
-ORACLE = {"op2_ngram_jaccard_join": ORACLE_2}
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), width=13, keep_text=False)
+
+
+ORACLE_8 = f"""
+WITH split AS (
+  SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS t
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM split)
+), firsts AS (
+  SELECT t, min(doc_id) AS first FROM windows GROUP BY t
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM windows JOIN firsts USING (t) WHERE first < doc_id
+), removed AS (
+  SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN ks IS NULL THEN w
+    ELSE list_transform(list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(ks, k)), lambda k: w[k]) END, ' ')) AS kept_sha256
+FROM split s LEFT JOIN removed r ON r.doc_id = s.doc_id
+"""
+
+QUERIES = {
+    "op8_substring_dedup": op8_substring_dedup,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join}
+ORACLE = {
+    "op8_substring_dedup": ORACLE_8,
+    "op2_ngram_jaccard_join": ORACLE_2}
