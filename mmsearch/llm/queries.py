@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, substring_dedup
+from . import fertility, ngram_join, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +61,20 @@ SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS
 FROM split s LEFT JOIN removed r ON r.doc_id = s.doc_id
 """
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+
+def op5_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return fertility.quality(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+
 QUERIES = {
+    "op5_tokeniser_fertility": op5_tokeniser_fertility,
+    "op9_token_counts": op9_token_counts,
     "op8_substring_dedup": op8_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join}
 ORACLE = {
