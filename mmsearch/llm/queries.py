@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, ngram_join, substring_dedup, token_counts
+from . import fertility, mixing, ngram_join, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,11 +72,42 @@ def op5_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3, seed=17)
+
+
+#: Water level by recursion: each round caps the sources above their share and shares the rest again.
+ORACLE_10 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len({WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS w FROM d GROUP BY source
+), rounds AS (
+  SELECT 0 AS k, source, source_size, w, false AS capped FROM s
+  UNION ALL
+  SELECT k + 1, source, source_size, w, capped OR 3 * source_size <= w * (sum(source_size) OVER () - sum(CASE WHEN capped THEN 3 * source_size ELSE 0 END) OVER ()) / sum(CASE WHEN capped THEN 0 ELSE w END) OVER ()
+  FROM rounds WHERE k < (SELECT count(*) FROM s)
+), t AS (
+  SELECT source, source_size, CASE WHEN capped THEN CAST(3 * source_size AS DOUBLE)
+    ELSE w * ((sum(source_size) OVER () - sum(CASE WHEN capped THEN 3 * source_size ELSE 0 END) OVER ()) / sum(CASE WHEN capped THEN 0 ELSE w END) OVER ()) END AS target
+  FROM rounds WHERE k = (SELECT count(*) FROM s)
+), r AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+    CAST(('0x' || substr(md5('17:' || d.doc_id), 1, 8)) AS BIGINT) / 4294967296.0 AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM r
+"""
+
+
+
 QUERIES = {
+    "op10_mix_sources": op10_mix_sources,
     "op5_tokeniser_fertility": op5_tokeniser_fertility,
     "op9_token_counts": op9_token_counts,
     "op8_substring_dedup": op8_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join}
 ORACLE = {
+    "op10_mix_sources": ORACLE_10,
     "op8_substring_dedup": ORACLE_8,
     "op2_ngram_jaccard_join": ORACLE_2}
