@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, mixing, ngram_join, substring_dedup, token_counts
+from . import fertility, hash_ring, mixing, ngram_join, substring_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,13 +101,46 @@ SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN u < rate
 
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.deduplicate(_table(spark, sf_dir, "pages"), least_bytes=0)
+
+
+_DIGITS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((v{k} >> {s}) & 31 AS INT), 1)" for k in range(8) for s in (15, 10, 5, 0)
+)
+ORACLE_3 = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), h AS (
+  SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha1(body) AS x FROM p
+), v AS (
+  SELECT *, {", ".join(f"CAST('0x' || substr(x, {1 + 5 * k}, 5) AS BIGINT) AS v{k}" for k in range(8))} FROM h
+), d AS (
+  SELECT page_id, payload_bytes, {_DIGITS} AS payload_digest FROM v
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS answer FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN answer = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN answer <> page_id THEN answer END AS refers_to, CASE WHEN answer = page_id THEN payload_bytes ELSE 0 END AS stored_bytes FROM m
+"""
+
+
+
+def op4_hash_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_ring.shard(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16).drop("text")
+
+
+
 QUERIES = {
+    "op4_hash_ring_shards": op4_hash_ring_shards,
+    "op3_warc_revisits": op3_warc_revisits,
     "op10_mix_sources": op10_mix_sources,
     "op5_tokeniser_fertility": op5_tokeniser_fertility,
     "op9_token_counts": op9_token_counts,
     "op8_substring_dedup": op8_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join}
 ORACLE = {
+    "op3_warc_revisits": ORACLE_3,
     "op10_mix_sources": ORACLE_10,
     "op8_substring_dedup": ORACLE_8,
     "op2_ngram_jaccard_join": ORACLE_2}
