@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, hash_ring, mixing, ngram_join, substring_dedup, token_counts, warc
+from . import fertility, hash_ring, mixing, ngram_join, substring_dedup, token_counts, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,7 +131,16 @@ def op4_hash_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+URL_RULES = [url_filter.Rule("net/", "block"), url_filter.Rule("example.net/en/", "allow"), url_filter.Rule("example.com/de/", "block"), url_filter.Rule("org/fr/", "allow")]
+
+
+def op7_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+
 QUERIES = {
+    "op7_url_trees": op7_url_trees,
     "op4_hash_ring_shards": op4_hash_ring_shards,
     "op3_warc_revisits": op3_warc_revisits,
     "op10_mix_sources": op10_mix_sources,
