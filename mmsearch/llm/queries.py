@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, hash_ring, mixing, ngram_join, substring_dedup, token_counts, url_filter, warc
+from . import decontaminate, fertility, hash_ring, mixing, ngram_join, substring_dedup, token_counts, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,7 +139,13 @@ def op7_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+
 QUERIES = {
+    "op6_template_decontamination": op6_template_decontamination,
     "op7_url_trees": op7_url_trees,
     "op4_hash_ring_shards": op4_hash_ring_shards,
     "op3_warc_revisits": op3_warc_revisits,
