@@ -1,2 +1,57 @@
+"""From raw documents to sharded training data, stage by stage.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame;
+``run`` writes each stage's result to the shared folder and reads it again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from mmsearch.llm import decontaminate, fertility, hash_ring, mixing, ngram_join
+from mmsearch.llm.store import materialize
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or lie outside their language's fertility band go."""
+    return fertility.keep_good(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by 5-word shingles at Jaccard 0.8 or more, the smallest doc_id stays."""
+    return ngram_join.drop_near_duplicates(docs, n=5, num=80, den=100)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, re-parameterised or not, go."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as their source's rate says, so a document may come up to three times or not at all."""
+    return mixing.mix(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """16 shards of near equal bytes; adds size, text_crc32, law, shard, slot and grown_shard."""
+    return hash_ring.shard(docs, shards=16)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("source_mix", source_mix),
+    ("sharding", sharding),
+]
+
+#: Tokenisation and the ring have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return docs

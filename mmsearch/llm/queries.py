@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fertility, hash_ring, mixing, ngram_join, substring_dedup, token_counts, url_filter, warc
+from . import decontaminate, fertility, hash_ring, mixing, ngram_join, quotations, substring_dedup, token_counts, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,7 +144,43 @@ def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.reply_order(_table(spark, sf_dir, "conversations"))
+
+
+ORACLE_1 = r"""
+WITH lines AS (
+  SELECT conv_id, turn, k, line, len(replace(regexp_extract(line, '^((?:[ \t]*>)*)', 1), ' ', '')) - len(replace(replace(regexp_extract(line, '^((?:[ \t]*>)*)', 1), ' ', ''), '>', '')) AS level,
+    trim(regexp_replace(lower(regexp_replace(line, '^(?:[ \t]*>)+', '')), '[ \t-\r]+', ' ', 'g')) AS bare
+  FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(coalesce(text, ''), '\r?\n')) AS line, unnest(range(1, 1 + len(regexp_split_to_array(coalesce(text, ''), '\r?\n')))) AS k FROM conversations)
+), per_message AS (
+  SELECT conv_id, turn, max(level) AS quote_level, count(*) FILTER (level > 0 AND bare <> '') AS quoted_lines FROM lines GROUP BY conv_id, turn
+), kept AS (
+  SELECT conv_id, turn, k, line FROM (SELECT *, lead(level) OVER (PARTITION BY conv_id, turn ORDER BY k) AS next FROM lines) WHERE level = 0 AND NOT (regexp_matches(line, 'wrote:[ \t]*$') AND coalesce(next, 0) > 0)
+), bodies AS (
+  SELECT conv_id, turn, trim(string_agg(line, chr(10) ORDER BY k), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM kept GROUP BY conv_id, turn
+), links AS (
+  SELECT q.conv_id, q.turn, q.level, max(o.turn) AS source FROM lines q JOIN lines o ON o.conv_id = q.conv_id AND o.bare = q.bare AND o.level = 0 AND o.turn < q.turn
+  WHERE q.level > 0 AND q.bare <> '' GROUP BY q.conv_id, q.turn, q.level, q.k
+), votes AS (
+  SELECT conv_id, turn, level, source, count(*) AS n FROM links GROUP BY ALL
+), parents AS (
+  SELECT conv_id, turn, arg_max(source, (-level, n, source)) AS parent, sum(n) AS linked_lines FROM votes GROUP BY conv_id, turn
+), m AS (
+  SELECT c.conv_id, c.turn, c.role, lag(c.turn) OVER w AS previous, row_number() OVER w AS r, p.parent, p.linked_lines
+  FROM conversations c LEFT JOIN parents p USING (conv_id, turn) WINDOW w AS (PARTITION BY c.conv_id ORDER BY c.turn)
+), s AS (
+  SELECT *, max(CASE WHEN previous IS NULL OR parent <> previous THEN r END) OVER (PARTITION BY conv_id ORDER BY turn) AS start FROM m
+)
+SELECT s.conv_id, s.turn, s.role, CAST(i.quote_level AS BIGINT) AS quote_level, CAST(i.quoted_lines AS BIGINT) AS quoted_lines, CAST(coalesce(s.linked_lines, 0) AS BIGINT) AS linked_lines,
+  coalesce(s.parent, s.previous) AS reply_to, b.turn AS branch, b.parent AS branch_parent, CAST(s.r - s.start AS BIGINT) AS position, coalesce(t.body, '') AS text
+FROM s JOIN per_message i USING (conv_id, turn) JOIN s b ON b.conv_id = s.conv_id AND b.r = s.start LEFT JOIN bodies t ON t.conv_id = s.conv_id AND t.turn = s.turn
+"""
+
+
+
 QUERIES = {
+    "op1_quotation_links": op1_quotation_links,
     "op6_template_decontamination": op6_template_decontamination,
     "op7_url_trees": op7_url_trees,
     "op4_hash_ring_shards": op4_hash_ring_shards,
@@ -155,6 +191,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join}
 ORACLE = {
+    "op1_quotation_links": ORACLE_1,
     "op3_warc_revisits": ORACLE_3,
     "op10_mix_sources": ORACLE_10,
     "op8_substring_dedup": ORACLE_8,
