@@ -1,0 +1,93 @@
+import random
+
+import numpy as np
+import pytest
+
+from mmsearch.llm.components import components
+from mmsearch.llm.jaccard_tree import Forest, bitmap
+from mmsearch.llm.ngram_join import drop_near_duplicates, jaccard_components
+
+
+def brute(rows, n, num, den):
+    def shingles(t):
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
+        return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+
+    sets = [(i, shingles(t)) for i, t in rows]
+    parent = {i: i for i, _ in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if a and b and den * len(a & b) >= num * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return sorted((i, len(s), find(i)) for i, s in sets)
+
+
+def texts(rng, groups=12):
+    vocab = [f"w{k}" for k in range(60)]
+    common = [f"common{k}" for k in range(30)]
+    rows, i = [], 0
+    for _ in range(groups):
+        base = [rng.choice(vocab) for _ in range(rng.randint(1, 90))]
+        for _ in range(rng.randint(1, 7)):
+            own = list(base)
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = rng.choice(vocab)
+            if rng.random() < 0.3:
+                own = own + common
+            rows.append((i, " ".join(own)))
+            i += 1
+    return rows
+
+
+@pytest.mark.parametrize(("n", "num", "group"), [(4, 85, 4096), (5, 80, 4096), (3, 60, 3)])
+def test_components_match_brute_force(spark, n, num, group):
+    rows = texts(random.Random(n)) + [(900, None), (901, ""), (902, "Tab\tTAB"), (903, "tab TAB"), (904, " \n")]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n, num, 100, group=group).collect()
+    assert sorted(map(tuple, got)) == brute(rows, n, num, 100)
+
+
+def test_edge_rows(spark):
+    text = " ".join(f"word{k}" for k in range(3000))
+    rows = [(5, text, 1, 2), (3, text + " more", 1, 2), (3, text + " more", 1, 2), (None, text, 1, 2), (8, None, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long, component long")
+    got = sorted(map(tuple, jaccard_components(docs).collect()), key=str)
+    assert got == sorted([(3, 2997, 3), (3, 2997, 3), (5, 2996, 3), (None, 2996, None), (8, 0, 8)], key=str)
+    kept = drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id) for r in kept.collect())) == ["3", "8", "None"]
+    empty = docs.filter("doc_id > 100")
+    assert jaccard_components(empty).count() == 0 and drop_near_duplicates(empty).count() == 0
+
+
+def test_trees_lose_no_link():
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 2**62, rng.integers(1, 200)).astype(np.uint64)
+        for _ in range(rng.integers(1, 8)):
+            own = base.copy()
+            own[rng.integers(0, len(own), max(1, len(own) // 20))] = rng.integers(0, 2**62)
+            sets.append(np.unique(own))
+    found = {tuple(sorted(p)) for i, j in Forest([bitmap(s) for s in sets], np.array([len(s) for s in sets])).pairs(85, 100) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    links = set()
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common):
+                links.add((j, i))
+    assert links and links <= found
+    assert len(found) < len(sets) * (len(sets) - 1) / 4
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
