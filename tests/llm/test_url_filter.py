@@ -1,0 +1,70 @@
+import math
+import random
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from mmsearch.llm import url_filter as uf
+
+RULES = [uf.Rule("net/", "block"), uf.Rule("example.net/en/", "allow"), uf.Rule("example.com/de/", "block"), uf.Rule("org/fr/", "allow")]
+
+
+def host_path(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = rest
+    for c in "/?#":
+        host = host.split(c, 1)[0]
+    path = rest[len(host) :].split("?", 1)[0].split("#", 1)[0]
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), path
+
+
+def rule(host, path):
+    fits = [r.pattern for r in RULES if (host == r.pattern.partition("/")[0] or host.endswith("." + r.pattern.partition("/")[0])) and path.startswith("/" + r.pattern.partition("/")[2])]
+    return max(fits, key=len) if fits else None
+
+
+URLS = [
+    None, "", "no scheme", "http://", "http://net", "http://net/", "https://A.Example.NET/en/x?y#z", "https://example.net/EN/x", "http://xexample.net/en/", "http://a.example.com/de/?q", "http://a.example.com/de", "x://b.org/fr/://c.net/",
+    "ftp://É.org/fr/", "http://h.org?u=http://example.net/en/", "http://h.net#/en/", "http://line.net\n/x", "//example.net/en/", "http://example.com/de/" + "a" * 5000,
+]
+
+
+def test_hosts_paths_and_rules(spark):
+    rows = [(k, u, "x", 1.0) for k, u in enumerate(URLS)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, score double")
+    got = {r.page_id: r for r in uf.judge(pages, RULES).collect()}
+    assert len(got) == len(rows)
+    for k, u in enumerate(URLS):
+        h, p = host_path(u)
+        assert (got[k].host, got[k].path, got[k].rule) == (h, p, rule(h, p)), u
+        assert got[k].verdict in ("allow", "block")
+        if got[k].rule:
+            assert got[k].verdict == next(r.verdict for r in RULES if r.pattern == got[k].rule)
+    assert uf.judge(pages.filter("page_id > 99"), RULES).count() == 0
+    assert {r.verdict for r in uf.judge(pages, []).collect()} == {"allow"}
+
+
+def test_entropy(spark):
+    rows = [("",), ("aaaa",), ("abcd1234//",), ("éé日x",)]
+    got = spark.createDataFrame(rows, "u string").select("u", uf.entropy(F.col("u")).alias("e")).collect()
+    for r in got:
+        plain = "".join(c if " " <= c <= "~" else "\x7f" for c in r.u)
+        counts = Counter(plain).values()
+        assert abs(r.e + sum(c / len(plain) * math.log2(c / len(plain)) for c in counts)) < 1e-9
+
+
+def test_held_out_accuracy(spark):
+    rng = random.Random(6)
+
+    def url(bad):
+        if bad:
+            host = "-".join(rng.choice(["cheap", "win", "free", "bet"]) for _ in range(3)) + str(rng.randrange(1000)) + rng.choice([".biz", ".com"])
+            return f"http://{host}/{rng.randrange(10**6)}?a={rng.randrange(99)}&b={rng.randrange(99)}"
+        return f"https://{rng.choice(['news', 'wiki', 'docs'])}.{rng.choice(['site', 'page'])}{rng.choice(['.org', '.com'])}/{rng.choice(['about', 'story'])}/{rng.choice(['a', 'b'])}"
+
+    rows = [(url(k % 2), float(k % 2)) for k in range(1200)]
+    model = uf.train(spark.createDataFrame(rows[:800], "url string, label double"), sample=600)
+    scored = model.score(spark.createDataFrame(rows[800:], "url string, label double")).collect()
+    assert sum((r["__score"] > 0.5) == (r.label > 0.5) for r in scored) > 0.95 * len(scored)
