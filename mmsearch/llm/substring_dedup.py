@@ -8,8 +8,9 @@ rolling block of every text is a probe:
     just the bits that keep false hits under 1 in 256 probes for the size of the corpus; a false hit
     costs work in step 3 and changes no result.
  2. per bucket, a probe hits if an index block of another text has its hash and the smaller doc_id, an
-    index block hits if a text with a larger doc_id probes it. Hits go back to their texts. Hot blocks
-    need no pairs: a group needs its least indexing and its largest probing doc_id alone.
+    index block hits if a text with a larger doc_id probes it. Hits go back to the lots of their texts (lots
+    are dealt by doc_id and hold about 8 MB of text). Hot blocks need no pairs: a group needs its least
+    indexing and its largest probing doc_id alone.
  3. hits are extended: the windows that reach over a hit are hashed whole (64 bits) and the least doc_id
     in which each starts is found. Runs of such windows are the maximal exact repeats.
  4. words under a window that starts in a smaller doc_id go.
@@ -30,67 +31,79 @@ from .text import CHUNK_BYTES, Words, chunks, pack, planes, splitmix, unpack, un
 _U = np.uint64
 
 
-def _deal(hashes: np.ndarray, docs: np.ndarray, flags: np.ndarray, buckets: int) -> pa.RecordBatch | None:
-    """Rows (bucket, hashes, docs, flags) of distinct (hash, doc), each bucket sorted by hash."""
-    if not len(hashes):
-        return None
-    by = np.lexsort((docs, hashes))
-    h, d, f = hashes[by], docs[by], flags[by]
-    head = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-    at = np.flatnonzero(head)
-    h, d, f = h[at], d[at], np.maximum.reduceat(f, at)
-    bucket = (splitmix(h) % _U(buckets)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
-    h, d, f, bucket = h[by], d[by], f[by], bucket[by]
-    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+def _lot(docs: np.ndarray, lots: int) -> np.ndarray:
+    """The lot of each doc_id; ``_lot_column`` is the same in Spark."""
+    d = docs.view(_U)
+    return np.mod((d ^ (d >> _U(13)) ^ (d >> _U(29))).view(np.int64), lots)
+
+
+def _lot_column(lots: int):
+    d = F.col("doc_id")
+    return F.pmod(d.bitwiseXOR(F.shiftrightunsigned(d, 13)).bitwiseXOR(F.shiftrightunsigned(d, 29)), F.lit(lots).cast("long"))
+
+
+def _deal(hashes: np.ndarray, docs: np.ndarray, flags: np.ndarray, part_of) -> pa.Table:
+    """Rows (part, hashes, docs, codes) of distinct (hash, doc), each part sorted by hash; part_of(hashes, docs) says where they go."""
     cols: list[list] = [[], [], [], []]
-    for a, b in zip(cut, [*cut[1:], len(h)], strict=True):
-        own, place = np.unique(d[a:b], return_inverse=True)
-        code = place.astype(np.uint32) * np.uint32(2) + f[a:b].astype(np.uint32)
-        for c, x in zip(cols, (bucket[a], pack(h[a:b]), pack(own.view(_U)), planes(code)), strict=True):
-            c.append(x)
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "hashes", "docs", "codes"])
+    if len(hashes):
+        part = part_of(hashes, docs)
+        by = np.lexsort((docs, hashes, part))
+        h, d, f, part = hashes[by], docs[by], flags[by], part[by]
+        at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])]))
+        h, d, f, part = h[at], d[at], np.maximum.reduceat(f, at), part[at]
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        for a, b in zip(cut, [*cut[1:], len(h)], strict=True):
+            own, place = np.unique(d[a:b], return_inverse=True)
+            code = place.astype(np.uint32) * np.uint32(2) + f[a:b].astype(np.uint32)
+            for c, x in zip(cols, (part[a], pack(h[a:b]), pack(own.view(_U)), planes(code)), strict=True):
+                c.append(x)
+    return pa.table([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "hashes", "docs", "codes"])
 
 
-DEALT = "bucket long, hashes binary, docs binary, codes binary"
+DEALT = "part long, hashes binary, docs binary, codes binary"
 
 
 def _dealt(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h, d, f = [], [], []
+    """(hash, doc, flag), in no order."""
+    h, d, f = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     for row in zip(*(table.column(c).to_pylist() for c in ("hashes", "docs", "codes")), strict=True):
         code = unplanes(row[2], np.uint32)
         h.append(unpack(row[0]))
         d.append(unpack(row[1]).view(np.int64)[code >> 1])
         f.append((code & 1).astype(bool))
-    h, d, f = map(np.concatenate, (h, d, f))
+    return np.concatenate(h), np.concatenate(d), np.concatenate(f)
+
+
+def _groups(table: pa.Table):
+    """(hash, doc, flag) sorted by hash, and where each hash begins."""
+    h, d, f = _dealt(table)
     by = np.argsort(h, kind="stable")
-    return h[by], d[by], f[by]
+    h, d, f = h[by], d[by], f[by]
+    return h, d, f, np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
 
 
-def _answer(h: np.ndarray, d: np.ndarray) -> pa.Table:
-    """Rows (doc_id, packed hashes)."""
-    by = np.lexsort((h, d))
-    h, d = h[by], d[by]
-    cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else []
-    return pa.table({"doc_id": pa.array(d[cut] if len(d) else [], pa.int64()), "found": pa.array([pack(h[a:b]) for a, b in zip(cut, [*cut[1:], len(h)], strict=True)] if len(d) else [], pa.binary())})
+def _anchor_hits(lots: int):
+    def run(table: pa.Table) -> pa.Table:
+        h, d, indexed, at = _groups(table)
+        size = np.diff(np.append(at, len(h)))
+        least = np.repeat(np.minimum.reduceat(np.where(indexed, d, np.iinfo(np.int64).max), at), size)
+        hit = (d > least) | (indexed & (d < np.repeat(np.maximum.reduceat(d, at), size)))
+        return _deal(h[hit], d[hit], indexed[hit], lambda _, d: _lot(d, lots))
 
+    return run
 
-def _anchor_hits(table: pa.Table) -> pa.Table:
-    h, d, indexed = _dealt(table)
-    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(h))))
-    big = np.iinfo(np.int64).max
-    least = np.minimum.reduceat(np.where(indexed, d, big), at)[group]
-    most = np.maximum.reduceat(d, at)[group]
-    hit = (d > least) | (indexed & (d < most))
-    return _answer(h[hit], d[hit])
 
+def _later_windows(lots: int):
+    def run(table: pa.Table) -> pa.Table:
+        h, d, f, at = _groups(table)
+        later = d > np.repeat(np.minimum.reduceat(d, at), np.diff(np.append(at, len(h))))
+        return _deal(h[later], d[later], f[later], lambda _, d: _lot(d, lots))
 
-def _later_windows(table: pa.Table) -> pa.Table:
-    h, d, _ = _dealt(table)
-    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    later = d > np.repeat(np.minimum.reduceat(d, at), np.diff(np.append(at, len(h))))
-    return _answer(h[later], d[later])
+    return run
+
+
+def _by_hash(buckets: int):
+    return lambda h, _: (splitmix(h) % _U(buckets)).astype(np.int64)
 
 
 def _requests(block: int, bits: int, buckets: int):
@@ -103,74 +116,82 @@ def _requests(block: int, bits: int, buckets: int):
                 w = Words(raw, at)
                 h, start = w.grams(block)
                 row = w.row[start]
-                out = _deal(h >> _U(64 - bits), ids[a:b][row], (start - w.first[row]) % block == 0, buckets)
-                if out is not None:
-                    yield out
+                yield from _deal(h >> _U(64 - bits), ids[a:b][row], (start - w.first[row]) % block == 0, _by_hash(buckets)).to_batches()
 
     return run
 
 
-def _member(row: np.ndarray, h: np.ndarray, found: list) -> np.ndarray:
-    """For each (row, hash) whether found[row], a list of packed arrays or None, has the hash."""
-    sets = [np.concatenate([unpack(x) for x in f]) if f else np.zeros(0, _U) for f in found]
-    with np.errstate(over="ignore"):
-        salt = splitmix(np.arange(len(sets), dtype=_U))
-        have = np.sort(np.concatenate([splitmix(s ^ salt[k]) for k, s in enumerate(sets)])) if sets else np.zeros(0, _U)
-        if not len(have) or not len(h):
+class _Found:
+    """Membership of (doc_id, hash) in what was sent back to a lot."""
+
+    def __init__(self, table: pa.Table):
+        h, d, _ = _dealt(table)
+        self.have = np.sort(splitmix(h ^ splitmix(d.view(_U))))
+
+    def __call__(self, docs: np.ndarray, h: np.ndarray) -> np.ndarray:
+        if not len(self.have) or not len(h):
             return np.zeros(len(h), bool)
-        want = splitmix(h ^ salt[row])
-    place = np.minimum(np.searchsorted(have, want), len(have) - 1)
-    return have[place] == want
+        want = splitmix(h ^ splitmix(docs.view(_U)))
+        return self.have[np.minimum(np.searchsorted(self.have, want), len(self.have) - 1)] == want
+
+
+def _texts(table: pa.Table, limit: int = CHUNK_BYTES):
+    """(doc_ids, words, bytes, offsets) of the chunks of a lot."""
+    for batch in table.combine_chunks().to_batches():
+        for a, b, raw, at in chunks(batch, limit=limit):
+            yield batch.column("doc_id").slice(a, b - a), Words(raw, at), raw, at
 
 
 def _extend(block: int, width: int, bits: int, buckets: int):
     """Whole windows that reach over a hit, dealt out by their full hash."""
 
-    def run(batches):
-        for batch in batches:
-            ids, found = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("found").to_pylist()
-            for a, b, raw, at in chunks(batch, limit=4 * CHUNK_BYTES):
-                w = Words(raw, at)
-                h, start = w.grams(block)
-                hit = np.zeros(len(w.hash) + 1, np.int64)
-                hit[start[_member(w.row[start], h >> _U(64 - bits), found[a:b])]] = 1
-                before = np.concatenate([[0], np.cumsum(hit)])
-                h, start = w.grams(width)
-                near = before[start + width - block + 1] > before[start]
-                h, start = h[near], start[near]
-                out = _deal(h, ids[a:b][w.row[start]], np.zeros(len(h), bool), buckets)
-                if out is not None:
-                    yield out
+    def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
+        out = [_deal(np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, bool), _by_hash(buckets))]
+        found = _Found(hits)
+        for ids, w, _, _ in _texts(docs, 4 * CHUNK_BYTES) if hits.num_rows else ():
+            ids = ids.to_numpy(zero_copy_only=False)
+            h, start = w.grams(block)
+            hit = np.zeros(len(w.hash) + 1, np.int64)
+            hit[start[found(ids[w.row[start]], h >> _U(64 - bits))]] = 1
+            before = np.concatenate([[0], np.cumsum(hit)])
+            h, start = w.grams(width)
+            near = before[start + width - block + 1] > before[start]
+            h, start = h[near], start[near]
+            out.append(_deal(h, ids[w.row[start]], np.zeros(len(h), bool), _by_hash(buckets)))
+        return pa.concat_tables(out)
 
     return run
 
 
 def _remove(width: int, keep_text: bool):
-    def run(batches):
-        for batch in batches:
-            found = batch.column("found").to_pylist()
-            for a, b, raw, at in chunks(batch):
-                w = Words(raw, at)
-                h, start = w.grams(width)
-                covered = np.zeros(len(w.hash) + 1, np.int64)
-                hit = start[_member(w.row[start], h, found[a:b])]
-                np.add.at(covered, hit, 1)
-                np.add.at(covered, hit + width, -1)
-                gone = np.cumsum(covered[:-1]) > 0
-                removed, digest, texts = [], [], []
-                body = raw.tobytes()
-                for r in range(b - a):
-                    lo, hi = w.first[r], w.first[r + 1]
-                    words, out = body[at[r] : at[r + 1]].split(), gone[lo:hi]
-                    removed.append(int(out.sum()))
-                    kept = b" ".join(words if not removed[-1] else [x for x, o in zip(words, out, strict=True) if not o])
-                    digest.append(hashlib.sha256(kept).hexdigest())
-                    texts.append(kept.decode())
-                cols = [batch.column("doc_id").slice(a, b - a), pa.array(w.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
-                names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
+
+    def run(docs: pa.Table, later: pa.Table) -> pa.Table:
+        found = _Found(later)
+        out: list[list] = [[] for _ in names]
+        for ids, w, raw, at in _texts(docs):
+            h, start = w.grams(width)
+            hit = start[found(ids.to_numpy(zero_copy_only=False)[w.row[start]], h)] if later.num_rows else start[:0]
+            covered = np.zeros(len(w.hash) + width + 1, np.int64)
+            covered[hit] += 1
+            covered[hit + width] -= 1
+            gone = np.cumsum(covered)[: len(w.hash)] > 0
+            total = np.concatenate([[0], np.cumsum(gone)])
+            removed = total[w.first[1:]] - total[w.first[:-1]]
+            body = raw.tobytes()
+            digests, texts = [], []
+            for r in range(w.rows):
+                words = body[at[r] : at[r + 1]].split()
+                if removed[r]:
+                    words = [x for x, o in zip(words, gone[w.first[r] : w.first[r + 1]].tolist(), strict=True) if not o]
+                kept = b" ".join(words)
+                digests.append(hashlib.sha256(kept).hexdigest())
                 if keep_text:
-                    cols, names = [*cols, pa.array(texts, pa.string())], [*names, "kept_text"]
-                yield pa.RecordBatch.from_arrays(cols, names)
+                    texts.append(kept.decode())
+            for c, x in zip(out, (ids, pa.array(w.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())), strict=False):
+                c.append(x)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        return pa.table([pa.chunked_array(c, t) for c, t in zip(out, types, strict=False)], names)
 
     return run
 
@@ -194,16 +215,22 @@ def remove_repeats(docs: DataFrame, width: int = 13, block: int | None = None, k
     known, rest = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
     chars = known.agg(F.sum(F.length("text"))).first()[0] or 1
     bits = min(64, max(16, math.ceil(math.log2(chars / 4 / block)) + 8))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / 8_000_000))
-    found = "doc_id long, found binary"
+    lots = buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / 8_000_000))
+    by_lot = known.withColumn("part", _lot_column(lots))
 
-    def gather(hits: DataFrame) -> DataFrame:
-        return hits.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
+    def with_lot(answers: DataFrame, work, schema: str) -> DataFrame:
+        return by_lot.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(work, schema)
 
     probes = known.mapInArrow(_requests(block, bits, buckets), DEALT)
-    hits = gather(probes.groupBy("bucket").applyInArrow(_anchor_hits, found))
-    windows = known.join(hits, "doc_id").mapInArrow(_extend(block, width, bits, buckets), DEALT)
-    later = gather(windows.groupBy("bucket").applyInArrow(_later_windows, found))
+    hits = probes.groupBy("part").applyInArrow(_anchor_hits(lots), DEALT)
+    windows = with_lot(hits, _extend(block, width, bits, buckets), DEALT)
+    later = windows.groupBy("part").applyInArrow(_later_windows(lots), DEALT)
+    remove = _remove(width, keep_text)
     result = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    out = known.join(later, "doc_id", "left").mapInArrow(_remove(width, keep_text), result)
-    return out.unionByName(rest.withColumn("found", F.lit(None).cast("array<binary>")).mapInArrow(_remove(width, keep_text), result))
+    nothing = pa.table({"hashes": [], "docs": [], "codes": []})
+
+    def alone(batches):
+        for batch in batches:
+            yield from remove(pa.Table.from_batches([batch]), nothing).to_batches()
+
+    return with_lot(later, remove, result).unionByName(rest.mapInArrow(alone, result))
