@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import creator_of, strip
 from . import schemas
 
-CSV = {"header": True, "multiLine": True, "escape": '"', "quoteAll": True, "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+CSV = {"header": True, "multiLine": True, "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -38,7 +38,8 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_transcriptions(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, schemas.TRANSCRIPTIONS)
+    """A blank cell is an empty text."""
+    return read_csv(spark, path, schemas.TRANSCRIPTIONS).withColumn("transcription", F.coalesce("transcription", F.lit("")))
 
 
 def read_creators(spark: SparkSession, path: str) -> DataFrame:
