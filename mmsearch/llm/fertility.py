@@ -30,10 +30,11 @@ class Band:
     min_tokens: int = 50
 
 
-LATIN = Band((1.2, 8.0), 0.15, 0.35)
+#: Text in a Latin-script language has well over two characters a token of a 50k multilingual vocabulary; strings of symbols don't.
+LATIN = Band((2.0, 8.0), 0.15, 0.35)
 #: By language code, then by script of most letters, then "": anything else.
 BANDS = {
-    "en": Band((1.5, 8.0), 0.10, 0.35), "de": LATIN, "fr": LATIN, "es": LATIN,
+    "en": Band((2.0, 8.0), 0.10, 0.35), "de": LATIN, "fr": LATIN, "es": LATIN,
     "latin": LATIN, "cyrillic": Band((0.6, 6.0), 0.6, 0.35), "greek": Band((0.5, 6.0), 0.8, 0.35),
     "arabic": Band((0.5, 6.0), 0.8, 0.35), "cjk": Band((0.25, 3.0), 1.0, 0.3), "": Band((0.25, 10.0), 1.0, 0.3),
 }
