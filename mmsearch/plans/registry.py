@@ -86,7 +86,7 @@ def _(t: Inputs) -> DataFrame:
     return t.spark.read.schema(schemas.INTERACTIONS).parquet(path).groupBy("username", "label").agg(F.count("*").alias("n"))
 
 
-@query("S11_labels_csv", "SELECT config, query, rank, creator, score, relevant FROM labelled")
+@query("S11_labels_csv", "SELECT config, query, CAST(rank AS INT) AS rank, creator, score, relevant FROM labelled")
 def _(t: Inputs) -> DataFrame:
     path = files.write_csv(t.labels(), files.shared_path(t.spark, "labels"))
     return files.read_csv(t.spark, path, schemas.LABELS).select("config", "query", "rank", "creator", "score", "relevant")
@@ -402,7 +402,7 @@ def _(t: Inputs) -> DataFrame:
 # ---- evaluation --------------------------------------------------------------------------------------------------
 
 
-@query("J5_apply_judgments", "SELECT config, query, rank, creator, relevant, config = 'half' AS filled FROM labelled")
+@query("J5_apply_judgments", "SELECT config, query, CAST(rank AS INT) AS rank, creator, relevant, config = 'half' AS filled FROM labelled")
 def _(t: Inputs) -> DataFrame:
     rows = t.labels()
     judged = rows.groupBy("query", "creator").agg(F.max("relevant").alias("judged"))
