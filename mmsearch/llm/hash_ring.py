@@ -40,6 +40,8 @@ def place(cells: dict[int, int], heavy: list[tuple[int, int, int]], shards: int,
             if not seen >> s & 1:
                 seen |= 1 << s
                 yield s
+                if seen == (1 << shards) - 1:
+                    return
 
     def roomiest(cell: int) -> int:
         return max(clockwise(cell), key=lambda s: room[s])

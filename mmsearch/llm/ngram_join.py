@@ -222,11 +222,13 @@ def _exact(num: int, den: int):
 
 
 def _tokens(n: int):
+    """Token sets under their own keys, so that a doc_id with several texts mixes nothing up."""
+
     def run(batches):
         for batch in batches:
-            for a, b, raw, at in chunks(batch):
+            for _, _, raw, at in chunks(batch):
                 sets = Words(raw, at, lower=True).shingle_sets(n)
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "tokens"])
+                yield pa.RecordBatch.from_arrays([_I64([_set_key(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "tokens"])
 
     return run
 
@@ -264,7 +266,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     wanted = may.select("key").distinct().join(keyed.select("key", "doc_id"), "key")
     wanted = materialize(wanted, "wanted")
     n_wanted = wanted.count()
-    texts = docs.join(F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted, "doc_id").select("key", "text")
+    texts = docs.join(F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted, "doc_id").select("text")
     sets = texts.mapInArrow(_tokens(n), "key long, tokens binary").dropDuplicates(["key"])
     ids = [*ids, "part"]
     ready = may.join(sets, "key").repartition(*ids).sortWithinPartitions(*ids)

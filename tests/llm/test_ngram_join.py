@@ -66,6 +66,13 @@ def test_edge_rows(spark):
     assert jaccard_components(empty).count() == 0 and drop_near_duplicates(empty).count() == 0
 
 
+def test_one_id_with_two_texts(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(100)) for c in "ab")
+    rows = [(1, a), (2, a + " x"), (2, b), (3, b + " y"), (4, "alone")]
+    got = sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(1, 96, 1), (2, 96, 2), (2, 97, 1), (3, 97, 2), (4, 1, 4)]
+
+
 def test_trees_lose_no_link():
     rng = np.random.default_rng(4)
     sets = []
