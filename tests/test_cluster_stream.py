@@ -107,3 +107,22 @@ def test_upserts_replace_a_repeated_batch(spark):
     for attempt in ("a", "b"):
         ingest.index_upsert(ingest.stream_source(spark, path, "id long", 99), lambda b: b.withColumn("v", F.lit(1)), out, files.shared_path(spark, f"state{attempt}"))
     assert spark.read.parquet(out).count() == 10
+
+
+def test_an_incomplete_group_comes_out_after_the_timeout(spark):
+    import time
+
+    texts = spark.createDataFrame(VIDEOS, "mp4 string, creator string, text string")
+    path, out = files.shared_path(spark, "arrive"), files.shared_path(spark, "late")
+    texts.filter("not (creator = 'c1' and mp4 like '%05%')").coalesce(1).write.parquet(path)
+    stream = ingest.stream_source(spark, path, "mp4 string, creator string, text string", 1)
+    groups = ingest.complete_groups(stream, ingest.expected_counts(texts), timeout_ms=500)
+    q = groups.writeStream.format("parquet").option("path", out).option("checkpointLocation", files.shared_path(spark, "state")).trigger(processingTime="200 milliseconds").start()
+    try:
+        schema, until, rows = "creator string, transcription string, complete boolean", time.time() + 90, []
+        while len(rows) < 4 and time.time() < until:
+            time.sleep(1)
+            rows = spark.read.schema(schema).parquet(out).collect()
+    finally:
+        q.stop()
+    assert {r.creator: r.complete for r in rows} == {"c0": True, "c1": False, "c2": True, "c3": True}

@@ -39,3 +39,16 @@ def test_query_matches_duckdb(spark, duck, sf_dir, name):
     assert sorted(names) == cols
     at = [names.index(c) for c in cols]
     assert got == sorted(repr(tuple(value(r[k]) for k in at)) for r in found.fetchall())
+
+
+def test_entry_works_without_the_pipeline_subpackage(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(f"{root}/mmsearch", tmp_path / "mmsearch", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'W1_search' in q and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
