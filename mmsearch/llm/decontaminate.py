@@ -30,13 +30,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
 
 
+# Possessive runs keep the patterns linear on tokens of any length.
 def template(text: Column) -> Column:
     """Template words of a text, one for each of its words: <num>, <unit>, <name>, or the lower-cased word without edge punctuation."""
     t = F.coalesce(text, F.lit(""))
-    t = F.regexp_replace(t, rf"(?<![^{SPACE}])[^\p{{L}}\p{{N}}{SPACE}]*\p{{N}}[^\p{{L}}{SPACE}]*(?:(?i:{UNITS}|st|nd|rd|th){_EDGE})?(?![^{SPACE}]*[\p{{L}}\p{{N}}])[^{SPACE}]*", "<num>")
+    t = F.regexp_replace(t, rf"(?<![^{SPACE}])[^\p{{L}}\p{{N}}{SPACE}]*+\p{{N}}[^\p{{L}}{SPACE}]*+(?:(?i:{UNITS}|st|nd|rd|th){_EDGE})?(?![^{SPACE}]*[\p{{L}}\p{{N}}])[^{SPACE}]*", "<num>")
     t = F.regexp_replace(t, rf"(?<=<num>[{SPACE}])(?i:{UNITS}){_EDGE}", "<unit>")
-    t = F.regexp_replace(t, rf"(?<=[\p{{L}},;>][ \t])\p{{Lu}}[\p{{L}}'-]*(?=[^\p{{L}}\p{{N}}{SPACE}]*(?:[{SPACE}]|$))", "<name>")
-    t = F.regexp_replace(t, rf"(?<=[\p{{L}}\p{{N}}>])[^\p{{L}}\p{{N}}<>{SPACE}]+(?=[{SPACE}]|$)|(?<![^{SPACE}])[^\p{{L}}\p{{N}}<>{SPACE}]+(?=[\p{{L}}\p{{N}}<])", "")
+    t = F.regexp_replace(t, rf"(?<=[\p{{L}},;>][ \t])\p{{Lu}}[\p{{L}}'-]*+(?=[^\p{{L}}\p{{N}}{SPACE}]*(?:[{SPACE}]|$))", "<name>")
+    t = F.regexp_replace(t, rf"(?<=[\p{{L}}\p{{N}}>])[^\p{{L}}\p{{N}}<>{SPACE}]++(?=[{SPACE}]|$)|(?<![^{SPACE}])[^\p{{L}}\p{{N}}<>{SPACE}]++(?=[\p{{L}}\p{{N}}<])", "")
     return words(F.lower(t))
 
 

@@ -17,7 +17,7 @@ _BLANK = " \t\n\x0b\x0c\r"
 
 
 def quote_level(line: Column) -> Column:
-    mark = F.regexp_extract(line, r"^((?:[ \t]*>)*)", 1)
+    mark = F.regexp_extract(line, r"^([ \t>]*)", 1)
     return F.length(mark) - F.length(F.replace(mark, F.lit(">"), F.lit("")))
 
 
@@ -27,7 +27,7 @@ def lines_of(text: Column) -> Column:
 
 def passage_hash(line: Column) -> Column:
     """Hash of a line's normalised text without its marks; null for a blank one."""
-    bare = F.btrim(F.regexp_replace(F.lower(F.regexp_replace(line, r"^(?:[ \t]*>)+", "")), r"[ \t-\r]+", " "))
+    bare = F.btrim(F.regexp_replace(F.lower(F.regexp_replace(line, r"^[ \t>]*", "")), r"[ \t-\r]+", " "))
     return F.when(bare != "", F.xxhash64(bare))
 
 

@@ -71,3 +71,9 @@ def test_every_run_is_found_wherever_it_starts(spark):
                     want.add((k, i))
     got = dc.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()
     assert len(want) > 10 and {(r.doc_id, r.item_id) for r in got} == want
+
+
+def test_huge_tokens_take_linear_time(spark):
+    tokens = ["x" * 300000, "1" * 300000 + "a", "-" * 300000, "a" + "-" * 300000 + "b", "A" + "b" * 300000 + "1", "," * 300000 + "1"]
+    got = spark.createDataFrame([(" ".join(["so", *tokens, "end"]),)], "text string").select(F.size(dc.words(F.col("text"))).alias("w"), F.size(dc.template(F.col("text"))).alias("t")).first()
+    assert got.w == got.t == 8

@@ -55,6 +55,12 @@ def test_matches_brute_force_with_hot_lines(spark, monkeypatch):
     assert {(r.conv_id, r.turn): (r.reply_to, r.branch, r.branch_parent, r.position, r.linked_lines) for r in got} == want
 
 
+def test_huge_lines(spark):
+    rows = [(1, 0, "a", "x" * 200000), (1, 1, "b", "> " * 100000 + "x" * 200000 + "\nok"), (1, 2, "c", "\n" * 50000 + ">" * 100000)]
+    got = {r.turn: r for r in qu.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1].quote_level == 100000 and got[1].linked_lines == 1 and got[1].text == "ok" and got[2].text == ""
+
+
 def test_repeated_rows_extra_columns_and_empty_table(spark):
     rows = [(1, 0, "a", "x", 1), (1, 0, "a", "x", 2), (1, 1, "b", "> x\ny", 3)]
     conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, parent int")
