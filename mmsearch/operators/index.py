@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import preview
+from ..functions.text import preview, strip
 from ..functions.vectors import fuse, norm, unit, weigh
 from ..sources.files import last_wins
 
@@ -22,6 +22,13 @@ def pool_frames(frames: DataFrame, creators: DataFrame, dims: int) -> DataFrame:
     return creators.select("creator").join(pooled, "creator", "left").select("creator", F.coalesce("img", zeros).alias("img"))
 
 
+def usable_frames(frames: DataFrame, texts: DataFrame, drop_silent_frames: bool = False) -> DataFrame:
+    """Frames (mp4, ...) that are pooled: all, or with drop_silent_frames only those of videos with a text (mp4, text)."""
+    if not drop_silent_frames:
+        return frames
+    return frames.join(texts.filter(F.length(strip(F.coalesce("text", F.lit("")))) > 0).select("mp4").distinct(), "mp4", "left_semi")
+
+
 def vectors_ok(eps: float = 0.01) -> Column:
     """image, text and fused (before normalisation) norms all above eps."""
     img, txt = F.col("img"), F.col("txt")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mmsearch.functions import text as tx
 from mmsearch.functions import vectors as vx
-from mmsearch.operators.index import nonzero_ok, pool_frames, vectors_ok
+from mmsearch.operators.index import nonzero_ok, pool_frames, usable_frames, vectors_ok
 from mmsearch.operators.transcripts import creator_text, join_chunks, segment_ok, text_gate
 
 
@@ -80,3 +80,10 @@ def test_segments_and_joined_texts(spark):
     videos = spark.createDataFrame([("m/c/2", "c"), ("m/c/1", "c"), ("m/c/3", "c"), ("m/d/1", "d")], "mp4 string, creator string")
     texts = spark.createDataFrame([("m/c/1", "one"), ("m/c/3", "three")], "mp4 string, text string")
     assert {r.creator: r.transcription for r in creator_text(videos, texts).collect()} == {"c": "one  three", "d": ""}
+
+
+def test_frames_of_silent_videos(spark):
+    frames = spark.createDataFrame([("m1", 1), ("m2", 2), ("m3", 3)], "mp4 string, f int")
+    texts = spark.createDataFrame([("m1", "hi"), ("m1", "hi"), ("m2", " "), ("m3", None)], "mp4 string, text string")
+    assert usable_frames(frames, texts).count() == 3
+    assert [r.mp4 for r in usable_frames(frames, texts, drop_silent_frames=True).collect()] == ["m1"]
