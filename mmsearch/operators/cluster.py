@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_path
+
 #: Centroids that Ward's rounds take. Up to so many rows are their own centroids; beyond, k-means makes them on
 #: the cluster first, so the driver holds MICRO * dims numbers whatever the input.
 MICRO = 1000
@@ -86,9 +88,14 @@ def silhouette(df: DataFrame, column: str) -> float:
 
 
 def k_sweep(clustered: DataFrame, ks: list[int]) -> DataFrame:
-    """(k, silhouette, min_size)."""
-    rows = [(k, float(silhouette(clustered, f"cluster_{k}")), int(clustered.groupBy(f"cluster_{k}").count().agg(F.min("count")).first()[0])) for k in ks]
-    return clustered.sparkSession.createDataFrame(rows, "k int, silhouette double, min_size long")
+    """(k, silhouette, min_size). The labelled vectors are written once and read by every evaluation."""
+    spark, path = clustered.sparkSession, shared_path(clustered.sparkSession, "labelled")
+    clustered.write.parquet(path)
+    clustered = spark.read.parquet(path)
+    long = clustered.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"cluster_{k}").alias("c")) for k in ks))).alias("x")).groupBy("x.k", "x.c").count()
+    sizes = long.groupBy("k").agg(F.min("count").alias("min_size"))
+    scores = spark.createDataFrame([(k, float(silhouette(clustered, f"cluster_{k}"))) for k in ks], "k int, silhouette double")
+    return scores.join(sizes, "k").select("k", "silhouette", "min_size")
 
 
 def best_k(scores: DataFrame, min_size: int = 5) -> DataFrame:

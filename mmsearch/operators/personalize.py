@@ -13,10 +13,19 @@ def first_n(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__rn") <= n).drop("__rn")
 
 
+def _mean(vectors: str):
+    every = F.col(vectors)
+    total = F.aggregate(F.slice(every, 2, F.size(every)), every[0], lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return F.transform(total, lambda x: x / F.size(every))
+
+
 def feedback_vectors(fb: DataFrame, entries: DataFrame, most: int = 10) -> DataFrame:
-    """(username, query, label, vectors): vectors of the first ``most`` rows a label; a row without a vector uses up its place."""
+    """(username, query, label, v): mean vector of the first ``most`` rows a label; a row without a vector uses up its place.
+
+    The mean of a candidate's similarities is its similarity to the mean, so a candidate needs one product a label.
+    """
     chosen = first_n(fb, ["username", "query", "label"], ["n"], most).join(entries.select("creator", F.col("combined").alias("v")), "creator")
-    return chosen.groupBy("username", "query", "label").agg(F.collect_list("v").alias("vectors"))
+    return chosen.groupBy("username", "query", "label").agg(F.collect_list("v").alias("vectors")).select("username", "query", "label", _mean("vectors").alias("v"))
 
 
 def personalize(pool: DataFrame, fb: DataFrame, entries: DataFrame, most: int = 10) -> DataFrame:
@@ -25,11 +34,11 @@ def personalize(pool: DataFrame, fb: DataFrame, entries: DataFrame, most: int =
     0.7 * score + 0.25 * mean similarity to liked - 0.25 * mean similarity to disliked creators; a term is
     absent without usable feedback, the 0.7 stays. Negative means flip their sign.
     """
-    v = feedback_vectors(fb, entries, most).groupBy("username", "query").agg(F.first(F.when(F.col("label") == "good", F.col("vectors")), True).alias("good"), F.first(F.when(F.col("label") == "bad", F.col("vectors")), True).alias("bad"))
+    v = feedback_vectors(fb, entries, most).groupBy("username", "query").agg(F.first(F.when(F.col("label") == "good", F.col("v")), True).alias("good"), F.first(F.when(F.col("label") == "bad", F.col("v")), True).alias("bad"))
     pairs = fb.select("username", "query").distinct().join(v, ["username", "query"], "left")
     rows = pairs.join(pool, "query").join(entries.select("creator", "combined"), "creator")
-    mean = lambda vectors: F.coalesce(F.aggregate(F.transform(vectors, lambda x: dot(F.col("combined"), x)), F.lit(0.0), lambda s, x: s + x) / F.size(vectors), F.lit(0.0))
-    rows = rows.withColumn("boost", mean(F.col("good")) * 0.25).withColumn("penalty", mean(F.col("bad")) * 0.25)
+    near = lambda v: F.coalesce(dot(F.col("combined"), v), F.lit(0.0)) * 0.25
+    rows = rows.withColumn("boost", near(F.col("good"))).withColumn("penalty", near(F.col("bad")))
     return rows.select(
         "username", "query", "creator", F.col("rank").alias("original_rank"), F.col("score").alias("original_score"), (F.col("score") * 0.7 + F.col("boost") - F.col("penalty")).alias("score"),
         F.col("boost").alias("similarity_boost"), F.col("penalty").alias("similarity_penalty"), (F.col("boost") > 0.05).alias("is_boosted"), (F.col("penalty") > 0.05).alias("is_penalized"),
@@ -50,11 +59,15 @@ def new_and_removed(reranked: DataFrame, plain: DataFrame) -> tuple[DataFrame, D
 
 
 def stats(reranked: DataFrame, plain: DataFrame) -> DataFrame:
-    """A10: per (username, query) what personalisation changed."""
-    new, removed = (x.groupBy("username", "query").agg(F.count("*").alias(name)) for x, name in zip(new_and_removed(reranked, plain), ("new_creators", "removed_creators"), strict=True))
-    base = reranked.groupBy("username", "query").agg(F.count_if("is_boosted").alias("boosted_creators"), F.count_if("is_penalized").alias("penalized_creators"), F.avg(F.col("similarity_boost") - F.col("similarity_penalty")).alias("avg_adjustment"))
-    out = base.join(new, ["username", "query"], "left").join(removed, ["username", "query"], "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("new_creators", "removed_creators")})
+    """A10: per (username, query) what personalisation changed. A hit of both lists is matched once, so one pass over either does."""
+    base = plain.select("query", "creator").withColumn("both", F.lit(True))
+    sizes = plain.groupBy("query").agg(F.count("*").alias("n_plain"))
+    both = F.coalesce("both", F.lit(False))
+    out = reranked.join(base, ["query", "creator"], "left").groupBy("username", "query").agg(
+        F.count_if("is_boosted").alias("boosted_creators"), F.count_if("is_penalized").alias("penalized_creators"), F.avg(F.col("similarity_boost") - F.col("similarity_penalty")).alias("avg_adjustment"),
+        F.count_if(~both).alias("new_creators"), F.count_if(both).alias("matched"),
+    )
+    return out.join(sizes, "query").withColumn("removed_creators", F.col("n_plain") - F.col("matched")).select("username", "query", "boosted_creators", "penalized_creators", "avg_adjustment", "new_creators", "removed_creators")
 
 
 def attach_frames(hits: DataFrame, frames: DataFrame, n: int = 3) -> DataFrame:
