@@ -4,15 +4,15 @@ A repeated window of ``width`` words holds a whole aligned block of ``block`` wo
 repeats, if 2 * block - 1 <= width. So only every block-th position of a text is indexed, while every
 rolling block of every text is a probe:
 
- 1. index and probes of a chunk of texts are dealt out by hash, as sorted packed arrays. The hash has
-    just the bits that keep false hits under 1 in 256 probes for the size of the corpus; a false hit
-    costs work in step 3 and changes no result.
- 2. per bucket, a probe hits if an index block of another text has its hash and the smaller doc_id, an
-    index block hits if a text with a larger doc_id probes it. Hits go back to the lots of their texts (lots
-    are dealt by doc_id and hold about 8 MB of text). Hot blocks need no pairs: a group needs its least
-    indexing and its largest probing doc_id alone.
- 3. hits are extended: the windows that reach over a hit are hashed whole (64 bits) and the least doc_id
-    in which each starts is found. Runs of such windows are the maximal exact repeats.
+ 1. texts are dealt once into lots of about 8 MB. A lot sends each distinct block hash once, with a flag
+    for an index block and one for several texts, as sorted packed arrays. The hash has just the bits that
+    keep false hits under 1 in 256 probes for the size of the corpus; a false hit costs work in step 3 and
+    changes no result.
+ 2. a hash hits if some text indexes it and two texts hold it. Hits go back to the lots that asked. A block
+    that a third of all texts share is asked for once a lot, never once a text, and makes no pairs.
+ 3. hits are extended: the windows that reach over a hit are hashed whole (64 bits) and sent once a lot with
+    the lot's least doc_id; what comes back is the least doc_id of all. Runs of such windows are the maximal
+    exact repeats.
  4. words under a window that starts in a smaller doc_id go.
 """
 
@@ -31,134 +31,137 @@ from .text import CHUNK_BYTES, Words, chunks, pack, planes, splitmix, unpack, un
 _U = np.uint64
 
 
-def _lot(docs: np.ndarray, lots: int) -> np.ndarray:
-    """The lot of each doc_id; ``_lot_column`` is the same in Spark."""
-    d = docs.view(_U)
-    return np.mod((d ^ (d >> _U(13)) ^ (d >> _U(29))).view(np.int64), lots)
-
-
 def _lot_column(lots: int):
     d = F.col("doc_id")
     return F.pmod(d.bitwiseXOR(F.shiftrightunsigned(d, 13)).bitwiseXOR(F.shiftrightunsigned(d, 29)), F.lit(lots).cast("long"))
 
 
-def _deal(hashes: np.ndarray, docs: np.ndarray, flags: np.ndarray, part_of) -> pa.Table:
-    """Rows (part, hashes, docs, codes) of distinct (hash, doc), each part sorted by hash; part_of(hashes, docs) says where they go."""
-    cols: list[list] = [[], [], [], []]
-    if len(hashes):
-        part = part_of(hashes, docs)
-        by = np.lexsort((docs, hashes, part))
-        h, d, f, part = hashes[by], docs[by], flags[by], part[by]
-        at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])]))
-        h, d, f, part = h[at], d[at], np.maximum.reduceat(f, at), part[at]
-        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        for a, b in zip(cut, [*cut[1:], len(h)], strict=True):
-            own, place = np.unique(d[a:b], return_inverse=True)
-            code = place.astype(np.uint32) * np.uint32(2) + f[a:b].astype(np.uint32)
-            for c, x in zip(cols, (part[a], pack(h[a:b]), pack(own.view(_U)), planes(code)), strict=True):
-                c.append(x)
-    return pa.table([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "hashes", "docs", "codes"])
-
-
-DEALT = "part long, hashes binary, docs binary, codes binary"
-
-
-def _dealt(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, doc, flag), in no order."""
-    h, d, f = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-    for row in zip(*(table.column(c).to_pylist() for c in ("hashes", "docs", "codes")), strict=True):
-        code = unplanes(row[2], np.uint32)
-        h.append(unpack(row[0]))
-        d.append(unpack(row[1]).view(np.int64)[code >> 1])
-        f.append((code & 1).astype(bool))
-    return np.concatenate(h), np.concatenate(d), np.concatenate(f)
+SENT = "part long, sender long, hashes binary, docs binary, codes binary"
+_NAMES = [x.split()[0] for x in SENT.split(", ")]
+
+
+def _distinct(h: np.ndarray, d: np.ndarray, indexed: np.ndarray):
+    """Per distinct hash, ascending: least doc, whether several docs have it, whether one indexes it."""
+    if not len(h):
+        return h, d, indexed, indexed
+    by = np.lexsort((d, h))
+    h, d, indexed = h[by], d[by], indexed[by]
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    last = np.append(at[1:], len(h)) - 1
+    return h[at], d[at], d[last] > d[at], np.logical_or.reduceat(indexed, at)
+
+
+def _send(part: np.ndarray, sender: int | None, h: np.ndarray, d: np.ndarray | None, flags: np.ndarray) -> pa.Table:
+    """A row for each part: its hashes ascending, and for each a code of flags (two bits) and, with d, a doc_id."""
+    cols: list[list] = [[] for _ in _NAMES]
+    by = np.lexsort((h, part))
+    part, h, flags = part[by], h[by], flags[by]
+    cut = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part)] if len(part) else []
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        if d is None:
+            own, codes = np.zeros(0, np.int64), flags[a:b].astype(np.uint8)
+        else:
+            own, place = np.unique(d[by[a:b]], return_inverse=True)
+            codes = place.astype(np.uint32) * np.uint32(4) + flags[a:b].astype(np.uint32)
+        for c, x in zip(cols, (part[a], sender, pack(h[a:b]), pack(own.view(_U)), planes(codes)), strict=True):
+            c.append(x)
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], _NAMES)
+
+
+def _received(table: pa.Table, docs: bool):
+    """(sender, hash, doc or None, flags), in no order."""
+    out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]]
+    for sender, hashes, own, codes in zip(*(table.column(c).to_pylist() for c in _NAMES[1:]), strict=True):
+        h = unpack(hashes)
+        code = unplanes(codes, np.uint32 if docs else np.uint8)
+        out[0].append(np.full(len(h), -1 if sender is None else sender, np.int64))
+        out[1].append(h)
+        if docs:
+            out[2].append(unpack(own).view(np.int64)[code >> 2])
+        out[3].append(code & 3)
+    return [np.concatenate(x) for x in out]
+
+
+def _groups(h: np.ndarray):
+    """(order by hash, where each hash begins, how many there are of each)."""
+    by = np.argsort(h, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1]]))
+    return by, at, np.diff(np.append(at, len(h)))
 
 
-def _groups(table: pa.Table):
-    """(hash, doc, flag) sorted by hash, and where each hash begins."""
-    h, d, f = _dealt(table)
-    by = np.argsort(h, kind="stable")
-    h, d, f = h[by], d[by], f[by]
-    return h, d, f, np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (splitmix(h) % _U(buckets)).astype(np.int64)
 
 
-def _anchor_hits(lots: int):
-    def run(table: pa.Table) -> pa.Table:
-        h, d, indexed, at = _groups(table)
-        size = np.diff(np.append(at, len(h)))
-        least = np.repeat(np.minimum.reduceat(np.where(indexed, d, np.iinfo(np.int64).max), at), size)
-        hit = (d > least) | (indexed & (d < np.repeat(np.maximum.reduceat(d, at), size)))
-        return _deal(h[hit], d[hit], indexed[hit], lambda _, d: _lot(d, lots))
+def _anchor_hits(table: pa.Table) -> pa.Table:
+    sender, h, _, flags = _received(table, False)
+    by, at, size = _groups(h)
+    sender, h, flags = sender[by], h[by], flags[by]
+    hit = np.repeat(((np.bitwise_or.reduceat(flags, at) & 2) > 0) & ((size > 1) | ((flags[at] & 1) > 0)), size)
+    return _send(sender[hit], None, h[hit], None, flags[hit])
 
-    return run
 
+def _least_docs(table: pa.Table) -> pa.Table:
+    sender, h, d, flags = _received(table, True)
+    by, at, size = _groups(h)
+    sender, h, d, flags = sender[by], h[by], d[by], flags[by]
+    least = np.repeat(np.minimum.reduceat(d, at), size)
+    tell = (d > least) | ((flags & 1) > 0)
+    return _send(sender[tell], None, h[tell], least[tell], flags[tell])
 
-def _later_windows(lots: int):
-    def run(table: pa.Table) -> pa.Table:
-        h, d, f, at = _groups(table)
-        later = d > np.repeat(np.minimum.reduceat(d, at), np.diff(np.append(at, len(h))))
-        return _deal(h[later], d[later], f[later], lambda _, d: _lot(d, lots))
 
-    return run
+def _texts(table: pa.Table, limit: int = CHUNK_BYTES):
+    """(doc_ids, words, bytes, offsets) of the chunks of a lot."""
+    for batch in table.combine_chunks().to_batches():
+        for a, b, raw, at in chunks(batch, limit=limit):
+            yield batch.column("doc_id").slice(a, b - a), Words(raw, at), raw, at
 
 
-def _by_hash(buckets: int):
-    return lambda h, _: (splitmix(h) % _U(buckets)).astype(np.int64)
+def _gathered(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h, d, f = ([np.zeros(0, t)] + [x[k] for x in found] for k, t in enumerate((_U, np.int64, bool)))
+    return np.concatenate(h), np.concatenate(d), np.concatenate(f)
 
 
-def _requests(block: int, bits: int, buckets: int):
+def _ask(block: int, bits: int, buckets: int):
     """Every rolling block is a probe; a block at a multiple of ``block`` is indexed too."""
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for a, b, raw, at in chunks(batch, limit=8 * CHUNK_BYTES):
-                w = Words(raw, at)
-                h, start = w.grams(block)
-                row = w.row[start]
-                yield from _deal(h >> _U(64 - bits), ids[a:b][row], (start - w.first[row]) % block == 0, _by_hash(buckets)).to_batches()
+    def run(docs: pa.Table) -> pa.Table:
+        found = []
+        for ids, w, _, _ in _texts(docs):
+            h, start = w.grams(block)
+            row = w.row[start]
+            found.append((h >> _U(64 - bits), ids.to_numpy(zero_copy_only=False)[row], (start - w.first[row]) % block == 0))
+        h, _, several, indexed = _distinct(*_gathered(found))
+        return _send(_bucket(h, buckets), docs.column("part")[0].as_py(), h, None, several + 2 * indexed.astype(np.uint8))
 
     return run
 
 
-class _Found:
-    """Membership of (doc_id, hash) in what was sent back to a lot."""
-
-    def __init__(self, table: pa.Table):
-        h, d, _ = _dealt(table)
-        self.have = np.sort(splitmix(h ^ splitmix(d.view(_U))))
-
-    def __call__(self, docs: np.ndarray, h: np.ndarray) -> np.ndarray:
-        if not len(self.have) or not len(h):
-            return np.zeros(len(h), bool)
-        want = splitmix(h ^ splitmix(docs.view(_U)))
-        return self.have[np.minimum(np.searchsorted(self.have, want), len(self.have) - 1)] == want
-
-
-def _texts(table: pa.Table, limit: int = CHUNK_BYTES):
-    """(doc_ids, words, bytes, offsets) of the chunks of a lot."""
-    for batch in table.combine_chunks().to_batches():
-        for a, b, raw, at in chunks(batch, limit=limit):
-            yield batch.column("doc_id").slice(a, b - a), Words(raw, at), raw, at
+def _has(have: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each wanted value is in the ascending array, where)."""
+    if not len(have):
+        return np.zeros(len(want), bool), np.zeros(len(want), np.int64)
+    at = np.minimum(np.searchsorted(have, want), len(have) - 1)
+    return have[at] == want, at
 
 
 def _extend(block: int, width: int, bits: int, buckets: int):
-    """Whole windows that reach over a hit, dealt out by their full hash."""
+    """Whole windows that reach over a hit, with the least doc_id of the lot."""
 
     def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
-        out = [_deal(np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, bool), _by_hash(buckets))]
-        found = _Found(hits)
-        for ids, w, _, _ in _texts(docs, 4 * CHUNK_BYTES) if hits.num_rows else ():
-            ids = ids.to_numpy(zero_copy_only=False)
+        have = np.sort(_received(hits, False)[1])
+        found = []
+        for ids, w, _, _ in _texts(docs) if len(have) else ():
             h, start = w.grams(block)
             hit = np.zeros(len(w.hash) + 1, np.int64)
-            hit[start[found(ids[w.row[start]], h >> _U(64 - bits))]] = 1
+            hit[start[_has(have, h >> _U(64 - bits))[0]]] = 1
             before = np.concatenate([[0], np.cumsum(hit)])
             h, start = w.grams(width)
             near = before[start + width - block + 1] > before[start]
             h, start = h[near], start[near]
-            out.append(_deal(h, ids[w.row[start]], np.zeros(len(h), bool), _by_hash(buckets)))
-        return pa.concat_tables(out)
+            found.append((h, ids.to_numpy(zero_copy_only=False)[w.row[start]], np.zeros(len(h), bool)))
+        h, d, several, _ = _distinct(*_gathered(found))
+        return _send(_bucket(h, buckets), docs.column("part")[0].as_py() if docs.num_rows else None, h, d, several.astype(np.uint8))
 
     return run
 
@@ -167,11 +170,15 @@ def _remove(width: int, keep_text: bool):
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
 
     def run(docs: pa.Table, later: pa.Table) -> pa.Table:
-        found = _Found(later)
+        _, have, least, _ = _received(later, True)
+        by = np.argsort(have)
+        have, least = have[by], least[by]
         out: list[list] = [[] for _ in names]
         for ids, w, raw, at in _texts(docs):
             h, start = w.grams(width)
-            hit = start[found(ids.to_numpy(zero_copy_only=False)[w.row[start]], h)] if later.num_rows else start[:0]
+            known, place = _has(have, h)
+            start, place = start[known], place[known]
+            hit = start[ids.to_numpy(zero_copy_only=False)[w.row[start]] > least[place]] if len(start) else start
             covered = np.zeros(len(w.hash) + width + 1, np.int64)
             covered[hit] += 1
             covered[hit + width] -= 1
@@ -216,18 +223,18 @@ def remove_repeats(docs: DataFrame, width: int = 13, block: int | None = None, k
     chars = known.agg(F.sum(F.length("text"))).first()[0] or 1
     bits = min(64, max(16, math.ceil(math.log2(chars / 4 / block)) + 8))
     lots = buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / 8_000_000))
-    by_lot = known.withColumn("part", _lot_column(lots))
+    lot = known.withColumn("part", _lot_column(lots))
 
     def with_lot(answers: DataFrame, work, schema: str) -> DataFrame:
-        return by_lot.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(work, schema)
+        return lot.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(work, schema)
 
-    probes = known.mapInArrow(_requests(block, bits, buckets), DEALT)
-    hits = probes.groupBy("part").applyInArrow(_anchor_hits(lots), DEALT)
-    windows = with_lot(hits, _extend(block, width, bits, buckets), DEALT)
-    later = windows.groupBy("part").applyInArrow(_later_windows(lots), DEALT)
+    asked = lot.groupBy("part").applyInArrow(_ask(block, bits, buckets), SENT)
+    hits = asked.groupBy("part").applyInArrow(_anchor_hits, SENT)
+    windows = with_lot(hits, _extend(block, width, bits, buckets), SENT)
+    later = windows.groupBy("part").applyInArrow(_least_docs, SENT)
     remove = _remove(width, keep_text)
     result = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    nothing = pa.table({"hashes": [], "docs": [], "codes": []})
+    nothing = _send(np.zeros(0, np.int64), None, np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.uint8))
 
     def alone(batches):
         for batch in batches:
