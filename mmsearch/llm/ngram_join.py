@@ -3,7 +3,7 @@
 Plan
  1. ``profiles``: one pass gives every document its set size, a 64-bit key of the set (equal sets share a
     key and are looked at once from here on), a token bitmap, and adds its tokens to a count sketch of
-    fixed size (2**17 counters, 512 KB, whatever the input).
+    fixed size (2**20 counters, 4 MB, whatever the input).
  2. ``meeting pairs``: under the order (sketch count, token), sets with Jaccard >= t share one of their
     first ``size - ceil(t * size) + 1`` tokens, rare ones first. These prefixes are dealt out by token;
     in a token's group every key meets the group's least key, the pivot.
@@ -30,7 +30,8 @@ from .jaccard_tree import Forest, Labels, bitmap
 from .store import BROADCAST_ROWS, materialize
 from .text import Words, chunks, planes, splitmix, unplanes
 
-CELLS, SLICES = 1 << 17, 16
+CELL_BITS, SLICES = 20, 16
+CELLS = 1 << CELL_BITS
 #: Keys that one tree holds at most; larger groups are split into pairs of blocks.
 GROUP = 4096
 _I64 = lambda a: pa.array(np.asarray(a).astype(np.uint64).view(np.int64), pa.int64())
@@ -42,7 +43,7 @@ def _set_key(tokens: np.ndarray) -> np.uint64:
 
 
 def _cell(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - 17)).astype(np.int64)
+    return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def _profile(n: int):
@@ -83,7 +84,7 @@ def _sum_counts():
 
 
 def _sketch(profiles: DataFrame) -> np.ndarray:
-    """The summed sketch: 512 KB on the driver for any input; slices meet in two rounds."""
+    """The summed sketch: 4 MB on the driver for any input; slices meet in two rounds."""
     slices = profiles.filter("part is not null").select("part", "counts", (F.abs(F.xxhash64("counts")) % 32).cast("int").alias("lot"))
     first = slices.groupBy("part", "lot").applyInArrow(_sum_counts(), "part int, counts binary")
     rows = first.groupBy("part").applyInArrow(_sum_counts(), "part int, counts binary").collect()
