@@ -1,12 +1,13 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Numbers, units and names of a text become typed placeholders, word for word, so words and template words
-stay aligned. Windows of ``width`` template words are hashed: at every position of a benchmark item, at every
-``stride``-th position of a document (any shared run of width + stride - 1 words holds one of those). Hits
-are aligned: along the item's diagonal in the document the longest run of equal template words must reach
-``run`` words, or the whole of a shorter item, and the slots must be consistent: one item value never stands
-for two document values. A re-parameterised question changes every value the same way and is caught; a text
-that merely shares the template's words with unrelated values is not.
+stay aligned. Windows of ``width`` words are hashed at every word of items and documents, once as plain words
+and once as template words; template windows that are mostly placeholders are left to their plain words, so
+that exact copies of them still meet. Hits are aligned: along the item's diagonal in the document a run of
+equal template words or of equal plain words must reach ``run`` words, or the whole of a shorter item, and its
+slots must be consistent: one item value never stands for two document values. A re-parameterised question
+changes every value the same way and is caught; a text that merely shares the template's words with unrelated
+values is not.
 """
 
 from __future__ import annotations
@@ -30,10 +31,20 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
 
 
+def _given(text: Column) -> Column:
+    return F.coalesce(text, F.lit(""))
+
+
 # Possessive runs keep the patterns linear on tokens of any length.
+def literals(text: Column) -> Column:
+    """The lower-cased words of a text without edge punctuation, one for each of its words."""
+    t = F.regexp_replace(_given(text), rf"(?<=[\p{{L}}\p{{N}}%])[^\p{{L}}\p{{N}}%{SPACE}]++(?=[{SPACE}]|$)|(?<![^{SPACE}])[^\p{{L}}\p{{N}}{SPACE}]++(?=[\p{{L}}\p{{N}}])", "")
+    return words(F.lower(t))
+
+
 def template(text: Column) -> Column:
     """Template words of a text, one for each of its words: <num>, <unit>, <name>, or the lower-cased word without edge punctuation."""
-    t = F.coalesce(text, F.lit(""))
+    t = _given(text)
     t = F.regexp_replace(t, rf"(?<![^{SPACE}])[^\p{{L}}\p{{N}}{SPACE}]*+\p{{N}}[^\p{{L}}{SPACE}]*+(?:(?i:{UNITS}|st|nd|rd|th){_EDGE})?(?![^{SPACE}]*[\p{{L}}\p{{N}}])[^{SPACE}]*", "<num>")
     t = F.regexp_replace(t, rf"(?<=<num>[{SPACE}])(?i:{UNITS}){_EDGE}", "<unit>")
     t = F.regexp_replace(t, rf"(?<=[\p{{L}},;>][ \t])\p{{Lu}}[\p{{L}}'-]*+(?=[^\p{{L}}\p{{N}}{SPACE}]*(?:[{SPACE}]|$))", "<name>")
@@ -41,64 +52,80 @@ def template(text: Column) -> Column:
     return words(F.lower(t))
 
 
-def windows(c: Column, width: int, stride: int) -> Column:
-    """(place, hash) of the windows of c at multiples of stride."""
+def windows(c: Column, width: int) -> Column:
+    """Hashes of the windows of width elements of c, at every element."""
     n = F.size(c)
-    starts = F.when(n >= width, F.sequence(F.lit(0), n - width, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice(c, i + 1, width)).alias("hash")))
+    starts = F.when(n >= width, F.sequence(F.lit(1), n - width + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(c, i, width)))
 
 
-def _longest(flags: Column) -> Column:
-    """(length, end) of the first longest run of true."""
-    zero = F.struct(F.lit(0).alias("k"), F.lit(0).alias("now"), F.lit(0).alias("best"), F.lit(0).alias("end"))
+def _is_slot(word: Column) -> Column:
+    return word.isin("<num>", "<unit>", "<name>")
 
-    def step(a, x):
-        now = F.when(x, a["now"] + 1).otherwise(F.lit(0))
-        more = now > a["best"]
-        return F.struct((a["k"] + 1).alias("k"), now.alias("now"), F.when(more, now).otherwise(a["best"]).alias("best"), F.when(more, a["k"] + 1).otherwise(a["end"]).alias("end"))
 
-    return F.aggregate(flags, zero, step)
+def _bounds(flags: Column) -> Column:
+    """Places of the false elements, with one before the first and one past the last element."""
+    return F.filter(F.sequence(F.lit(-1), F.size(flags)), lambda i: ~F.coalesce(F.get(flags, i), F.lit(False)))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = 6, stride: int = 4, run: int = 13) -> DataFrame:
+def _runs(bounds: Column, least: Column) -> Column:
+    """(begin, end) of the runs of at least so many true elements between bounds."""
+    pairs = F.zip_with(F.slice(bounds, 1, F.size(bounds) - 1), F.slice(bounds, 2, F.size(bounds) - 1), lambda x, y: F.struct((x + 1).alias("begin"), y.alias("end")))
+    return F.filter(pairs, lambda r: r["end"] - r["begin"] >= least)
+
+
+def _index(items: DataFrame, width: int) -> DataFrame:
+    """(item_id, item_place, hash, plain) of the items' windows. plain: at least half of its template words are literal."""
+    plain = F.size(F.filter(F.slice("ic", F.col("item_place") + 1, width), lambda w: ~_is_slot(w))) * 2 >= width
+    forms = items.select("item_id", "ic", F.posexplode(F.array("il", "ic")).alias("form", "t"))
+    rows = forms.select("item_id", "ic", "form", F.posexplode(windows(F.col("t"), width)).alias("item_place", "hash"))
+    return rows.select("item_id", "item_place", "hash", "form", plain.alias("plain")).filter("plain or form = 0").groupBy("item_id", "item_place", "hash").agg(F.max("plain").alias("plain"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = 6, run: int = 13) -> DataFrame:
     """(doc_id, item_id, doc_word, run_words, n_slots, n_changed): a row for each document and item it leaks.
 
     docs: doc_id, text; benchmark: item_id, text; further columns of either are ignored. doc_word: the word
     at which the longest such run begins (the first of equally long ones). n_slots: placeholders in the run,
     n_changed: those whose value differs from the item's.
 
-    Items under width + stride - 1 template words are too short to convict a text and are left out, as are
-    windows of fewer than width / 2 literal words. Null texts have no words. Null ids match nothing. Rows that
-    repeat an id are one document (or item) with several texts. Empty tables: empty result.
+    Items under width words are too short to convict a text and are left out. A diagonal on which no hit has
+    width / 2 literal words is judged by unchanged words only. Null texts have no words. Null ids match nothing.
+    Rows that repeat an id are one document (or item) with several texts. Empty tables: empty result.
     """
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text").cast("string")).alias("iw"), template(F.col("text").cast("string")).alias("ic"))
-    items = items.filter(F.size("ic") >= width + stride - 1).distinct()
-    literal = lambda c, i: F.size(F.filter(F.slice(c, i + 1, width), lambda w: ~w.isin("<num>", "<unit>", "<name>"))) * 2 >= width
-    ic = F.col("ic")
-    index = items.select("item_id", "ic", F.explode(windows(ic, width, 1)).alias("w")).filter(literal(ic, F.col("w.place")))
-    index = materialize(index.select("item_id", F.col("w.place").alias("item_place"), F.col("w.hash").alias("hash")).distinct(), "windows")
-
-    rolled = docs.select("doc_id", template(F.col("text")).alias("c")).select("doc_id", F.explode(windows(F.col("c"), width, stride)).alias("w"))
-    hits = lookup_join(rolled.select("doc_id", F.col("w.place").alias("place"), F.col("w.hash").alias("hash")), index, "hash")
-    diagonals = materialize(hits.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct(), "diagonals")
+    text = F.col("text").cast("string")
+    items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), literals(text).alias("il"), template(text).alias("ic"))
+    items = items.filter(F.size("ic") >= width).distinct()
+    index = materialize(_index(items, width), "windows")
+
+    rolled = docs.select("doc_id", literals(F.col("text")).alias("dl"), template(F.col("text")).alias("dc"))
+    rolled = rolled.select("doc_id", windows(F.col("dl"), width).alias("x"), F.when(F.col("dl") != F.col("dc"), windows(F.col("dc"), width)).alias("c"))
+    rolled = rolled.select("doc_id", F.size("x").alias("n"), F.posexplode(F.concat("x", F.coalesce("c", F.array().cast("array<bigint>")))).alias("at", "hash"))
+    hits = lookup_join(rolled, index, "hash")
+    place = F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(F.col("at") - F.col("n"))
+    diagonals = materialize(hits.groupBy("doc_id", "item_id", (place - F.col("item_place")).alias("shift")).agg(F.max("plain").alias("plain")), "diagonals")
 
     ids = diagonals.select("doc_id").distinct()
-    texts = lookup_join(docs, ids, "doc_id").select("doc_id", words(F.col("text")).alias("dw"), template(F.col("text")).alias("dc"))
+    texts = lookup_join(docs, ids, "doc_id").select("doc_id", literals(F.col("text")).alias("dl"), template(F.col("text")).alias("dc"))
     few = items.count() <= BROADCAST_ROWS // 10
     pairs = diagonals.join(texts, "doc_id").join(F.broadcast(items) if few else items, "item_id")
     first = F.greatest(F.col("shift"), F.lit(0))
     n = F.least(F.size("dc"), F.col("shift") + F.size("ic")) - first
     cut = pairs.filter(n > 0).select(
-        "doc_id", "item_id", first.alias("first"), F.size("ic").alias("item_words"),
-        *(F.slice(F.col(c), first + 1, n).alias(c) for c in ("dw", "dc")), *(F.slice(F.col(c), first - F.col("shift") + 1, n).alias(c) for c in ("iw", "ic")),
+        "doc_id", "item_id", "plain", first.alias("first"), F.least(F.lit(run), F.size("ic")).alias("least"),
+        *(F.slice(F.col(c), first + 1, n).alias(c) for c in ("dl", "dc")), *(F.slice(F.col(c), first - F.col("shift") + 1, n).alias(c) for c in ("il", "ic")),
     )
-    cut = cut.withColumn("run", _longest(F.zip_with("dc", "ic", lambda a, b: a == b))).filter(F.col("run.best") >= F.least(F.lit(run), F.col("item_words")))
-    begin = F.col("run.end") - F.col("run.best")
-    value = lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+$", ""))
-    part = lambda c: F.slice(F.col(c), begin + 1, F.col("run.best"))
-    slots = F.filter(F.arrays_zip(part("ic").alias("t"), part("iw").alias("i"), part("dw").alias("d")), lambda s: s["t"].isin("<num>", "<unit>", "<name>"))
-    cut = cut.select("doc_id", "item_id", (F.col("first") + begin).cast("long").alias("doc_word"), F.col("run.best").cast("long").alias("run_words"), F.transform(slots, lambda s: F.struct(s["t"].alias("t"), value(s["i"]).alias("i"), value(s["d"]).alias("d"))).alias("slots"))
+    same = lambda a, b: F.zip_with(a, b, lambda x, y: x == y)
+    cut = cut.withColumn("exact", same("dl", "il"))
+    cut = cut.withColumn("canonical", same("dc", "ic")).withColumns({"x": _bounds(F.col("exact")), "c": _bounds(F.col("canonical"))})
+    of = lambda c: _runs(F.col(c), F.col("least"))
+    runs = F.when(F.col("plain"), F.slice(F.array_sort(of("c"), lambda p, q: (q["end"] - q["begin"]) - (p["end"] - p["begin"])), 1, 1)).otherwise(of("x"))
+    cut = cut.withColumn("runs", F.array_distinct(runs)).filter(F.size("runs") > 0).withColumn("r", F.explode("runs"))
+    begin, length = F.col("r.begin"), F.col("r.end") - F.col("r.begin")
+    part = lambda c: F.slice(F.col(c), begin + 1, length)
+    slots = F.filter(F.arrays_zip(part("ic").alias("t"), part("il").alias("i"), part("dl").alias("d")), lambda s: _is_slot(s["t"]))
+    cut = cut.select("doc_id", "item_id", (F.col("first") + begin).cast("long").alias("doc_word"), length.cast("long").alias("run_words"), slots.alias("slots"))
     consistent = F.size(F.array_distinct("slots")) == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["t"], s["i"]))))
     cut = cut.filter(consistent).select("doc_id", "item_id", "doc_word", "run_words", F.size("slots").cast("long").alias("n_slots"), F.size(F.filter("slots", lambda s: s["i"] != s["d"])).cast("long").alias("n_changed"))
     best = F.max_by(F.struct("doc_word", "run_words", "n_slots", "n_changed"), F.struct("run_words", -F.col("n_changed"), -F.col("doc_word")))

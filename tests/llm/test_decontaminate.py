@@ -77,3 +77,23 @@ def test_huge_tokens_take_linear_time(spark):
     tokens = ["x" * 300000, "1" * 300000 + "a", "-" * 300000, "a" + "-" * 300000 + "b", "A" + "b" * 300000 + "1", "," * 300000 + "1"]
     got = spark.createDataFrame([(" ".join(["so", *tokens, "end"]),)], "text string").select(F.size(dc.words(F.col("text"))).alias("w"), F.size(dc.template(F.col("text"))).alias("t")).first()
     assert got.w == got.t == 8
+
+
+NUMBERS = "Sort these numbers: 3, 17, 12, 9, 41, 8, 22, 36, 5, 14, 29, 11, 25"
+ALL_NUMBERS = "3 17 12 9 41 8 22 36 5 14 29 11 25 19"
+SIX = "Give 12 plus 30 plus 7"
+
+
+def leaks(spark, docs, items):
+    got = dc.matches(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    return {(r.doc_id, r.item_id): r for r in got.collect()}
+
+
+def test_exact_copies_of_numbers_and_short_items_are_found_at_every_alignment(spark):
+    docs = [" ".join(["so"] * k + [item, "and on"]) for item in (NUMBERS, ALL_NUMBERS, SIX) for k in range(4)]
+    docs += [" ".join(["so"] * k + NUMBERS.split()[3:]) for k in range(4)]
+    got = leaks(spark, docs, [NUMBERS, ALL_NUMBERS, SIX])
+    want = {(4 * i + k, i) for i in range(3) for k in range(4)}
+    assert want <= set(got) and all(got[x].n_changed == 0 for x in want)
+    assert {(d, 0) for d in range(12, 16)} <= set(got)
+    assert not leaks(spark, ["7 2 90 33 6 54 71 18 40 66 13 58 99 20"], [ALL_NUMBERS])
