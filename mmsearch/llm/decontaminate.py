@@ -7,7 +7,7 @@ that exact copies of them still meet. Hits are aligned: along the item's diagona
 equal template words or of equal plain words must reach ``run`` words, or the whole of a shorter item, and its
 slots must be consistent: one item value never stands for two document values. A re-parameterised question
 changes every value the same way and is caught; a text that merely shares the template's words with unrelated
-values is not.
+values is not. As many unchanged words convict whatever the rest of the run holds.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 6, run: int = 13
     cut = cut.withColumn("exact", same("dl", "il"))
     cut = cut.withColumn("canonical", same("dc", "ic")).withColumns({"x": _bounds(F.col("exact")), "c": _bounds(F.col("canonical"))})
     of = lambda c: _runs(F.col(c), F.col("least"))
-    runs = F.when(F.col("plain"), F.slice(F.array_sort(of("c"), lambda p, q: (q["end"] - q["begin"]) - (p["end"] - p["begin"])), 1, 1)).otherwise(of("x"))
+    runs = F.when(F.col("plain"), F.concat(of("x"), of("c"))).otherwise(of("x"))
     cut = cut.withColumn("runs", F.array_distinct(runs)).filter(F.size("runs") > 0).withColumn("r", F.explode("runs"))
     begin, length = F.col("r.begin"), F.col("r.end") - F.col("r.begin")
     part = lambda c: F.slice(F.col(c), begin + 1, length)

@@ -97,3 +97,14 @@ def test_exact_copies_of_numbers_and_short_items_are_found_at_every_alignment(sp
     assert want <= set(got) and all(got[x].n_changed == 0 for x in want)
     assert {(d, 0) for d in range(12, 16)} <= set(got)
     assert not leaks(spark, ["7 2 90 33 6 54 71 18 40 66 13 58 99 20"], [ALL_NUMBERS])
+
+
+def test_every_run_of_a_diagonal_is_judged_and_unchanged_words_always_convict(spark):
+    last = ITEM.replace("when 15", "when 16")
+    two = "one box of 15 pens and one box of 15 nibs go to the shop on the hill before the long day comes to its end and nobody there knows why"
+    w = two.split()
+    # The longest run contradicts itself (15 is 20 and 21), a shorter one on the same diagonal doesn't.
+    later = " ".join(w[:16]).replace("15 pens", "20 pens").replace("15 nibs", "21 nibs") + " ??? " + " ".join(w[17:30])
+    got = leaks(spark, [last, f"{FILL} {last} {FILL}", later, ITEM.replace("40", "41").replace("when 15", "when 16")], [ITEM, two])
+    assert {(0, 0), (1, 0), (2, 1), (3, 0)} == set(got)
+    assert got[0, 0].n_changed == 0 and got[0, 0].run_words == 29 and got[2, 1].doc_word == 17
