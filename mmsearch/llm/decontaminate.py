@@ -4,7 +4,7 @@ Numbers, units and names of a text become typed placeholders, word for word, so
 stay aligned. Windows of ``width`` words are hashed at every word of items and documents, once as plain words
 and once as template words; template windows that are mostly placeholders are left to their plain words, so
 that exact copies of them still meet. Hits are aligned: along the item's diagonal in the document a run of
-equal template words or of equal plain words must reach ``run`` words, or the whole of a shorter item, and its
+words that are equal, plain or as template, must reach ``run`` words, or the whole of a shorter item, and its
 slots must be consistent: one item value never stands for two document values. A re-parameterised question
 changes every value the same way and is caught; a text that merely shares the template's words with unrelated
 values is not. As many unchanged words convict whatever the rest of the run holds.
@@ -31,20 +31,20 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
 
 
-def _given(text: Column) -> Column:
-    return F.coalesce(text, F.lit(""))
+def _single_blanks(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACE}]+", " ")
 
 
 # Possessive runs keep the patterns linear on tokens of any length.
 def literals(text: Column) -> Column:
     """The lower-cased words of a text without edge punctuation, one for each of its words."""
-    t = F.regexp_replace(_given(text), rf"(?<=[\p{{L}}\p{{N}}%])[^\p{{L}}\p{{N}}%{SPACE}]++(?=[{SPACE}]|$)|(?<![^{SPACE}])[^\p{{L}}\p{{N}}{SPACE}]++(?=[\p{{L}}\p{{N}}])", "")
+    t = F.regexp_replace(_single_blanks(text), rf"(?<=[\p{{L}}\p{{N}}%])[^\p{{L}}\p{{N}}%{SPACE}]++(?=[{SPACE}]|$)|(?<![^{SPACE}])[^\p{{L}}\p{{N}}{SPACE}]++(?=[\p{{L}}\p{{N}}])", "")
     return words(F.lower(t))
 
 
 def template(text: Column) -> Column:
     """Template words of a text, one for each of its words: <num>, <unit>, <name>, or the lower-cased word without edge punctuation."""
-    t = _given(text)
+    t = _single_blanks(text)
     t = F.regexp_replace(t, rf"(?<![^{SPACE}])[^\p{{L}}\p{{N}}{SPACE}]*+\p{{N}}[^\p{{L}}{SPACE}]*+(?:(?i:{UNITS}|st|nd|rd|th){_EDGE})?(?![^{SPACE}]*[\p{{L}}\p{{N}}])[^{SPACE}]*", "<num>")
     t = F.regexp_replace(t, rf"(?<=<num>[{SPACE}])(?i:{UNITS}){_EDGE}", "<unit>")
     t = F.regexp_replace(t, rf"(?<=[\p{{L}},;>][ \t])\p{{Lu}}[\p{{L}}'-]*+(?=[^\p{{L}}\p{{N}}{SPACE}]*(?:[{SPACE}]|$))", "<name>")
@@ -75,9 +75,13 @@ def _runs(bounds: Column, least: Column) -> Column:
 
 
 def _index(items: DataFrame, width: int) -> DataFrame:
-    """(item_id, item_place, hash, plain) of the items' windows. plain: at least half of its template words are literal."""
+    """(item_id, item_place, hash, plain) of the items' windows. plain: at least half of its template words are literal.
+
+    The first word of an item has no text before it that could make it a name, so its window is also indexed as it
+    reads inside a sentence.
+    """
     plain = F.size(F.filter(F.slice("ic", F.col("item_place") + 1, width), lambda w: ~_is_slot(w))) * 2 >= width
-    forms = items.select("item_id", "ic", F.posexplode(F.array("il", "ic")).alias("form", "t"))
+    forms = items.select("item_id", "ic", F.posexplode(F.array("il", "ic", "inside")).alias("form", "t"))
     rows = forms.select("item_id", "ic", "form", F.posexplode(windows(F.col("t"), width)).alias("item_place", "hash"))
     return rows.select("item_id", "item_place", "hash", "form", plain.alias("plain")).filter("plain or form = 0").groupBy("item_id", "item_place", "hash").agg(F.max("plain").alias("plain"))
 
@@ -95,9 +99,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 6, run: int = 13
     """
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     text = F.col("text").cast("string")
-    items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), literals(text).alias("il"), template(text).alias("ic"))
+    inside = F.slice(template(F.concat(F.lit("x "), F.ltrim(_single_blanks(text)))), 2, 1 << 30)
+    items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), literals(text).alias("il"), template(text).alias("ic"), inside.alias("inside"))
     items = items.filter(F.size("ic") >= width).distinct()
     index = materialize(_index(items, width), "windows")
+    items = items.drop("inside")
 
     rolled = docs.select("doc_id", literals(F.col("text")).alias("dl"), template(F.col("text")).alias("dc"))
     rolled = rolled.select("doc_id", windows(F.col("dl"), width).alias("x"), F.when(F.col("dl") != F.col("dc"), windows(F.col("dc"), width)).alias("c"))
@@ -118,9 +124,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 6, run: int = 13
     )
     same = lambda a, b: F.zip_with(a, b, lambda x, y: x == y)
     cut = cut.withColumn("exact", same("dl", "il"))
-    cut = cut.withColumn("canonical", same("dc", "ic")).withColumns({"x": _bounds(F.col("exact")), "c": _bounds(F.col("canonical"))})
+    cut = cut.withColumn("canonical", same("dc", "ic")).withColumns({"x": _bounds(F.col("exact")), "c": _bounds(F.col("canonical")), "e": _bounds(F.zip_with("exact", "canonical", lambda x, y: x | y))})
     of = lambda c: _runs(F.col(c), F.col("least"))
-    runs = F.when(F.col("plain"), F.concat(of("x"), of("c"))).otherwise(of("x"))
+    runs = F.when(F.col("plain"), F.concat(of("x"), of("c"), of("e"))).otherwise(of("x"))
     cut = cut.withColumn("runs", F.array_distinct(runs)).filter(F.size("runs") > 0).withColumn("r", F.explode("runs"))
     begin, length = F.col("r.begin"), F.col("r.end") - F.col("r.begin")
     part = lambda c: F.slice(F.col(c), begin + 1, length)

@@ -108,3 +108,11 @@ def test_every_run_of_a_diagonal_is_judged_and_unchanged_words_always_convict(sp
     got = leaks(spark, [last, f"{FILL} {last} {FILL}", later, ITEM.replace("40", "41").replace("when 15", "when 16")], [ITEM, two])
     assert {(0, 0), (1, 0), (2, 1), (3, 0)} == set(got)
     assert got[0, 0].n_changed == 0 and got[0, 0].run_words == 29 and got[2, 1].doc_word == 17
+
+
+def test_words_that_only_their_surroundings_make_names_are_equal(spark):
+    short = "What is the usual name of that old stone bridge"
+    passage = "Paris and Leeds have more people than Rome and York put together these days"
+    docs = [f"they asked {short} twice", f"{short}\nand more", f"so {passage}", passage.replace("than Rome", "than\nRome").replace("and Leeds", "and  Leeds"), ITEM.lower(), "it takes 90  minutes to walk from Leeds over the hill to York in rain", f"then, {SIX.replace('12', '15').replace('30', '40')}"]
+    got = leaks(spark, docs, [short, f"In short {passage}", ITEM, "it takes 45 minutes to walk from Leeds over the hill to York in rain", SIX])
+    assert {(0, 0), (1, 0), (2, 1), (3, 1), (4, 2), (5, 3), (6, 4)} == set(got)
