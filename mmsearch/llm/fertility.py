@@ -32,13 +32,17 @@ class Band:
 
 #: Text in a Latin-script language has well over two characters a token of a 50k multilingual vocabulary; strings of symbols don't.
 LATIN = Band((2.0, 8.0), 0.15, 0.35)
-#: By language code, then by script of most letters, then "": anything else.
+#: By language code, then by script of most letters, then "": anything else. Measured with the 50k multilingual vocabulary:
+#: clean Chinese, Japanese and Korean have 1.0 to 1.7 characters a token and 0.23 to 0.30 fallback, random characters 0.43 to
+#: 0.49 and 0.98 to 0.99; clean Hindi, Thai and Hebrew 0.9 to 1.7 and 0.07 to 0.61, random ones, symbols and emoji 0.33 to 0.55
+#: and 0.90 to 1.0. A script that the vocabulary doesn't know at all (Ethiopic) looks like the latter.
 BANDS = {
     "en": Band((2.0, 8.0), 0.10, 0.35), "de": LATIN, "fr": LATIN, "es": LATIN,
     "latin": LATIN, "cyrillic": Band((0.6, 6.0), 0.6, 0.35), "greek": Band((0.5, 6.0), 0.8, 0.35),
-    "arabic": Band((0.5, 6.0), 0.8, 0.35), "cjk": Band((0.25, 3.0), 1.0, 0.3), "": Band((0.25, 10.0), 1.0, 0.3),
+    "arabic": Band((0.5, 6.0), 0.8, 0.35), "cjk": Band((0.55, 3.0), 0.7, 0.3), "": Band((0.55, 10.0), 0.8, 0.3),
 }
 _SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("arabic", 0x600, 0x6FF), ("cjk", 0x3040, 0x9FFF), ("cjk", 0xAC00, 0xD7A3))
+_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 _BLANK = " \t\n\x0b\x0c\r"
@@ -64,14 +68,14 @@ def _vocabulary(path: str, pattern: str):
 
 
 def script_of(text: str) -> str:
-    """The script of most of the text's letters among those with a band; "" without letters."""
+    """The script of most of the text's letters; "" without letters or if all scripts without a band have more together."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    codes = codes[(codes >= 0x80) | ((codes | 32) - 97 < 26)]
+    codes = codes[_LETTER[codes]]
     counts: dict[str, int] = {}
     for name, lo, hi in _SCRIPTS:
         counts[name] = counts.get(name, 0) + int(((codes >= lo) & (codes <= hi)).sum())
     best = max(counts, key=counts.get)
-    return best if counts[best] else ""
+    return best if counts[best] and counts[best] >= len(codes) - sum(counts.values()) else ""
 
 
 def measure(tokens: np.ndarray, chars: int, part: np.ndarray) -> tuple[float, float, float]:

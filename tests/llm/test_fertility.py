@@ -70,3 +70,34 @@ def test_clashing_columns_and_empty_tables(spark):
     assert ft.keep_good(docs, PATH, PATTERN).columns == docs.columns
     assert ft.quality(docs.filter("doc_id > 1"), PATH, PATTERN).count() == 0 and ft.keep_good(docs.filter("doc_id > 1"), PATH, PATTERN).count() == 0
     assert ft.script_of("Привет мир") == "cyrillic" and ft.script_of("12 !") == ""
+
+
+CLEAN = {
+    "zh": "今天天气很好,我们一起去公园散步。那里有很多人在唱歌跳舞,孩子们在草地上玩耍,老人们坐在长椅上聊天。中午我们在附近的小饭馆吃了面条,味道非常不错,然后坐地铁回家休息。",
+    "ko": "오늘은 날씨가 아주 좋아서 친구들과 함께 공원에 산책하러 갔습니다. 많은 사람들이 노래하고 춤을 추었고 아이들은 잔디밭에서 놀고 있었습니다. 우리는 점심을 먹었습니다.",
+    "hi": "आज मौसम बहुत अच्छा है, इसलिए हम सब पार्क में घूमने गए। वहाँ बहुत से लोग गा रहे थे और नाच रहे थे, बच्चे घास पर खेल रहे थे और बूढ़े लोग बैठकर बातें कर रहे थे।",
+    "th": "วันนี้อากาศดีมาก เราจึงไปเดินเล่นที่สวนสาธารณะด้วยกัน มีคนมากมายร้องเพลงและเต้นรำ เด็กๆ เล่นอยู่บนสนามหญ้า และคนแก่นั่งคุยกันบนม้านั่ง",
+    "he": "היום מזג האוויר יפה מאוד ולכן הלכנו כולנו לטייל בפארק. הרבה אנשים שרו ורקדו, הילדים שיחקו על הדשא והזקנים ישבו על הספסלים ודיברו.",
+}
+
+
+def test_one_latin_letter_does_not_make_a_text_latin():
+    for k, text in CLEAN.items():
+        band = "cjk" if k in ("zh", "ko") else ""
+        assert {ft.script_of(text * 50 + tail) for tail in ("", "a", "\u00a0", "\u00b0")} == {band}
+    assert ft.script_of("été ×" + "\u00a0" * 9) == "latin" and ft.script_of("\u00a0\u00b0") == ""
+
+
+def test_bands_of_cjk_and_other_scripts_tell_clean_from_noisy_texts():
+    rng = random.Random(1)
+    encoding, part = ft._vocabulary(PATH, PATTERN)
+
+    def accepted(text):
+        ids = np.array(encoding.encode_ordinary(text))
+        band = ft.BANDS[ft.script_of(text)]
+        assert len(ids) >= band.min_tokens
+        return ft.verdict(*ft.measure(ids, len(text), part), len(ids), band)
+
+    assert all(accepted(f"{text} {text}\u00a0a") for text in CLEAN.values())
+    for lo, hi in ((0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x904, 0x94D), (0x2190, 0x2600), (0x1F300, 0x1F640)):
+        assert not accepted("".join(chr(rng.randrange(lo, hi)) for _ in range(300)))
