@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_query
 
+#: Rows of a user that the evaluation reads; the app reads the default of feedback().
+EVALUATION_CAP = 1000
+
 
 def label_of(label: Column) -> Column:
     """``bad`` in any case is bad; anything else, null too, is good."""

@@ -349,7 +349,7 @@ def _(t: Inputs) -> DataFrame:
 
 @query("J6_U3_alias_feedback", "SELECT username, query, label, creator FROM aliased")
 def _(t: Inputs) -> DataFrame:
-    return feedback.alias_feedback(feedback.feedback(t.interactions()), t.aliases())
+    return feedback.alias_feedback(feedback.feedback(t.interactions(), feedback.EVALUATION_CAP), t.aliases())
 
 
 @query("A9_feedback_counts", "SELECT username, count(*) FILTER (label = 'good') AS liked, count(*) FILTER (label = 'bad') AS disliked FROM fb GROUP BY username")
@@ -428,7 +428,7 @@ def _(t: Inputs) -> DataFrame:
 
 @query("A7_feedback_precision", "SELECT username, query, count(DISTINCT creator) FILTER (label = 'good') / 10.0 AS precision FROM aliased GROUP BY username, query")
 def _(t: Inputs) -> DataFrame:
-    return evaluate.feedback_precision(feedback.alias_feedback(feedback.feedback(t.interactions()), t.aliases()))
+    return evaluate.feedback_precision(feedback.alias_feedback(feedback.feedback(t.interactions(), feedback.EVALUATION_CAP), t.aliases()))
 
 
 @query("A8_pick_winner", "SELECT config, round(avg(relevant), 6) AS avg_precision FROM labelled JOIN configs USING (config) GROUP BY config, config_pos ORDER BY avg(relevant) DESC, config_pos LIMIT 1")
@@ -439,7 +439,7 @@ def _(t: Inputs) -> DataFrame:
 @query("U4_comparison", "SELECT config, round(avg(relevant), 6) AS avg_precision FROM labelled GROUP BY config UNION ALL SELECT 'existing:' || username, round(sum(p) / 5, 6) FROM (SELECT username, query, count(DISTINCT creator) FILTER (label = 'good') / 10.0 AS p FROM aliased GROUP BY username, query) GROUP BY username HAVING count(*) = 5")
 def _(t: Inputs) -> DataFrame:
     average = evaluate.avg_precision(evaluate.precision_at_k(t.labels()), t.configs(), t.queries())
-    own = evaluate.feedback_average(evaluate.feedback_precision(feedback.alias_feedback(feedback.feedback(t.interactions()), t.aliases())), len(NAMES))
+    own = evaluate.feedback_average(evaluate.feedback_precision(feedback.alias_feedback(feedback.feedback(t.interactions(), feedback.EVALUATION_CAP), t.aliases())), len(NAMES))
     return evaluate.comparison(average, own).withColumn("avg_precision", r6("avg_precision"))
 
 

@@ -103,3 +103,15 @@ def test_planning_edges(spark):
     videos = spark.createDataFrame([("b",), ("a",), ("c",)], "mp4 string")
     assert [(r.slot, r.mp4) for r in planning.recycle_to_target(videos, 7).orderBy("slot").collect()] == list(enumerate("abcabca"))
     assert planning.recycle_to_target(videos, 2).count() == 2 and planning.recycle_to_target(videos.filter("mp4 > 'x'"), 5).count() == 0
+
+
+def test_the_evaluation_reads_1000_rows_of_a_user(spark, monkeypatch):
+    from mmsearch.plans import registry
+    from mmsearch.plans.inputs import Inputs
+
+    i = F.col("id")
+    rows = spark.range(1200).select(i.alias("event_id"), F.lit("u").alias("username"), F.concat(F.lit("c"), i.cast("string")).alias("liked_creator"), F.lit("click").alias("query_context"), F.lit("good").alias("label"), i.alias("timestamp"))
+    monkeypatch.setattr(Inputs, "interactions", lambda self: rows)
+    assert registry.QUERIES["J6_U3_alias_feedback"](spark, "none").count() == 1000
+    assert [r.precision for r in registry.QUERIES["A7_feedback_precision"](spark, "none").collect()] == [100.0]
+    assert registry.QUERIES["F8_F10_feedback"](spark, "none").count() == 500
