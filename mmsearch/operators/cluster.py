@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import shared_path
 
-#: Centroids that Ward's rounds take. Up to so many rows are their own centroids; beyond, k-means makes them on
-#: the cluster first, so the driver holds MICRO * dims numbers whatever the input.
+#: Centroids that the driver takes. While there are more, Ward's rounds are Spark joins; the merges are the same
+#: wherever a round runs. The driver holds MICRO * dims numbers and one (height, a, b) a merge.
 MICRO = 1000
+#: Centroids of a block whose costs to another block are one matrix.
+BLOCK = 1024
 
 
 def ward_merges(size: np.ndarray, center: np.ndarray) -> list[tuple[float, int, int]]:
@@ -45,35 +47,87 @@ def ward_merges(size: np.ndarray, center: np.ndarray) -> list[tuple[float, int,
 
 def cut(merges: list[tuple[float, int, int]], n: int, k: int) -> np.ndarray:
     """Cluster of each of n centroids after the n - k lowest merges, numbered by smallest member."""
-    label = np.arange(n)
+    up = np.arange(n)
     for _, a, b in sorted(merges, key=lambda m: m[0])[: max(0, n - k)]:
-        x, y = label[a], label[b]
-        label[label == max(x, y)] = min(x, y)
-    return np.unique(label, return_inverse=True)[1]
-
-
-def ward_clusters(entries: DataFrame, ks: list[int], seed: int = 1) -> DataFrame:
-    """(creator, features, cluster_<k> for each k) of unit vectors (creator, combined). One dendrogram serves every k."""
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        up[max(a, b)] = min(a, b)
+    for x in range(n):
+        up[x] = up[up[x]]
+    return np.unique(up, return_inverse=True)[1]
+
+
+def _nearest(batches):
+    """(id, cost, other) of the least Ward cost of each centroid of either block, over pairs of blocks."""
+    for batch in batches:
+        for p in batch.to_pylist():
+            (i, n, x), (j, m, y) = ([np.array([r[f] for r in p[side]]) for f in ("id", "n", "v")] for side in ("left", "right"))
+            cost = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0) * (n[:, None] * m[None, :] / (n[:, None] + m[None, :]))
+            if p["a"] == p["b"]:
+                cost[np.tril_indices(len(i))] = np.inf
+            at, to = cost.argmin(1), cost.argmin(0)
+            ids, costs, others = np.concatenate([i, j]), np.concatenate([cost[np.arange(len(i)), at], cost[to, np.arange(len(j))]]), np.concatenate([j[at], i[to]])
+            ok = np.isfinite(costs)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(costs[ok]), pa.array(others[ok])], ["id", "cost", "other"])
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ward_round(cents: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """(centroids after, merges (cost, a, b)) of one round of mutually nearest pairs of centroids (id, n, v).
+
+    Both sides of a pair read one cost matrix and ties go to the smaller id, so the least pair always merges.
+    """
+    blocks = cents.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(-(-count // BLOCK)))).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("id", "n", "v"))).alias("rows"))
+    blocks = _kept(blocks, "blocks")
+    pairs = blocks.select(F.col("b").alias("a"), F.col("rows").alias("left")).join(blocks.select("b", F.col("rows").alias("right")), F.col("a") <= F.col("b"))
+    near = pairs.repartition(F.col("a"), F.col("b")).mapInArrow(_nearest, "id long, cost double, other long").groupBy("id").agg(F.min(F.struct("cost", "other")).alias("m"))
+    near = _kept(near.select("id", "m.cost", "m.other"), "nearest")
+    back = near.select(F.col("id").alias("other"), F.col("other").alias("id"))
+    merges = _kept(near.join(back, ["id", "other"]).filter("id < other").select("cost", F.col("id").alias("a"), F.col("other").alias("b")), "merges")
+    into = merges.select(F.col("b").alias("id"), F.col("a").alias("to"))
+    total = F.sum("n")
+    part = cents.join(into, "id", "left").select(F.coalesce("to", "id").alias("id"), "n", "v")
+    rows = F.array_sort(F.collect_list(F.struct("n", "v")))
+    mean = F.when(F.size("r") == 1, F.col("r")[0]["v"]).otherwise(F.zip_with(F.col("r")[0]["v"], F.col("r")[1]["v"], lambda x, y: (x * F.col("r")[0]["n"] + y * F.col("r")[1]["n"]) / F.col("n")))
+    return _kept(part.groupBy("id").agg(total.alias("n"), rows.alias("r")).select("id", "n", mean.alias("v")), "centroids"), merges
+
+
+def ward_clusters(entries: DataFrame, ks: list[int]) -> DataFrame:
+    """(creator, features, cluster_<k> for each k) of unit vectors (creator, combined). One dendrogram serves every k.
+
+    Exact at every size. Equal vectors are one weighted centroid from the start and never parted: k above the
+    number of distinct vectors gives that many clusters.
+    """
     spark = entries.sparkSession
-    rows = entries.select("creator", array_to_vector("combined").alias("features"))
-    if rows.count() <= MICRO:
-        got = rows.orderBy("creator").select("creator", vector_to_array("features").alias("v")).collect()
-        keys, center, size = [r[0] for r in got], np.array([r[1] for r in got]), np.ones(len(got))
-        key = "creator"
-    else:
-        model = KMeans(k=MICRO, seed=seed, featuresCol="features", predictionCol="micro", maxIter=10).fit(rows)
-        rows = model.transform(rows)
-        counts = {r[0]: r[1] for r in rows.groupBy("micro").count().collect()}
-        keys = sorted(counts)
-        center, size = np.array(model.clusterCenters())[keys], np.array([counts[i] for i in keys], float)
-        key = "micro"
-    if not keys:
-        return rows.select("creator", "features", *(F.lit(0).alias(f"cluster_{k}") for k in ks))
-    merges = ward_merges(size, center)
-    labels = [cut(merges, len(keys), k).tolist() for k in ks]
-    kind = "string" if key == "creator" else "int"
-    table = spark.createDataFrame(list(zip(keys, *labels, strict=True)), f"{key} {kind}, " + ", ".join(f"cluster_{k} int" for k in ks))
-    return rows.join(F.broadcast(table), key).select("creator", "features", *(f"cluster_{k}" for k in ks))
+    rows = _kept(entries.select("creator", F.col("combined").alias("v")).orderBy("creator").withColumn("id", F.monotonically_increasing_id()), "numbered")
+    first = _kept(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").cast("double").alias("n")), "centroids")
+    cents, merges, count = first.select("id", "n", "v"), [], first.count()
+    if not count:
+        return rows.select("creator", array_to_vector("v").alias("features"), *(F.lit(0).alias(f"cluster_{k}") for k in ks))
+    few = count <= MICRO
+    while count > MICRO:
+        cents, merged = ward_round(cents, count)
+        done = merged.collect()
+        if not done:
+            raise ValueError("no pair of centroids has a finite cost")
+        merges += map(tuple, done)
+        count -= len(done)
+    left = cents.orderBy("id").collect()
+    own = [r.id for r in left]
+    merges += [(h, own[a], own[b]) for h, a, b in ward_merges(np.array([r.n for r in left]), np.array([r.v for r in left]))]
+    ids = np.array(sorted({*own, *(m[1] for m in merges), *(m[2] for m in merges)}))
+    places = [(h, int(np.searchsorted(ids, a)), int(np.searchsorted(ids, b))) for h, a, b in merges]
+    labels = [cut(places, len(ids), k).tolist() for k in ks]
+    table = spark.createDataFrame(list(zip(ids.tolist(), *labels, strict=True)), "id long, " + ", ".join(f"cluster_{k} int" for k in ks))
+    table = first.select("id", "v").join(table, "id").drop("id")
+    return rows.drop("id").join(F.broadcast(table) if few else table, "v").select("creator", array_to_vector("v").alias("features"), *(f"cluster_{k}" for k in ks))
 
 
 def cluster_sizes(df: DataFrame, column: str = "cluster_id") -> DataFrame:

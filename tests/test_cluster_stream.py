@@ -126,3 +126,17 @@ def test_an_incomplete_group_comes_out_after_the_timeout(spark):
     finally:
         q.stop()
     assert {r.creator: r.complete for r in rows} == {"c0": True, "c1": False, "c2": True, "c3": True}
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_rounds_in_spark_give_the_clusters_of_naive_ward(spark, monkeypatch, block):
+    monkeypatch.setattr(cluster, "MICRO", 20)
+    monkeypatch.setattr(cluster, "BLOCK", block)
+    x, df = points(spark)
+    df = df.unionByName(df.filter("creator < 'c003'").withColumn("creator", F.concat(F.lit("x"), "creator")))
+    ks = [3, 6, 10]
+    rows = sorted(cluster.ward_clusters(df, ks).collect(), key=lambda r: r.creator)
+    x = np.concatenate([x, x[:3]])
+    for k in ks:
+        labels = np.array([r[f"cluster_{k}"] for r in rows])
+        assert {frozenset(np.flatnonzero(labels == c).tolist()) for c in set(labels.tolist())} == naive_ward(x, k)
