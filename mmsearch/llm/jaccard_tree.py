@@ -98,7 +98,7 @@ def bitmap(tokens: np.ndarray, bits_per_token: int = 2) -> bytes:
 
 
 class Forest:
-    """One tree per bitmap length. Sets that can link lie in the same or in neighbouring lengths."""
+    """One tree per bitmap length. Sets that can link differ by a factor den / num in size, so by no more doublings of length than that holds."""
 
     def __init__(self, bitmaps: list[bytes], size: np.ndarray):
         width = np.array([len(b) // 8 for b in bitmaps])
@@ -111,9 +111,12 @@ class Forest:
     def pairs(self, num: int, den: int, skip=None):
         for w, tree in self.trees.items():
             yield from dual(tree, tree, num, den, skip)
-            if 2 * w in self.bits:
-                at, bits, size = self.bits[2 * w]
-                yield from dual(tree, Tree(at, fold(bits, w), size), num, den, skip)
+            wider = 2 * w
+            while wider * num < 2 * w * den:
+                if wider in self.bits:
+                    at, bits, size = self.bits[wider]
+                    yield from dual(tree, Tree(at, fold(bits, w), size), num, den, skip)
+                wider *= 2
 
 
 class Labels:

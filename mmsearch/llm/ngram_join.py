@@ -6,13 +6,19 @@ Plan
     fixed size (2**20 counters, 4 MB, whatever the input).
  2. ``meeting pairs``: under the order (sketch count, token), sets with Jaccard >= t share one of their
     first ``size - ceil(t * size) + 1`` tokens, rare ones first. These prefixes are dealt out by token;
-    in a token's group every key meets the group's least key, the pivot.
- 3. signature trees: the keys that met a pivot form a tree of bitmaps; dual traversal drops node pairs by
-    size range and greatest possible overlap. What is left are the keys that may have a link.
- 4. their token sets alone are fetched, dual traversal runs again with exact overlaps on the leaves; pairs
-    that are already in one component need no look. Groups above ``GROUP`` keys are split into all pairs
-    of blocks, so no task holds an unbounded group and no pair is lost.
- 5. star edges of the groups go through connected components.
+    in a token's group every key meets the group's least key, the pivot. A task sends a set's prefix once,
+    however many copies it reads.
+ 3. first round: every key goes to one group only, that of its least pivot. The keys of a group form a
+    tree of bitmaps; dual traversal drops node pairs by size range and greatest possible overlap. The
+    token sets of what is left meet once, and exact overlaps give the first components.
+ 4. second round: groups whose members all lie in one component, or whose pairs the first round has all
+    seen, need no look, and of groups with the same members one is enough. In the rest, trees are traversed again for pairs of different components, and
+    only the members of such pairs send their token sets.
+ 5. the star edges of both rounds go through connected components.
+
+Groups above ``GROUP`` keys or ``TOKENS`` tokens are split into blocks. The first round looks within
+blocks, each with the pivot in it, the second at all pairs of blocks that more than one component shares;
+so no task holds an unbounded group and no pair is lost.
 """
 
 from __future__ import annotations
@@ -27,13 +33,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .jaccard_tree import Forest, Labels, bitmap
-from .store import BROADCAST_ROWS, materialize
+from .store import BROADCAST_ROWS, lookup_join, materialize
 from .text import Words, chunks, planes, splitmix, unplanes
 
 CELL_BITS, SLICES = 20, 16
 CELLS = 1 << CELL_BITS
-#: Keys that one tree holds at most; larger groups are split into pairs of blocks.
-GROUP = 4096
+#: Keys and tokens that one block of a group holds about at most; larger groups are split into blocks.
+GROUP, TOKENS = 4096, 1 << 21
+#: Set keys that a task remembers, so that it sends the prefix of a copied set once; past these it starts over.
+SEEN = 1 << 18
 _I64 = lambda a: pa.array(np.asarray(a).astype(np.uint64).view(np.int64), pa.int64())
 
 
@@ -96,13 +104,18 @@ def _sketch(profiles: DataFrame) -> np.ndarray:
 
 def _prefix_rows(n: int, num: int, den: int, buckets: int, sketch):
     def run(batches):
-        order = sketch.value
+        order, seen = sketch.value, set()
         for batch in batches:
             for _, _, raw, at in chunks(batch, limit=1 << 22):
                 tok, key = [], []
                 for s in Words(raw, at, lower=True).shingle_sets(n):
                     if len(s):
                         k = _set_key(s)
+                        if k in seen:
+                            continue
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(k)
                         take = len(s) - -(-num * len(s) // den) + 1
                         s = s[np.lexsort((s, order[_cell(s)]))[:take]]
                         tok.append(s)
@@ -169,21 +182,30 @@ def _by_group(work, schema_names: list[str], group: list[str]):
 
 
 def _may_link(num: int, den: int):
-    """Members of a group whose bitmaps leave room for a link with another member."""
+    """Members of a group whose bitmaps leave room for a link with a member of another component.
+
+    part: the least place of those that such pairs connect. A pair needs no look if it lies in one component already, in one
+    block where two different ones meet, or if both have been flagged in the same part.
+    """
 
     def work(group, table):
-        key = table.column("key").to_numpy()
+        key, label = table.column("key").to_numpy(), table.column("label").to_numpy()
         size, block = table.column("size").to_numpy(), table.column("block").to_numpy()
-        labels = Labels(len(key))
         cross = group[1] != group[2]
-        skip = (lambda i, j: labels.same(i, j) | (block[i] == block[j])) if cross else labels.same
+        parts, flagged = Labels(len(key)), np.zeros(len(key), bool)
+
+        def skip(i, j):
+            known = (label[i] == label[j]) | (parts.same(i, j) & flagged[i] & flagged[j])
+            return known | (block[i] == block[j]) if cross else known
+
         for i, j in Forest(table.column("bits").to_pylist(), size).pairs(num, den, skip):
-            labels.join(i, j)
-        many = np.bincount(labels.label, minlength=len(key))[labels.label] > 1
-        if not many.any():
+            flagged[i] = flagged[j] = True
+            parts.join(i, j)
+        if not flagged.any():
             return None
-        k = int(many.sum())
-        return [np.full(k, g, np.int64) for g in group] + [key[many], block[many], labels.label[many].astype(np.int64)]
+        k = int(flagged.sum())
+        place = [*(np.full(k, g, np.int64) for g in group), parts.label[flagged].astype(np.int64)]
+        return [*place, key[flagged], block[flagged], label[flagged]]
 
     return work
 
@@ -192,7 +214,9 @@ def _exact(num: int, den: int):
     """Star edges of the exact components inside a group of candidates."""
 
     def work(group, table):
-        key, block = table.column("key").to_numpy(), table.column("block").to_numpy()
+        _, once = np.unique(np.stack([table.column(c).to_numpy() for c in ("key", "block")], 1), axis=0, return_index=True)
+        table = table.take(once)
+        key, block, known = (table.column(c).to_numpy() for c in ("key", "block", "label"))
         sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
         size = np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
@@ -200,6 +224,9 @@ def _exact(num: int, den: int):
         head = np.concatenate([[0], np.cumsum(size)])
         mark = np.zeros(len(names), bool)
         labels = Labels(len(key))
+        _, first, of = np.unique(known, return_index=True, return_inverse=True)
+        labels.label = first[of]
+        start = labels.label.copy()
         cross = group[1] != group[2]
         skip = (lambda i, j: labels.same(i, j) | (block[i] == block[j])) if cross else labels.same
         for i, j in Forest([bitmap(s) for s in sets], size).pairs(num, den, skip):
@@ -216,20 +243,26 @@ def _exact(num: int, den: int):
                     if len(linked):
                         labels.join(np.full(len(linked), x), linked)
                 mark[flat[head[x] : head[x + 1]]] = False
-        child = np.flatnonzero(labels.label != np.arange(len(key)))
+        child = np.flatnonzero(labels.label != start)
         return [key[child], key[labels.label[child]]] if len(child) else None
 
     return work
 
 
+_PLACE = ["pivot", "b1", "b2", "part"]
+
+
 def _tokens(n: int):
-    """Token sets under their own keys, so that a doc_id with several texts mixes nothing up."""
+    """Token sets of the texts that have the wanted key, with the place they are wanted at."""
 
     def run(batches):
         for batch in batches:
-            for _, _, raw, at in chunks(batch):
+            for a, b, raw, at in chunks(batch):
                 sets = Words(raw, at, lower=True).shingle_sets(n)
-                yield pa.RecordBatch.from_arrays([_I64([_set_key(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "tokens"])
+                own = np.array([_set_key(s) for s in sets], np.uint64).view(np.int64)
+                right = np.flatnonzero(own == batch.column("key").slice(a, b - a).to_numpy())
+                rest = [batch.column(c).slice(a, b - a).take(pa.array(right)) for c in (*_PLACE, "key", "block", "label")]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array([sets[k].tobytes() for k in right], pa.binary())], [*_PLACE, "key", "block", "label", "tokens"])
 
     return run
 
@@ -252,33 +285,65 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     total = rows.agg(F.sum("size")).first()[0] or 0
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(shuffles, math.ceil(total / 4_000_000))
-    keyed = rows.filter("size > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bits").alias("bits"))
+    keyed = materialize(rows.filter("size > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("size").alias("size"), F.first("bits").alias("bits")), "keyed")
 
     prefixes = docs.filter("doc_id is not null").mapInArrow(_prefix_rows(n, num, den, buckets, sketch), "bucket long, tok binary, key binary")
     met = materialize(prefixes.groupBy("bucket").applyInArrow(_meet, "pivot long, key long").distinct(), "met")
-    met = met.union(met.select("pivot", F.col("pivot").alias("key")).distinct())
-    blocks = met.groupBy("pivot").agg(F.ceil(F.count("*") / group).cast("int").alias("blocks"))
-    split = met.join(blocks, "pivot").select("pivot", "key", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
-    split = split.select("pivot", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("pivot", "key", F.col("block").cast("long").alias("block"), F.least("block", "o").cast("long").alias("b1"), F.greatest("block", "o").cast("long").alias("b2"))
-    ids = ["pivot", "b1", "b2"]
-    grouped = split.join(keyed.select("key", "size", "bits"), "key").repartition(*ids).sortWithinPartitions(*ids)
-    may = materialize(grouped.mapInArrow(_by_group(_may_link(num, den), [*ids, "key", "block", "part"], ids), "pivot long, b1 long, b2 long, key long, block long, part long"), "may")
-
-    wanted = may.select("key").distinct().join(keyed.select("key", "doc_id"), "key")
-    wanted = materialize(wanted, "wanted")
-    n_wanted = wanted.count()
-    texts = docs.join(F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted, "doc_id").select("text")
-    sets = texts.mapInArrow(_tokens(n), "key long, tokens binary").dropDuplicates(["key"])
-    ids = [*ids, "part"]
-    ready = may.join(sets, "key").repartition(*ids).sortWithinPartitions(*ids)
-    edges = ready.mapInArrow(_by_group(_exact(num, den), ["u", "v"], ids), "u long, v long")
+    sizes, bitmaps = keyed.select("key", "size"), keyed.select("key", "size", "bits")
+    blocks = F.greatest(F.ceil(F.col("n") / group), F.ceil(F.col("total") / TOKENS)).cast("int").alias("blocks")
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("long")
+    counted = (F.count("*").alias("n"), F.sum("size").alias("total"))
+
+    def looked(places: DataFrame, name: str) -> DataFrame:
+        """Star edges of exact links between members of different labels; places: pivot, b1, b2, block, key, label."""
+        places = lookup_join(bitmaps, materialize(places, f"places-{name}"), "key")
+        ids, fields = _PLACE[:3], [*_PLACE, "key", "block", "label"]
+        types = ", ".join(f"{c} long" for c in fields)
+        may = places.repartition(*ids).sortWithinPartitions(*ids).mapInArrow(_by_group(_may_link(num, den), fields, ids), types)
+        may = materialize(materialize(may, f"may-{name}").join(keyed.select("key", "doc_id"), "key"), f"wanted-{name}")
+        texts = lookup_join(docs, may, "doc_id").select("text", *fields)
+        sets = texts.mapInArrow(_tokens(n), f"{types}, tokens binary").repartition(*_PLACE).sortWithinPartitions(*_PLACE)
+        return materialize(sets.mapInArrow(_by_group(_exact(num, den), ["u", "v"], _PLACE), "u long, v long"), f"links-{name}")
+
+    mine = materialize(met.groupBy("key").agg(F.min("pivot").alias("pivot")), "mine")
+    cut = mine.join(sizes, "key").groupBy("pivot").agg(*counted).select("pivot", blocks)
+    members = mine.join(cut, "pivot").select("pivot", block.alias("block"), "key")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block")
+    places = members.unionByName(cut.select("pivot", every, F.col("pivot").alias("key")))
+    first = looked(places.select("pivot", F.col("block").alias("b1"), F.col("block").alias("b2"), "block", "key", F.col("key").alias("label")), "first")
+
+    known = components(first).select(F.col("node").alias("key"), "label")
+    own = met.join(mine.withColumnRenamed("pivot", "least"), "key").select("pivot", "key", (F.col("pivot") == F.col("least")).alias("seen"))
+    own = own.union(met.select("pivot", F.col("pivot").alias("key"), F.lit(True)).distinct())
+    groups = own.join(known, "key", "left").join(sizes, "key").select("pivot", "key", "size", "seen", F.coalesce("label", "key").alias("label"))
+    groups = materialize(groups, "groups")
+    same = F.struct(F.count("*"), F.sum(F.xxhash64("key").cast("decimal(20,0)")), F.bit_xor(F.xxhash64(F.col("key"), F.lit(7))))
+    mixed = groups.groupBy("pivot").agg(*counted, F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("seen").alias("seen"), same.alias("members"))
+    mixed = mixed.select("*", blocks).filter("lo <> hi and not (seen and blocks = 1)")
+    mixed = mixed.groupBy("members").agg(F.min(F.struct("pivot", "blocks")).alias("g")).select("g.*")
+    split = materialize(groups.join(mixed, "pivot").select("pivot", "key", "label", block.alias("block")), "split")
+    ends = split.groupBy("pivot", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    left = ends.select("pivot", F.col("block").alias("b1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    right = ends.select("pivot", F.col("block").alias("b2"), "lo", "hi")
+    pairs = left.join(right, "pivot").filter("b1 <= b2 and least(lo, lo1) <> greatest(hi, hi1)")
+    sides = pairs.select("pivot", "b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
+    second = looked(split.join(sides, ["pivot", "block"]).select("pivot", "b1", "b2", "block", "key", "label"), "second")
+    edges = first.unionByName(second)
     labels = components(edges)
     named = labels.join(keyed.select(F.col("key").alias("node"), "doc_id"), "node")
     named = named.join(named.groupBy("label").agg(F.min("doc_id").alias("component")), "label").select(F.col("node").alias("key"), "component")
-    least = keyed.select("key", F.col("doc_id").alias("own")).join(named, "key", "left").select("key", F.coalesce("component", "own").alias("component"))
-    out = rows.select("doc_id", "size", "key").join(least, "key", "left")
-    component = F.when((F.col("size") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
+    # Keys of many rows are few, at most total / hot, and go by broadcast; the rows of the others are dealt by key.
+    least = keyed.select("key", "rows", F.col("doc_id").alias("own")).join(named, "key", "left").select("key", "rows", F.coalesce("component", "own").alias("component"))
+    least = materialize(least, "least")
+    hot = max(64, math.ceil(rows.count() / BROADCAST_ROWS))
+    fields = ["doc_id", "size", "component"]
+    able = (F.col("size") > 0) & F.col("doc_id").isNotNull()
+    apart = rows.filter(~able).select("doc_id", "size", F.col("doc_id").alias("component"))
+    found = rows.filter(able).select("doc_id", "size", "key").join(F.broadcast(least.filter(F.col("rows") >= hot).select("key", "component")), "key", "left")
+    cold = least.filter(F.col("rows") < hot).select("key", "component")
+    rest = found.filter("component is null").drop("component").join(cold, "key").select(*fields)
+    out = found.filter("component is not null").select(*fields).unionByName(rest).unionByName(apart)
+    return out.select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -288,7 +353,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int =
     """
     found = materialize(jaccard_components(docs, n, num, den), "components")
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = lookup_join(docs, materialize(gone, "gone"), "doc_id", "left_anti")
     twice = found.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     if twice:
         worded = F.coalesce(F.regexp_like("text", F.lit(r"[^ \t-\r]")), F.lit(False)) & F.col("doc_id").isNotNull()

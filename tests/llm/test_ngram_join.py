@@ -53,6 +53,25 @@ def test_components_match_brute_force(spark, n, num, group):
     assert sorted(map(tuple, got)) == brute(rows, n, num, 100)
 
 
+@pytest.mark.parametrize("group", [4096, 5])
+def test_large_clusters_of_near_and_exact_copies(spark, group):
+    """One text in a third of all rows, one large cluster of near copies that only chains connect, and texts that share a passage."""
+    rng = random.Random(11)
+    vocab = [f"v{k}" for k in range(400)]
+    base, passage = [rng.choice(vocab) for _ in range(120)], [f"p{k}" for k in range(40)]
+    rows = [(3 * k, "the same words in a third of all rows of this table") for k in range(90)]
+    chain = list(base)
+    for k in range(60):
+        chain[rng.randrange(len(chain))] = rng.choice(vocab)
+        rows.append((1000 + 7 * (k * 37 % 60), " ".join(chain)))
+    for k in range(60):
+        own = [rng.choice(vocab) for _ in range(rng.choice((4, 12, 60)))]
+        rows.append((3000 + k, " ".join(own + passage)))
+    rng.shuffle(rows)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 5, 80, 100, group=group).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 5, 80, 100)
+
+
 def test_edge_rows(spark):
     text = " ".join(f"word{k}" for k in range(3000))
     rows = [(5, text, 1, 2), (3, text + " more", 1, 2), (3, text + " more", 1, 2), (None, text, 1, 2), (8, None, 1, 2)]
@@ -93,6 +112,20 @@ def test_trees_lose_no_link():
     assert len(found) < len(sets) * (len(sets) - 1) / 4
 
 
+@pytest.mark.parametrize(("num", "den"), [(1, 4), (1, 10), (1, 2)])
+def test_trees_lose_no_link_at_low_thresholds(num, den):
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 2**62, rng.integers(40, 400)).astype(np.uint64)
+        sets += [np.unique(base[: max(1, int(len(base) * share))]) for share in (1, 0.7, 0.4, 0.3, 0.26, 0.12)]
+    found = {tuple(sorted(p)) for i, j in Forest([bitmap(s) for s in sets], np.array([len(s) for s in sets])).pairs(num, den) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            assert den * common < num * (len(sets[i]) + len(sets[j]) - common) or (j, i) in found
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
