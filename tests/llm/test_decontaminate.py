@@ -116,3 +116,32 @@ def test_words_that_only_their_surroundings_make_names_are_equal(spark):
     docs = [f"they asked {short} twice", f"{short}\nand more", f"so {passage}", passage.replace("than Rome", "than\nRome").replace("and Leeds", "and  Leeds"), ITEM.lower(), "it takes 90  minutes to walk from Leeds over the hill to York in rain", f"then, {SIX.replace('12', '15').replace('30', '40')}"]
     got = leaks(spark, docs, [short, f"In short {passage}", ITEM, "it takes 45 minutes to walk from Leeds over the hill to York in rain", SIX])
     assert {(0, 0), (1, 0), (2, 1), (3, 1), (4, 2), (5, 3), (6, 4)} == set(got)
+
+
+def test_items_of_few_words_must_stand_whole_and_unchanged(spark):
+    items = ["Is 7 a prime number?", "Name the capital", "Why not", "Which of these seven rivers is longest"]
+    docs = ["they asked: is 7 a prime number? Nobody knew.", "Is 9 a prime number?", "is 7 a prime", "name the Capital", "why not", "Tell me which of these seven rivers is longest, please", "which of these seven lakes is longest", None, ""]
+    assert set(leaks(spark, docs, items)) == {(0, 0), (3, 1), (5, 3)}
+
+
+def test_recall_on_reparameterised_items_dense_in_slots_and_on_german(spark):
+    """Planted items with new numbers and names; brute force over words would find each of them."""
+    rng = random.Random(21)
+    names, german = ["Tom", "Ann", "Lee", "Kim", "Max", "Eva", "Jan", "Ida"], ["Hund", "Haus", "Wald", "Zug", "Stadt", "Fluss", "Berg", "Brief"]
+    items, docs = [], []
+    for k in range(40):
+        a, b, c, d = rng.sample(names, 4)
+        n = [str(rng.randint(2, 99)) for _ in range(5)]
+        verb = rng.choice(["owns", "sells", "wants", "finds"])
+        form = f"if {{a}} has {{n0}} kg and {{b}} {verb} {{n1}} kg of item{k} then {{c}} pays {{n2}} euros and {{d}} takes {{n3}} for {{n4}} days"
+        if k % 2:
+            g = rng.sample(german, 4)
+            form = f"der {{a}} sah den {g[0]}{k} und das {g[1]} am {g[2]} mit {{n0}} {g[3]} bei {{b}} nach {{n1}} tagen von {{c}} gegen {{n2}}"
+        fill = lambda x, m: form.format(a=x[0], b=x[1], c=x[2], d=x[3], **{f"n{i}": m[i] for i in range(5)})
+        items.append(fill((a, b, c, d), n))
+        other = dict(zip(names, rng.sample(names, 8), strict=True))
+        new = {x: str(100 + i) for i, x in enumerate(dict.fromkeys(n))}
+        docs.append("so the story goes on: " + fill([other[x] for x in (a, b, c, d)], [new[x] for x in n]) + " and that is all there is to say")
+    clean = [" ".join(rng.choice(["der", "die", "und", "mit", "7", "kg", "for", "days", rng.choice(names), rng.choice(german)]) for _ in range(80)) for _ in range(40)]
+    got = leaks(spark, docs + clean, items)
+    assert sum((k, k) in got for k in range(40)) >= 36 and all(d < 40 for d, _ in got)
