@@ -106,7 +106,7 @@ def _prefix_rows(n: int, num: int, den: int, buckets: int, sketch):
     def run(batches):
         order, seen = sketch.value, set()
         for batch in batches:
-            for _, _, raw, at in chunks(batch, limit=1 << 22):
+            for _, _, raw, at in chunks(batch, limit=1 << 21):
                 tok, key = [], []
                 for s in Words(raw, at, lower=True).shingle_sets(n):
                     if len(s):

@@ -84,7 +84,7 @@ class Words:
             return np.zeros(0, np.uint64)
         total = int(size.sum())
         head = np.concatenate([[0], np.cumsum(size)[:-1]])
-        place = np.arange(total) - np.repeat(head, size)
+        place = np.arange(total, dtype=np.int32) - np.repeat(head.astype(np.int32), size)  # a chunk or text is under 2 GB
         cell = _TABLE[(place & (_SPAN - 1)) * 256 + self.raw[self.inside[:-1]]]
         with np.errstate(over="ignore"):
             if size.max() > _SPAN:
