@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +15,10 @@ from ..sources.files import last_wins
 def pool_frames(frames: DataFrame, creators: DataFrame, dims: int) -> DataFrame:
     """A1: (creator, img): mean of unit frame vectors, not normalised again; zeros where no frame decodes.
 
-    One average a dimension: partial sums before the shuffle, no explode.
+    One vector aggregate with partial sums before the shuffle, whatever the dimensions; no explode.
     """
-    unit_frames = frames.select("creator", unit(F.col("v"), 1e-8).alias("u"))
-    means = unit_frames.groupBy("creator").agg(*(F.avg(F.col("u")[k]).alias(f"m{k}") for k in range(dims)))
-    pooled = means.select("creator", F.array(*(f"m{k}" for k in range(dims))).alias("img"))
+    unit_frames = frames.filter("v is not null").select("creator", array_to_vector(unit(F.col("v"), 1e-8)).alias("u"))
+    pooled = unit_frames.groupBy("creator").agg(Summarizer.mean(F.col("u")).alias("m")).select("creator", vector_to_array("m").alias("img"))
     zeros = F.array_repeat(F.lit(0.0), dims)
     return creators.select("creator").join(pooled, "creator", "left").select("creator", F.coalesce("img", zeros).alias("img"))
 

@@ -28,15 +28,24 @@ def feedback_vectors(fb: DataFrame, entries: DataFrame, most: int = 10) -> DataF
     return chosen.groupBy("username", "query", "label").agg(F.collect_list("v").alias("vectors")).select("username", "query", "label", _mean("vectors").alias("v"))
 
 
-def personalize(pool: DataFrame, fb: DataFrame, entries: DataFrame, most: int = 10) -> DataFrame:
-    """Candidates (query, rank, creator, score) re-scored for each (username, query) with feedback.
+#: Rows of a pool with their vectors that are broadcast; a larger pool is joined by shuffle.
+POOL_ROWS = 5_000
+
+
+def personalize(pool: DataFrame, fb: DataFrame, entries: DataFrame, most: int = 10, requests: DataFrame | None = None) -> DataFrame:
+    """Candidates (query, rank, creator, score) re-scored for each distinct (username, query) of requests.
+
+    Without requests, every pair that gave feedback is one. A pair without feedback gets its pool at 0.7.
 
     0.7 * score + 0.25 * mean similarity to liked - 0.25 * mean similarity to disliked creators; a term is
     absent without usable feedback, the 0.7 stays. Negative means flip their sign.
     """
     v = feedback_vectors(fb, entries, most).groupBy("username", "query").agg(F.first(F.when(F.col("label") == "good", F.col("v")), True).alias("good"), F.first(F.when(F.col("label") == "bad", F.col("v")), True).alias("bad"))
-    pairs = fb.select("username", "query").distinct().join(v, ["username", "query"], "left")
-    rows = pairs.join(pool, "query").join(entries.select("creator", "combined"), "creator")
+    asked = (fb if requests is None else requests).select("username", "query").distinct()
+    # A pool row gets its vector once, not once a user; users then meet the few rows of their query.
+    known = pool.join(entries.select("creator", "combined"), "creator")
+    few = known.limit(POOL_ROWS + 1).count() <= POOL_ROWS
+    rows = asked.join(v, ["username", "query"], "left").join(F.broadcast(known) if few else known, "query")
     near = lambda v: F.coalesce(dot(F.col("combined"), v), F.lit(0.0)) * 0.25
     rows = rows.withColumn("boost", near(F.col("good"))).withColumn("penalty", near(F.col("bad")))
     return rows.select(

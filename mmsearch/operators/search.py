@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, fuse
 
-#: Queries that one pass takes; they are broadcast, so more of them mean more passes, each over all entries.
+#: Queries that one pass takes; more of them mean more passes, each over all entries.
 QUERY_BLOCK = 4096
 
 
@@ -53,14 +53,18 @@ def search(entries: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query, rank, creator, score), exact, score descending then creator; k above the number of entries gives all.
 
     The stated query set meets all entries in Arrow blocks: a matrix product and a partial top k a block, then
-    one ranking of what is left. Queries are taken QUERY_BLOCK at a time.
+    one ranking of what is left. Queries are taken about QUERY_BLOCK at a time, each block by a pass over all entries.
     """
-    rows = queries.select("query", "q").limit(QUERY_BLOCK + 1).collect()
-    if len(rows) > QUERY_BLOCK:
-        raise ValueError(f"at most {QUERY_BLOCK} queries a pass; split the query table")
-    if not rows:
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    found = None
+    for block in range(blocks):
+        rows = queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).select("query", "q").collect()
+        if rows:
+            work = _partial([r[0] for r in rows], np.array([r[1] for r in rows]), k)
+            part = entries.select("creator", "combined").mapInArrow(work, "query string, creator string, score double")
+            found = part if found is None else found.unionByName(part)
+    if found is None:
         return score_cross(entries, queries).select("query", F.lit(1).alias("rank"), "creator", "score")
-    found = entries.select("creator", "combined").mapInArrow(_partial([r[0] for r in rows], np.array([r[1] for r in rows]), k), "query string, creator string, score double")
     return top_k(found, k, ["query"]).select("query", "rank", "creator", "score")
 
 

@@ -157,9 +157,10 @@ CTES = {
     "fb": "SELECT username, n, trim(regexp_replace(lower(coalesce(query_context, '')), '\\s+', ' ', 'g')) AS query, liked_creator AS creator, CASE WHEN lower(label) = 'bad' THEN 'bad' ELSE 'good' END AS label FROM user_rows WHERE liked_creator <> ''",
     "fbvecs": "SELECT f.username, f.query, f.label, f.n, e.combined AS v FROM (SELECT *, row_number() OVER (PARTITION BY username, query, label ORDER BY n) AS k FROM fb) f JOIN entries e USING (creator) WHERE f.k <= 10",
     "sims": "SELECT v.username, h.query, h.creator, coalesce(avg(list_dot_product(e.combined, v.v)) FILTER (v.label = 'good'), 0) * 0.25 AS boost, coalesce(avg(list_dot_product(e.combined, v.v)) FILTER (v.label = 'bad'), 0) * 0.25 AS penalty FROM fbvecs v JOIN hits30 h USING (query) JOIN entries e ON e.creator = h.creator GROUP BY v.username, h.query, h.creator",
-    "scored": "SELECT p.username, h.query, h.creator, h.rank AS original_rank, h.score AS original_score, h.score * 0.7 + coalesce(s.boost, 0) - coalesce(s.penalty, 0) AS score, coalesce(s.boost, 0) AS similarity_boost, coalesce(s.penalty, 0) AS similarity_penalty FROM (SELECT DISTINCT username, query FROM fb) p JOIN hits30 h USING (query) LEFT JOIN sims s ON s.username = p.username AND s.query = h.query AND s.creator = h.creator",
+    "scored": "SELECT p.username, h.query, h.creator, h.rank AS original_rank, h.score AS original_score, h.score * 0.7 + coalesce(s.boost, 0) - coalesce(s.penalty, 0) AS score, coalesce(s.boost, 0) AS similarity_boost, coalesce(s.penalty, 0) AS similarity_penalty FROM (SELECT username, q.query FROM (SELECT DISTINCT username FROM interactions), qvecs q) p JOIN hits30 h USING (query) LEFT JOIN sims s ON s.username = p.username AND s.query = h.query AND s.creator = h.creator",
     "reranked": "SELECT * FROM (SELECT *, similarity_boost > 0.05 AS is_boosted, similarity_penalty > 0.05 AS is_penalized, row_number() OVER (PARTITION BY username, query ORDER BY score DESC, original_rank) AS rank FROM scored) WHERE rank <= 10",
-    "aliased": "SELECT DISTINCT f.username, a.test AS query, f.label, f.creator FROM fb f JOIN (SELECT query AS test, query AS alias FROM qvecs UNION ALL SELECT query, query || ' creators' FROM qvecs) a ON a.alias = f.query",
+    "evaluated": "SELECT username, trim(regexp_replace(lower(coalesce(query_context, '')), '\\s+', ' ', 'g')) AS query, liked_creator AS creator, CASE WHEN lower(label) = 'bad' THEN 'bad' ELSE 'good' END AS label FROM (SELECT *, row_number() OVER (PARTITION BY username ORDER BY timestamp, event_id) AS n FROM interactions) WHERE n <= 1000 AND liked_creator <> ''",
+    "aliased": "SELECT DISTINCT f.username, a.test AS query, f.label, f.creator FROM evaluated f JOIN (SELECT query AS test, query AS alias FROM qvecs UNION ALL SELECT query, query || ' creators' FROM qvecs) a ON a.alias = f.query",
     "durations": "SELECT o.o_custkey, o.o_orderkey, min(l.l_quantity) AS d FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_custkey, o.o_orderkey",
     "profiles": "SELECT c.c_name AS username, c.c_custkey * 1000 AS follower_count, count(d.o_orderkey) AS video_count, '[' || coalesce(string_agg('''' || d.o_orderkey || '''', ', ' ORDER BY d.o_orderkey), '') || ']' AS video_ids, '[' || coalesce(string_agg(coalesce(CAST(d.d AS VARCHAR), 'null'), ', ' ORDER BY d.o_orderkey), '') || ']' AS video_durations_list, c.c_custkey AS pos FROM customer c LEFT JOIN durations d ON d.o_custkey = c.c_custkey GROUP BY c.c_name, c.c_custkey",
     "stage_log": "SELECT CAST(day(ts) AS INT) AS run, event_type AS stage, event_id AS item, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS DOUBLE) AS start, hour(ts) * 3600 + minute(ts) * 60 + second(ts) + value AS stop FROM events",

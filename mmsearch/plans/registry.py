@@ -365,7 +365,8 @@ def _(t: Inputs) -> DataFrame:
 def _scored(t: Inputs) -> tuple[DataFrame, DataFrame]:
     entries = t.entries()
     pool = search.search(entries, t.queries(), 30)
-    return personalize.personalize(pool, feedback.feedback(t.interactions()), entries), pool.filter("rank <= 10")
+    asked = t.interactions().select("username").distinct().withColumn("query", F.explode(F.array(*(F.lit(q) for q in NAMES))))
+    return personalize.personalize(pool, feedback.feedback(t.interactions()), entries, requests=asked), pool.filter("rank <= 10")
 
 
 @query("J9_X8_X9_personalize", "SELECT username, query, creator, round(original_score, 6) AS original_score, round(score, 6) AS score, round(similarity_boost, 6) AS similarity_boost, round(similarity_penalty, 6) AS similarity_penalty FROM scored")

@@ -54,6 +54,31 @@ def test_personalized_scores_match_a_plain_loop(spark):
     assert st["w"].new_creators == st["w"].removed_creators == 0 and st["u"].new_creators == st["u"].removed_creators
 
 
+def test_requests_without_feedback_get_their_pool_at_its_share(spark):
+    v, e = entries(spark)
+    pool = search.search(e, spark.createDataFrame([("q", v[0].tolist()), ("r", v[1].tolist())], "query string, q array<double>"), 30)
+    fb = spark.createDataFrame([("u", 1, "q", "c003", "good")], "username string, n int, query string, creator string, label string")
+    asked = spark.createDataFrame([("u", "q"), ("u", "r"), ("new", "q"), ("new", "q"), ("new", "none")], "username string, query string")
+    rows = personalize.personalize(pool, fb, e, requests=asked).collect()
+    assert {(r.username, r.query) for r in rows} == {("u", "q"), ("u", "r"), ("new", "q")} and len(rows) == 90
+    assert all(np.isclose(r.score, 0.7 * r.original_score) and not r.is_boosted for r in rows if (r.username, r.query) != ("u", "q"))
+    assert any(r.is_boosted for r in rows)
+
+
+def test_feedback_above_the_cap_of_the_app_counts_in_the_evaluation(spark):
+    rows = [(k, "u", f"c{k}", "click", "good", k) for k in range(1100)]
+    df = spark.createDataFrame(rows, "event_id int, username string, liked_creator string, query_context string, label string, timestamp int")
+    assert feedback.feedback(df).count() == 500 and feedback.feedback(df, feedback.EVALUATION_CAP).count() == 1000
+
+
+def test_more_queries_than_a_block_takes(spark, monkeypatch):
+    v, e = entries(spark)
+    q = spark.createDataFrame([(f"q{k}", v[k % len(v)].tolist()) for k in range(11)], "query string, q array<double>")
+    want = sorted((r.query, r.rank, r.creator) for r in search.search(e, q, 3).collect())
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    assert sorted((r.query, r.rank, r.creator) for r in search.search(e, q, 3).collect()) == want and len(want) == 33
+
+
 def test_feedback_rules(spark):
     rows = [(k, "u", c, q, lab, k) for k, (c, q, lab) in enumerate([("a", " Click ", "Bad"), ("a", "click", None), ("b", None, "x"), ("", "click", "good"), (None, "click", "good"), ("c", "CLICK creators", "bad")])]
     df = spark.createDataFrame(rows, "event_id int, username string, liked_creator string, query_context string, label string, timestamp int")
