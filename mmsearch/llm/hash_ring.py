@@ -89,7 +89,7 @@ def indexed(df: DataFrame, keys: list[str], order: list[Column], name: str, lots
 
 
 def shard(docs: DataFrame, shards: int = 16, virtual: int = 256, slack: float = 0.002) -> DataFrame:
-    """docs with size, text_crc32, law, shard, slot and grown_shard; columns of docs with these names are replaced.
+    """docs with size, text_crc32, law, shard, slot and grown_shard; columns of docs with these names are replaced, all others stay, whatever their names.
 
     size: UTF-8 bytes of the text (null: none) plus 1. text_crc32: unsigned, of the text's UTF-8 (null: of
     nothing). law is "bytes": no shard holds over (1 + slack) times the mean size, plus at most the largest
@@ -100,9 +100,9 @@ def shard(docs: DataFrame, shards: int = 16, virtual: int = 256, slack: float =
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    rest = [c for c in docs.columns if c not in own]
+    rest = {f"__own{k}": c for k, c in enumerate(docs.columns) if c not in own}
     h = F.xxhash64(text)
-    base = docs.select(*rest, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), h.alias("__hash"), F.shiftrightunsigned(h, 48).cast("int").alias("__cell"))
+    base = docs.select("doc_id", *(F.col(f"`{c}`").alias(k) for k, c in rest.items()), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), h.alias("__hash"), F.shiftrightunsigned(h, 48).cast("int").alias("__cell"))
     thin = base.select("size", "text_crc32", "__hash", "__cell")
     cells = {r[0]: r[1] for r in thin.groupBy("__cell").agg(F.sum("size")).collect()}
     total = sum(cells.values())
@@ -136,4 +136,4 @@ def shard(docs: DataFrame, shards: int = 16, virtual: int = 256, slack: float =
         placed = placed.withColumn("__span_shard", F.lit(None).cast("int"))
     placed = placed.withColumn("shard", F.coalesce("__span_shard", "__whole", "__cell_shard").cast("int")).drop("__span_shard", "__whole", "__cell_shard", "__group", "__cell", "__hash")
     out = indexed(placed, ["shard"], order, "slot")
-    return out.select(*rest, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(*(F.col(k).alias(c) for k, c in rest.items()), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

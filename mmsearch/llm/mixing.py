@@ -70,8 +70,9 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int =
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 17) -> DataFrame:
-    """docs' rows, each as often as the mix takes it, with docs' own columns (see ``mix_sizes``)."""
-    if set(docs.columns) & {"__size", "__source", "__of", "__source_size", "__target", "__copies", "__copy"}:
-        raise ValueError("columns that begin with __ are taken")
-    t = _rates(docs, weights, cap, seed).filter("__copies > 0")
-    return t.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    """docs' rows, each as often as the mix takes it, with docs' own columns (see ``mix_sizes``), whatever their names."""
+    own = {f"__own{k}": c for k, c in enumerate(docs.columns)}
+    needed = docs.select("doc_id", "text", "source", *(F.col(f"`{c}`").alias(k) for k, c in own.items()))
+    t = _rates(needed, weights, cap, seed).filter("__copies > 0")
+    t = t.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return t.select(*(F.col(k).alias(c) for k, c in own.items()))

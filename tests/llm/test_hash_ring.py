@@ -57,3 +57,13 @@ def test_clashing_columns_and_empty_table(spark):
     got = hr.shard(docs, shards=2).collect()
     assert sorted(r.size for r in got) == [2, 2] and len({r.shard for r in got}) <= 2
     assert hr.shard(docs.filter("shard = 0")).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(k, f"some words {k % 9}", k, "x", k * 2, 1, 7) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __hash long, __cell string, __lot long, __rank int, size long")
+    got = hr.shard(docs, shards=4)
+    assert got.columns == [*docs.columns[:-1], "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert {tuple(r)[:6] for r in got.collect()} == {r[:6] for r in rows}
+    plain = {(r.doc_id, r.shard, r.slot) for r in hr.shard(docs.select("doc_id", "text"), shards=4).collect()}
+    assert {(r.doc_id, r.shard, r.slot) for r in got.collect()} == plain

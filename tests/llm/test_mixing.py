@@ -55,5 +55,13 @@ def test_edge_tables(spark):
     assert len(mixing.mix_sizes(docs).collect()) == 3
     assert set(mixing.mix(docs).columns) == set(docs.columns)
     assert mixing.mix_sizes(docs.filter("size > 5")).count() == 0 and mixing.mix(docs.filter("size > 5")).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix(docs.withColumnRenamed("size", "__size"))
+    renamed = docs.withColumnRenamed("size", "__size")
+    assert mixing.mix(renamed).columns == renamed.columns and mixing.mix(renamed).count() == mixing.mix(docs).count()
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(k, f"some words {k}", "ab"[k % 2], k, "x", k * 2, 1) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __size long, __copies string, `a.b` long, __own0 int")
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= set(rows)
+    assert got.count() == mixing.mix(docs.select("doc_id", "text", "source")).count() > 0
