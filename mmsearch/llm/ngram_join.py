@@ -312,7 +312,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     places = members.unionByName(cut.select("pivot", every, F.col("pivot").alias("key")))
     first = looked(places.select("pivot", F.col("block").alias("b1"), F.col("block").alias("b2"), "block", "key", F.col("key").alias("label")), "first")
 
-    known = components(first).select(F.col("node").alias("key"), "label")
+    stars = components(first)
+    known = stars.select(F.col("node").alias("key"), "label")
     own = met.join(mine.withColumnRenamed("pivot", "least"), "key").select("pivot", "key", (F.col("pivot") == F.col("least")).alias("seen"))
     own = own.union(met.select("pivot", F.col("pivot").alias("key"), F.lit(True)).distinct())
     groups = own.join(known, "key", "left").join(sizes, "key").select("pivot", "key", "size", "seen", F.coalesce("label", "key").alias("label"))
@@ -328,8 +329,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     pairs = left.join(right, "pivot").filter("b1 <= b2 and least(lo, lo1) <> greatest(hi, hi1)")
     sides = pairs.select("pivot", "b1", "b2", F.explode(F.array_distinct(F.array("b1", "b2"))).alias("block"))
     second = looked(split.join(sides, ["pivot", "block"]).select("pivot", "b1", "b2", "block", "key", "label"), "second")
-    edges = first.unionByName(second)
-    labels = components(edges)
+    labels = components(stars.select(F.col("node").alias("u"), F.col("label").alias("v")).union(second))
     named = labels.join(keyed.select(F.col("key").alias("node"), "doc_id"), "node")
     named = named.join(named.groupBy("label").agg(F.min("doc_id").alias("component")), "label").select(F.col("node").alias("key"), "component")
     # Keys of many rows are few, at most total / hot, and go by broadcast; the rows of the others are dealt by key.

@@ -1,0 +1,23 @@
+import random
+
+from mmsearch.llm.components import components
+
+
+def _brute(edges):
+    label = {x: x for e in edges for x in e}
+    for u, v in edges:
+        lo, hi = sorted((label[u], label[v]))
+        label = {k: lo if x == hi else x for k, x in label.items()}
+    return label
+
+
+def test_paths_hubs_random_graphs_and_stars(spark):
+    rng = random.Random(3)
+    path = [(k, k + 1) for k in range(100, 140)]
+    star, hub = [(200, k) for k in range(201, 230)], [(399, k) for k in range(300, 399)]
+    loose = [(rng.randrange(1000, 1120), rng.randrange(1000, 1120)) for _ in range(70)]
+    for edges in (path, star, hub, [*path, *star, *hub, *loose, *loose[:9]]):
+        real = [e for e in edges if e[0] != e[1]]
+        got = components(spark.createDataFrame([*edges, (None, 5), (5, None)], "u long, v long")).collect()
+        assert len(got) == len({r.node for r in got}) and {r.node: r.label for r in got} == _brute(real)
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
