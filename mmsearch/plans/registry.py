@@ -125,10 +125,10 @@ def _(t: Inputs) -> DataFrame:
     return planning.select_videos(t.profiles())
 
 
-@query("J1_match_profiles", "SELECT c_custkey AS pos, upper(c_name) || ' ' AS creator, c_name AS username, 1 AS version, 'https://video.example/@' || c_name AS tiktok_url FROM customer WHERE c_custkey % 2 = 0")
+@query("J1_match_profiles", "SELECT c_custkey AS pos, upper(c_name) || ' ' AS creator, c_name AS username, 1 AS version, 'https://video.example/@' || c_name AS tiktok_url FROM customer")
 def _(t: Inputs) -> DataFrame:
     c = t.table("customer")
-    names = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("pos"), F.concat(F.upper("c_name"), F.lit(" ")).alias("creator"))
+    names = c.select(F.col("c_custkey").alias("pos"), F.concat(F.upper("c_name"), F.lit(" ")).alias("creator"))
     export = c.select(F.lower("c_name").alias("username"), F.col("c_custkey").alias("pos"), F.lit(0).alias("version")).unionByName(c.select(F.col("c_name").alias("username"), (F.col("c_custkey") + 10**9).alias("pos"), F.lit(1).alias("version")))
     return planning.match_profiles(names, export)
 
@@ -273,15 +273,15 @@ def _(t: Inputs) -> DataFrame:
     return index.build_index(t.embeddings(), transcripts.creator_text(v, v)).select("creator", total(F.col("combined")).alias("combined"))
 
 
-@query("J3_attach_transcription", "SELECT v.creator, CAST(length(coalesce(x.text, '')) AS BIGINT) AS n_chars FROM vecs v LEFT JOIN (SELECT creator, arg_max(text, doc_id) AS text FROM video_texts WHERE doc_id % 3 = 0 GROUP BY creator) x USING (creator)")
+@query("J3_attach_transcription", "SELECT v.creator, CAST(length(coalesce(x.text, '')) AS BIGINT) AS n_chars FROM vecs v LEFT JOIN (SELECT creator, arg_max(text, doc_id) AS text FROM video_texts GROUP BY creator) x USING (creator)")
 def _(t: Inputs) -> DataFrame:
-    texts = t.video_texts().filter("doc_id % 3 = 0").select("creator", F.col("text").alias("transcription"), F.col("doc_id").alias("pos"))
+    texts = t.video_texts().select("creator", F.col("text").alias("transcription"), F.col("doc_id").alias("pos"))
     return index.attach_transcription(t.embeddings().select("creator"), texts).select("creator", F.length("transcription").cast("long").alias("n_chars"))
 
 
-@query("J4_attach_profile", "SELECT c.creator, coalesce(p.follower_count, 0) AS follower_count, coalesce(p.video_count, 0) AS video_count FROM creators c LEFT JOIN profiles p ON c.i = p.pos AND p.pos % 2 = 0")
+@query("J4_attach_profile", "SELECT c.creator, coalesce(p.follower_count, 0) AS follower_count, coalesce(p.video_count, 0) AS video_count FROM creators c LEFT JOIN profiles p ON c.i = p.pos")
 def _(t: Inputs) -> DataFrame:
-    profiles = t.profiles().filter("pos % 2 = 0").withColumn("username", t.name(F.col("pos")))
+    profiles = t.profiles().withColumn("username", t.name(F.col("pos")))
     return index.attach_profile(t.creators().select("creator"), profiles)
 
 
