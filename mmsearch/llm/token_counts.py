@@ -8,15 +8,21 @@ Two transducers in cascade, both compiled once per worker:
    blocks run in step from all 12 states, which gives each block a map from its first state to its last.
    The maps are composed by a parallel prefix scan, so every block learns its true first state, and a
    second run in step from those states gives the piece starts.
- * The piece transducer reads whole pieces and emits their token counts. Its transitions are compiled
-   when a piece is first met, from the tokenizer's own merges, and looked up by 64-bit hash after that;
-   past ``TRANSITIONS`` entries it is emptied and refilled, which changes no count.
-
-Counts of a text are the sum of what its transitions emit.
+ * The token transducer reads a piece's bytes and is compiled from the merge table. A pair of tokens stands
+   beside each other in a piece if and only if no merge crosses their border, so a prefix has one last token
+   that fits what precedes it. A state holds the longest suffix that a token may still begin with, the last
+   token at each place of that suffix and the counts there, relative to now; a transition reads one byte and
+   carries the change of the token count. States and transitions are compiled when first met, at most
+   ``STATES`` of them, and compiled anew beyond. Every piece starts at the root, so a block's map after its
+   first piece start doesn't depend on what came before, and sums of counts compose over blocks.
+
+What a whole piece emits is remembered by 64-bit hash (``TRANSITIONS`` entries, emptied and refilled beyond),
+so a worker reads each distinct piece once. Counts of a text are the sum of what its transitions emit.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -27,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .text import chunks, splitmix
 
-BLOCK, TRANSITIONS = 128, 3_000_000
+BLOCK, TRANSITIONS, STATES = 128, 3_000_000, 200_000
 _U = np.uint64
 
 # Classes: letters are split further where contractions ('s 't 'm 'd 're 've 'll) need it.
@@ -89,16 +95,106 @@ def _step(s: int, c: int) -> tuple[int, int]:
     return (SL, 2) if letter else (new[0], 3)
 
 
+def _byte_of() -> dict[str, int]:
+    """The printable characters that byte-level vocabularies spell bytes with."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(other)}
+
+
+class Merges:
+    """The token transducer of one piece's bytes; see the module's text."""
+
+    def __init__(self, vocab: dict[str, int], merges: list):
+        byte = _byte_of()
+        ids = {bytes(byte[c] for c in t): k for t, k in vocab.items() if all(c in byte for c in t)}
+        self.rank, self.parts, self.tokens, made = {}, {}, {}, {}
+        self.tokens.update((bytes([b]), ids[bytes([b])]) for b in range(256))
+        for r, pair in enumerate(merges):
+            left, right = (bytes(byte[c] for c in t) for t in (pair.split(" ") if isinstance(pair, str) else pair))
+            whole = left + right
+            if whole in made or any(len(t) > 1 and t not in made for t in (left, right)):
+                raise ValueError("merges must build each token once, from tokens of earlier merges")
+            made[whole] = r
+            a, b = ids[left], ids[right]
+            self.rank[a, b] = r
+            self.parts[ids[whole]] = (a, b, r)
+            if left in self.tokens and right in self.tokens:
+                self.tokens[whole] = ids[whole]
+        for whole, k in list(self.tokens.items()):
+            if k in self.parts and not self.fits(*self.parts[k]):
+                del self.tokens[whole]
+        self.begins = {t[:n] for t in self.tokens for n in range(1, len(t))}
+        self.clear()
+
+    def fits(self, left: int, right: int, limit: float = float("inf")) -> bool:
+        """Whether no merge crosses the border of two tokens before ``limit``.
+
+        A part that ends or begins at the border can merge over it until its own side consumes it; of equal
+        merges the left one comes first.
+        """
+        until = limit
+        while True:
+            other, end = right, limit
+            while True:
+                r = self.rank.get((left, other))
+                if r is not None and r < until and r <= end:
+                    return False
+                if other not in self.parts:
+                    break
+                other, _, end = self.parts[other]
+            if left not in self.parts:
+                return True
+            _, left, until = self.parts[left]
+
+    def clear(self):
+        root = (b"", (-1,), (0,))
+        self.states, self.index, self.moves = [root], {root: 0}, {}
+
+    def _name(self, state: tuple) -> int:
+        if state not in self.index:
+            self.index[state] = len(self.states)
+            self.states.append(state)
+        return self.index[state]
+
+    def compile(self, state: int, byte: int) -> tuple[int, int]:
+        """(next state, change of the count) of a transition met for the first time."""
+        if len(self.states) >= STATES:
+            now = self.states[state]
+            self.clear()
+            state = self._name(now)
+        suffix, last, counts = self.states[state]
+        grown = suffix + bytes([byte])
+        for k, before in enumerate(last):
+            token = self.tokens.get(grown[k:])
+            if token is not None and (before < 0 or self.fits(before, token)):
+                break
+        change = counts[k] + 1
+        keep = next((j for j in range(len(grown)) if grown[j:] in self.begins), len(grown))
+        after = (grown[keep:], (*last, token)[keep:], (*(c - change for c in counts), 0)[keep:])
+        step = self.moves[state << 8 | byte] = (self._name(after), change)
+        return step
+
+    def count(self, piece: bytes) -> int:
+        state = total = 0
+        for byte in piece:
+            state, change = self.moves.get(state << 8 | byte) or self.compile(state, byte)
+            total += change
+        return total
+
+
 class Transducer:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        model = __import__("json").loads(self.tokenizer.to_str())
-        split = model["pre_tokenizer"]
-        if model["model"]["type"] != "BPE" or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"] or model["normalizer"]:
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        model, split = spec["model"], spec["pre_tokenizer"] or {}
+        usual = split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split.get("use_regex", True) and not spec["normalizer"]
+        extras = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        added = spec["added_tokens"]
+        if model.get("type") != "BPE" or not usual or any(model.get(x) for x in extras) or any(x[y] for x in added for y in ("single_word", "lstrip", "rstrip")):
             raise ValueError(f"{path}: only byte-level BPE with the standard split can be compiled")
-        special = [re.escape(x["content"].encode()) for x in model["added_tokens"]]
+        self.merges = Merges(model["vocab"], model["merges"])
+        special = [re.escape(x["content"].encode()) for x in added]
         self.special = re.compile(b"|".join(special)) if special else None
         self.classes = _classes()
         steps = [[_step(s, c) for c in range(12)] for s in range(12)]
@@ -145,8 +241,7 @@ class Transducer:
         counts[have] = self.counts[at[have]]
         new = np.flatnonzero(~have)
         if len(new):
-            made = self.tokenizer.encode_batch_fast([spell(first[k]) for k in new], add_special_tokens=False)
-            counts[new] = [len(e) for e in made]
+            counts[new] = [self.merges.count(spell(first[k]).encode()) for k in new]
             if len(self.keys) + len(new) > TRANSITIONS:
                 self._reset()
                 at = np.zeros(len(names), np.int64)

@@ -58,3 +58,48 @@ def test_edge_rows(spark):
     assert tc.token_counts(docs.filter("doc_id > 5"), PATH).count() == 0
     with pytest.raises(ValueError):
         tc.Transducer(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _merged(merges: tc.Merges, piece: bytes) -> int:
+    """Plain BPE: apply the merge of least rank, leftmost first, until none is left."""
+    now = [merges.tokens[bytes([b])] for b in piece]
+    whole = {(a, b): k for k, (a, b, _) in merges.parts.items()}
+    while pairs := [(merges.rank[p], k) for k, p in enumerate(zip(now, now[1:])) if p in merges.rank]:
+        k = min(pairs)[1]
+        now[k : k + 2] = [whole[now[k], now[k + 1]]]
+    return len(now)
+
+
+def test_token_transducer_matches_plain_merging(monkeypatch):
+    t = tc.Transducer(PATH).merges
+    rng = random.Random(3)
+    pieces = [bytes(rng.choice(b"aeinrst -=\xc3\xa9") for _ in range(rng.randint(1, 40))) for _ in range(1500)]
+    pieces += [bytes(rng.randrange(256) for _ in range(rng.randint(1, 30))) for _ in range(500)] + [b"a" * 333, b"-" * 200, b" " * 150]
+    want = [_merged(t, p) for p in pieces]
+    assert [t.count(p) for p in pieces] == want
+    before = len(t.states)
+    monkeypatch.setattr(tc, "STATES", 50)
+    t.clear()
+    assert [t.count(p) for p in pieces] == want and len(t.states) <= 51 < before
+
+
+def test_one_letter_runs_need_few_states():
+    t = tc.Transducer(PATH).merges
+    t.count(b"x" * 5000)
+    seen = len(t.states)
+    t.count(b"x" * 50000)
+    assert len(t.states) == seen
+
+
+def test_merge_tables_that_build_a_token_twice_are_refused():
+    letters = {c: b for c, b in tc._byte_of().items()}
+    with pytest.raises(ValueError):
+        tc.Merges(letters | {"ab": 256, "bc": 257, "abc": 258}, [("a", "b"), ("b", "c"), ("a", "bc"), ("ab", "c")])
+
+
+def test_the_library_is_not_loaded_to_count():
+    import subprocess
+    import sys
+
+    code = f"import sys; from mmsearch.llm import token_counts as t; t.Transducer({PATH!r}); sys.exit('tokenizers' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/tests/", 1)[0]).returncode == 0
