@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 CELLS = 1 << 16
 #: A group of equal texts is heavy above this share of a shard, so at most HEAVY * shards groups are.
 HEAVY = 64
+#: A shard's rows are ranked in lots of about this size; more lots than MOST_LOTS would make the table of their counts too wide to broadcast.
+LOT_BYTES, MOST_LOTS = 64 << 20, 1 << 16
 
 
 def virtual_nodes(shards: int, each: int) -> list[tuple[int, int]]:
@@ -71,10 +73,10 @@ def place(cells: dict[int, int], heavy: list[tuple[int, int, int]], shards: int,
     return shard_of, dealt
 
 
-def indexed(df: DataFrame, keys: list[str], order: list[Column], name: str, lots: int = 256) -> DataFrame:
+def indexed(df: DataFrame, keys: list[str], order: list[Column], name: str, lots: int) -> DataFrame:
     """Adds a gapless index from 0 within the keys: each key's rows are ranked in ``lots`` separate tasks' groups.
 
-    The table of lot counts has at most lots rows a key and is broadcast: use it for few keys only.
+    The table of lot counts has at most lots rows a key and is broadcast: use it for few keys only. See ``lots_of``.
     """
     df = df.withColumn("__lot", F.pmod(F.xxhash64(*order), F.lit(lots)).cast("int"))
     counts = df.groupBy(*keys, "__lot").agg(F.count("*").alias("__n"))
@@ -88,6 +90,11 @@ def indexed(df: DataFrame, keys: list[str], order: list[Column], name: str, lots
     return df.withColumn("__rank", rank).join(F.broadcast(counts), cond).withColumn(name, (F.col("__before") + F.col("__rank") - 1).cast("long")).drop("__lot", "__l", "__before", "__rank", *(f"__k_{k}" for k in keys))
 
 
+def lots_of(total: int, shards: int) -> int:
+    """Lots a shard for so many bytes in all."""
+    return min(MOST_LOTS, max(256, math.ceil(total / shards / LOT_BYTES)))
+
+
 def shard(docs: DataFrame, shards: int = 16, virtual: int = 256, slack: float = 0.002) -> DataFrame:
     """docs with size, text_crc32, law, shard, slot and grown_shard; columns of docs with these names are replaced, all others stay, whatever their names.
 
@@ -129,11 +136,11 @@ def shard(docs: DataFrame, shards: int = 16, virtual: int = 256, slack: float =
                 spans.append((k, start, start + n, s))
                 start += n
         of_span = table({"__g": [x[0] for x in spans], "__from": [x[1] for x in spans], "__to": [x[2] for x in spans], "__span_shard": [x[3] for x in spans]}, [pa.int32(), pa.int64(), pa.int64(), pa.int32()])
-        split = indexed(placed.filter("__group is not null"), ["__group"], order, "__index")
+        split = indexed(placed.filter("__group is not null"), ["__group"], order, "__index", lots_of(total, shards))
         split = split.join(F.broadcast(of_span), (F.col("__group") == F.col("__g")) & (F.col("__index") >= F.col("__from")) & (F.col("__index") < F.col("__to")))
         placed = placed.filter("__group is null").withColumn("__span_shard", F.lit(None).cast("int")).unionByName(split.drop("__g", "__from", "__to", "__index"))
     else:
         placed = placed.withColumn("__span_shard", F.lit(None).cast("int"))
     placed = placed.withColumn("shard", F.coalesce("__span_shard", "__whole", "__cell_shard").cast("int")).drop("__span_shard", "__whole", "__cell_shard", "__group", "__cell", "__hash")
-    out = indexed(placed, ["shard"], order, "slot")
+    out = indexed(placed, ["shard"], order, "slot", lots_of(total, shards))
     return out.select(*(F.col(k).alias(c) for k, c in rest.items()), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

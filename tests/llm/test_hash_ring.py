@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 from mmsearch.llm import hash_ring as hr
 
@@ -67,3 +68,52 @@ def test_columns_of_any_name_stay(spark):
     assert {tuple(r)[:6] for r in got.collect()} == {r[:6] for r in rows}
     plain = {(r.doc_id, r.shard, r.slot) for r in hr.shard(docs.select("doc_id", "text"), shards=4).collect()}
     assert {(r.doc_id, r.shard, r.slot) for r in got.collect()} == plain
+
+
+def test_matches_brute_force(spark):
+    """A ring walked cell by cell, and loads summed from the documents themselves, give the same shards."""
+    import hashlib
+    import math
+
+    import xxhash
+
+    rng = random.Random(12)
+    rows = [(k, "".join(rng.choice("abcdé ") for _ in range(rng.randint(20, 90)))) for k in range(4000)]
+    rows += [(k, t) for k, (_, t) in enumerate(rng.sample(rows, 500), 5000)]
+    shards, each = 5, 256
+    owner: dict = {}
+    for s in range(shards):
+        for v in range(each):
+            owner.setdefault(int.from_bytes(hashlib.md5(f"{s}:{v}".encode()).digest()[:4], "big") % 65536, []).append(s)
+
+    def walk(cell):
+        for k in range(65536):
+            yield from sorted(owner.get((cell + k) % 65536, []))
+
+    load: dict = {}
+    cell_of = {t: xxhash.xxh64_intdigest(t.encode(), seed=42) >> 48 for _, t in rows}
+    for _, t in rows:
+        load[cell_of[t]] = load.get(cell_of[t], 0) + len(t.encode()) + 1
+    total = sum(load.values())
+    copies = Counter(t for _, t in rows)
+    assert max(copies.values()) > 1 and all(n * (len(t.encode()) + 1) * 64 * shards <= total for t, n in copies.items())
+    left, where = [math.ceil(1.002 * total / shards)] * shards, {}
+    for cell in sorted(load, key=lambda c: (-load[c], c)):
+        room = next((s for s in walk(cell) if left[s] >= load[cell]), None)
+        if room is None:
+            room = max(dict.fromkeys(walk(cell)), key=lambda s: left[s])
+        where[cell] = room
+        left[room] -= load[cell]
+    got = hr.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=shards).collect()
+    assert {r.doc_id: r.shard for r in got} == {k: where[cell_of[t]] for k, t in rows}
+
+
+def test_more_lots_leave_no_gap(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "copy" if k % 3 == 0 else f"text {k}") for k in range(600)], "doc_id long, text string")
+    few = hr.shard(docs, shards=4).collect()
+    monkeypatch.setattr(hr, "LOT_BYTES", 2)
+    assert hr.lots_of(4000, 4) == 500 and hr.lots_of(10**9, 4) == hr.MOST_LOTS
+    many = hr.shard(docs, shards=4).collect()
+    by = check(many, 4)
+    assert {(r.doc_id, r.shard) for r in few if r.text != "copy"} == {(r.doc_id, r.shard) for r in many if r.text != "copy"}
+    assert Counter(r.shard for r in few) == {s: len(own) for s, own in by.items()}
