@@ -68,3 +68,63 @@ def test_held_out_accuracy(spark):
     model = uf.train(spark.createDataFrame(rows[:800], "url string, label double"), sample=600)
     scored = model.score(spark.createDataFrame(rows[800:], "url string, label double")).collect()
     assert sum((r["__score"] > 0.5) == (r.label > 0.5) for r in scored) > 0.95 * len(scored)
+
+
+def plain_features(url):
+    host, path = host_path(url)
+    url = url or ""
+    query = url.split("?", 1)[1].split("#", 1)[0] if "?" in url else ""
+    n, plain = len(url), "".join(c if " " <= c <= "~" else "\x7f" for c in url)
+    digits = lambda t: sum(c in "0123456789" for c in t)
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(plain).values()) if n else 0.0
+    return {
+        "url_len": n, "host_len": len(host), "path_len": len(path), "depth": path.count("/"), "labels": host.count(".") + 1 if host else 0, "digit_ratio": digits(url) / n if n else 0.0, "entropy": entropy,
+        "n_params": query.count("&") + 1 if query else 0, "query_len": len(query), "hyphens": host.count("-"), "escapes": url.count("%"), "host_digits": digits(host),
+    }
+
+
+def grow(lines):
+    """A tree from the lines of Spark's description: a number, or (feature, limit, at most, above)."""
+    line = lines.pop(0).strip()
+    if line.startswith("Predict:"):
+        return float(line.split(":")[1])
+    _, _, feature, sign, limit = line.replace("(", " ").replace(")", " ").split()
+    assert sign == "<="
+    low = grow(lines)
+    assert lines.pop(0).strip().startswith("Else")
+    return int(feature), float(limit), low, grow(lines)
+
+
+def test_verdicts_match_brute_force(spark):
+    rng = random.Random(9)
+    urls = [u for u in URLS if u != "http://line.net\n/x"]
+    for _ in range(300):
+        host = f"{rng.choice(['a', 'b-c', 'd9', 'shop'])}.example{rng.randrange(9)}.{rng.choice(['net', 'org', 'com', 'example.net', 'biz'])}"
+        urls.append(f"http://{host}/{rng.choice(['en', 'fr', 'x'])}/{rng.randrange(999)}" + rng.choice(["", "?a=1&b=2", "?q=%20#f"]))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labelled = [(u, float(next(r.verdict for r in RULES if r.pattern == p) == "block")) for u in urls if (p := rule(*host_path(u)))]
+    model = uf.train(spark.createDataFrame(labelled, "url string, label double"))
+    tally: dict = {}
+    for u, y in labelled:
+        tally.setdefault(host_path(u)[0].rpartition(".")[2], []).append(y)
+    forest = model.trees.stages[-1]
+    trees = []
+    for text in forest.toDebugString.split("  Tree ")[1:]:
+        trees.append(grow([x for x in text.split("\n")[1:] if x.strip()]))
+    got = {r.page_id: r for r in uf.judge(pages, RULES, model).collect()}
+    seen = set()
+    for k, u in enumerate(urls):
+        own = plain_features(u)
+        labels = tally.get(host_path(u)[0].rpartition(".")[2])
+        own |= {"suffix_rate": (sum(labels) + 1) / (len(labels) + 2) if labels else 0.5, "suffix_seen": math.log1p(len(labels)) if labels else 0.0}
+        margin = 0.0
+        for tree, weight in zip(trees, forest.treeWeights, strict=True):
+            while isinstance(tree, tuple):
+                tree = tree[2] if own[uf.FEATURES[tree[0]]] <= tree[1] + 1e-12 else tree[3]
+            margin += weight * tree
+        score = 1 / (1 + math.exp(-2 * margin))
+        assert abs(got[k].score - score) < 1e-9, u
+        if not rule(*host_path(u)):
+            assert got[k].verdict == ("block" if score > 0.5 else "allow")
+            seen.add(got[k].verdict)
+    assert seen == {"allow", "block"}
