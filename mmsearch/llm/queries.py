@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fertility, hash_ring, mixing, ngram_join, quotations, substring_dedup, token_counts, url_filter, warc
+from . import decontaminate, fertility, hash_ring, mixing, ngram_join, patricia_dedup, periodic_runs, quotations, spelling_variants, substring_dedup, token_counts, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -179,6 +182,114 @@ FROM s JOIN per_message i USING (conv_id, turn) JOIN s b ON b.conv_id = s.conv_i
 
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling_variants.letter_runs(_table(spark, sf_dir, "documents"), shortest=6)
+    runs = runs.withColumn("h", F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "run").cast("binary")))
+    cut = F.expr("concat(left(run, cast(h % length(run) as int)), substring(run, cast(h % length(run) as int) + 2))")
+    words = runs.select(F.when(F.col("h") % 199 == 0, cut).otherwise(F.col("run")).alias("word"))
+    return spelling_variants.spelling_variants(spelling_variants.count_words(words, shortest=6, least=5), ratio=5)
+
+
+#: Unsigned CRC-32 of a text in UTF-8; crc.t holds the table of one byte.
+CRC_TABLE = """crc AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)
+)"""
+CRC = """xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(hex(encode({0}))), 2), lambda i: CAST('0x' || substr(hex(encode({0})), i, 2) AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"""
+
+ORACLE_11 = f"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{{6,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), distinct_runs AS (
+  SELECT doc_id, run, count(*) AS k FROM runs GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, k, {CRC.format("(CAST(doc_id AS VARCHAR) || ':' || run)")} AS h FROM distinct_runs, crc
+), words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed
+  ) WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5
+), cuts AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS top, max(m) AS top_n FROM near GROUP BY word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 5 * w.n THEN top END AS form, CASE WHEN top_n >= 5 * w.n THEN top_n END AS form_n FROM words w LEFT JOIN best USING (word)
+), paths AS (
+  SELECT word, word AS at, form AS next FROM forms UNION ALL SELECT p.word, f.word, f.form FROM paths p JOIN forms f ON p.next = f.word
+)
+SELECT f.word, n, n_near, form, form_n, p.at AS root FROM forms f JOIN paths p ON p.word = f.word AND p.next IS NULL
+"""
+
+
+def op12_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patricia_dedup.exact_copies(_table(spark, sf_dir, "documents"))
+
+
+ORACLE_12 = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size, row_number() OVER w = 1 AS kept, sha256(bare) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY bare ORDER BY chars DESC, doc_id)
+"""
+
+
+def planted_period(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Which words a tenth of the documents read instead of their own: a period from word a on."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return np.concatenate([np.arange(a), a + np.arange(n - a) % p])
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), least=24, times=3, reorder=planted_period)
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+ORACLE_13 = f"""
+WITH {CRC_TABLE}, split AS (
+  SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w, {CRC.format("CAST(doc_id AS VARCHAR)")} AS h FROM documents, crc
+), places AS (
+  SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, h, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split
+), texts AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) ELSE w END AS w FROM places
+), words AS (
+  SELECT doc_id, n, unnest(w) AS x, unnest(range(n)) AS i FROM texts
+), equal AS (
+  SELECT a.doc_id, a.i, b.i - a.i AS q FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND 3 * (b.i - a.i) <= a.n
+), islands AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM equal) GROUP BY doc_id, q, g
+), runs AS (
+  SELECT doc_id, s, length, min(q) AS q FROM islands WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, s, length
+), per AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY doc_id
+), best AS (
+  SELECT r.* FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs o WHERE o.doc_id = r.doc_id
+    AND (o.length * r.q > r.length * o.q OR (o.length * r.q = r.length * o.q AND (o.s < r.s OR (o.s = r.s AND o.q < r.q)))))
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s + q, s + length)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS collapsed FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(b.s AS BIGINT) AS start, CAST(b.length AS BIGINT) AS length, CAST(b.q AS BIGINT) AS period, CAST((1000 * b.length) // b.q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN per USING (doc_id) LEFT JOIN best b ON b.doc_id = t.doc_id LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""
+
+
 QUERIES = {
     "op1_quotation_links": op1_quotation_links,
     "op6_template_decontamination": op6_template_decontamination,
@@ -189,10 +300,16 @@ QUERIES = {
     "op5_tokeniser_fertility": op5_tokeniser_fertility,
     "op9_token_counts": op9_token_counts,
     "op8_substring_dedup": op8_substring_dedup,
-    "op2_ngram_jaccard_join": op2_ngram_jaccard_join}
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_patricia_owners": op12_patricia_owners,
+    "op13_periodic_runs": op13_periodic_runs}
 ORACLE = {
     "op1_quotation_links": ORACLE_1,
     "op3_warc_revisits": ORACLE_3,
     "op10_mix_sources": ORACLE_10,
     "op8_substring_dedup": ORACLE_8,
-    "op2_ngram_jaccard_join": ORACLE_2}
+    "op2_ngram_jaccard_join": ORACLE_2,
+    "op11_spelling_variants": ORACLE_11,
+    "op12_patricia_owners": ORACLE_12,
+    "op13_periodic_runs": ORACLE_13}
