@@ -72,7 +72,7 @@ class Trie:
     """A compressed radix trie of byte strings; edges carry whole labels."""
 
     def __init__(self, limit: int = LIMIT):
-        self.root, self.limit, self.bytes = Node(b""), limit, 0
+        self.root, self.limit, self.bytes, self.count = Node(b""), limit, 0, 0
 
     def insert(self, key: bytes, owner: Owner) -> bool:
         """False if the key lies under a prefix that was spilled; then it is not taken."""
@@ -82,6 +82,7 @@ class Trie:
             if child is None:
                 node.next[key[at]] = Node(key[at:], owner)
                 self.bytes += len(key) - at
+                self.count += 1
                 return True
             if not key.startswith(child.label, at):
                 n = _common(child.label, key, at)
@@ -96,6 +97,7 @@ class Trie:
             return False
         if node.owner is None:
             node.owner = owner
+            self.count += 1
         else:
             node.owner.take(owner)
         return True
@@ -111,7 +113,7 @@ class Trie:
             stack += [(x, here) for x in node.next.values()]
 
     def _weights(self) -> dict[int, int]:
-        """Bytes of labels of each subtree, by the node's identity."""
+        """Bytes of labels of each subtree, by the node's identity; what is spilled weighs nothing."""
         order, stack = [], [self.root]
         while stack:
             node = stack.pop()
@@ -119,25 +121,29 @@ class Trie:
             stack += node.next.values()
         weight: dict[int, int] = {}
         for node in reversed(order):
-            weight[id(node)] = len(node.label) + sum(weight[id(x)] for x in node.next.values())
+            weight[id(node)] = 0 if node.spilled else len(node.label) + sum(weight[id(x)] for x in node.next.values())
         return weight
 
     def spill(self, keep_stub: bool):
-        """Hand out the (key, owner) of the heaviest subtree that holds at most half of all, but for single strings; with a stub, its prefix stays closed."""
+        """Hand out the (key, owner) of a heavy subtree: of the heaviest children the first that holds at most half of all, or a single string; with a stub, its prefix stays closed."""
         weight = self._weights()
         parent, node, prefix = self.root, None, b""
-        while parent.next:
-            node = max(parent.next.values(), key=lambda x: weight[id(x)])
-            if weight[id(node)] <= self.bytes // 2 or not node.next:
+        while True:
+            below = [x for x in parent.next.values() if not x.spilled]
+            if not below:
+                break
+            node = max(below, key=lambda x: weight[id(x)])
+            if weight[id(node)] <= self.bytes // 2 or all(x.spilled for x in node.next.values()):
                 break
             prefix += node.label
             parent = node
         if node is None:
             return []
         out = list(self.items(node, prefix))
-        self.bytes -= weight[id(node)] - len(node.label) * keep_stub
-        if keep_stub:
-            node.next, node.owner, node.spilled = {}, None, True
+        self.count -= len(out)
+        self.bytes -= weight[id(node)]
+        if keep_stub:  # one byte tells it from its siblings
+            node.label, node.next, node.owner, node.spilled = node.label[:1], {}, None, True
         else:
             parent.next = {k: x for k, x in parent.next.items() if x is not node}
         return out
@@ -187,7 +193,7 @@ def _combine(limit: int):
                 ids, ranks = (batch.column(c).slice(a, b - a).to_pylist() for c in ("id", "rank"))
                 for r in range(b - a):
                     trie.insert(body[at[r] : at[r + 1]].translate(None, SPACE), Owner(1, ranks[r], ids[r], 1))
-                while trie.bytes > limit:
+                while trie.bytes > limit and trie.count:
                     for some in _packets(trie.spill(False)):
                         yield _keyed(some)
         for some in _packets(trie.items()):
@@ -212,8 +218,8 @@ def _gather(limit: int):
             for key, *rest in zip(*(batch.column(c).to_pylist() for c in ("key", "rows", "rank", "id", "ties")), strict=True):
                 if not trie.insert(key, own := Owner(*rest)):
                     late.append((key, own))
-            while trie.bytes > limit and (some := trie.spill(True)):
-                late += some
+            while trie.bytes > limit and trie.count > 1:  # one string stays at least, so every round ends some groups
+                late += trie.spill(True)
             for some in _packets(late):
                 yield groups(some, True)
         for some in _packets(trie.items()):
