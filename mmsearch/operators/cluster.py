@@ -9,11 +9,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import shared_path
+from ..sources.files import kept
 
-#: Centroids that the driver takes. While there are more, Ward's rounds are Spark joins; the merges are the same
-#: wherever a round runs. The driver holds MICRO * dims numbers and one (height, a, b) a merge.
-MICRO = 1000
+#: Centroids left at which one task ends a dendrogram; a constant, so that task's work doesn't grow with the table.
+LAST = 64
 #: Centroids of a block whose costs to another block are one matrix.
 BLOCK = 1024
 
@@ -45,20 +44,6 @@ def ward_merges(size: np.ndarray, center: np.ndarray) -> list[tuple[float, int,
     return out
 
 
-def cut(merges: list[tuple[float, int, int]], n: int, k: int) -> np.ndarray:
-    """Cluster of each of n centroids after the n - k lowest merges, numbered by smallest member."""
-    up = np.arange(n)
-    for _, a, b in sorted(merges, key=lambda m: m[0])[: max(0, n - k)]:
-        while up[a] != a:
-            up[a] = a = up[up[a]]
-        while up[b] != b:
-            up[b] = b = up[up[b]]
-        up[max(a, b)] = min(a, b)
-    for x in range(n):
-        up[x] = up[up[x]]
-    return np.unique(up, return_inverse=True)[1]
-
-
 def _nearest(batches):
     """(id, cost, other) of the least Ward cost of each centroid of either block, over pairs of blocks."""
     for batch in batches:
@@ -73,61 +58,100 @@ def _nearest(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(costs[ok]), pa.array(others[ok])], ["id", "cost", "other"])
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ward_round(cents: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
     """(centroids after, merges (cost, a, b)) of one round of mutually nearest pairs of centroids (id, n, v).
 
     Both sides of a pair read one cost matrix and ties go to the smaller id, so the least pair always merges.
     """
-    blocks = cents.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(-(-count // BLOCK)))).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("id", "n", "v"))).alias("rows"))
-    blocks = _kept(blocks, "blocks")
-    pairs = blocks.select(F.col("b").alias("a"), F.col("rows").alias("left")).join(blocks.select("b", F.col("rows").alias("right")), F.col("a") <= F.col("b"))
-    near = pairs.repartition(F.col("a"), F.col("b")).mapInArrow(_nearest, "id long, cost double, other long").groupBy("id").agg(F.min(F.struct("cost", "other")).alias("m"))
-    near = _kept(near.select("id", "m.cost", "m.other"), "nearest")
+    parts = -(-count // BLOCK)
+    blocks = cents.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("id", "n", "v"))).alias("rows"))
+    blocks = kept(blocks, "blocks") if parts > 1 else blocks
+    left = blocks.select(F.col("b").alias("a"), F.col("rows").alias("left"))
+    pairs = left.join(blocks.select("b", F.col("rows").alias("right")), F.col("a") <= F.col("b")) if parts > 1 else left.withColumn("b", F.col("a")).withColumn("right", F.col("left"))
+    near = pairs.repartition(F.col("a"), F.col("b")) if parts > 1 else pairs
+    near = near.mapInArrow(_nearest, "id long, cost double, other long").groupBy("id").agg(F.min(F.struct("cost", "other")).alias("m"))
+    near = kept(near.select("id", "m.cost", "m.other"), "nearest")
     back = near.select(F.col("id").alias("other"), F.col("other").alias("id"))
-    merges = _kept(near.join(back, ["id", "other"]).filter("id < other").select("cost", F.col("id").alias("a"), F.col("other").alias("b")), "merges")
+    merges = near.join(back, ["id", "other"]).filter("id < other").select("cost", F.col("id").alias("a"), F.col("other").alias("b"))
     into = merges.select(F.col("b").alias("id"), F.col("a").alias("to"))
-    total = F.sum("n")
     part = cents.join(into, "id", "left").select(F.coalesce("to", "id").alias("id"), "n", "v")
     rows = F.array_sort(F.collect_list(F.struct("n", "v")))
     mean = F.when(F.size("r") == 1, F.col("r")[0]["v"]).otherwise(F.zip_with(F.col("r")[0]["v"], F.col("r")[1]["v"], lambda x, y: (x * F.col("r")[0]["n"] + y * F.col("r")[1]["n"]) / F.col("n")))
-    return _kept(part.groupBy("id").agg(total.alias("n"), rows.alias("r")).select("id", "n", mean.alias("v")), "centroids"), merges
+    return kept(part.groupBy("id").agg(F.sum("n").alias("n"), rows.alias("r")).select("id", "n", mean.alias("v")), "centroids"), merges
+
+
+def _end(batches):
+    """The merges of the last few centroids, which are all rows of this task."""
+    rows = sorted((r["id"], r["n"], r["v"]) for batch in batches for r in batch.to_pylist())
+    merges = ward_merges(np.array([r[1] for r in rows]), np.array([r[2] for r in rows])) if len(rows) > 1 else []
+    cols = [[m[0] for m in merges], [rows[m[1]][0] for m in merges], [rows[m[2]][0] for m in merges], list(range(len(merges)))]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.float64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["cost", "a", "b", "step"])
+
+
+def ward_dendrogram(first: DataFrame) -> DataFrame:
+    """(cost, a, b, step): every merge of weighted centroids (id, n, v); the cluster of b goes into that of a, a < b, both called by their smallest id.
+
+    Rounds of Spark joins until LAST centroids are left, whose merges one task finds; merges stay a table. step: later merges have greater ones.
+    """
+    cents, count, step, merges = first, first.count(), 0, []
+    while count > LAST:
+        cents, merged = ward_round(cents, count)
+        left = cents.count()
+        if left == count:
+            raise ValueError("no pair of centroids has a finite cost")
+        merges.append(merged.withColumn("step", F.lit(step)))
+        count, step = left, step + 1
+    last = cents.coalesce(1).mapInArrow(_end, "cost double, a long, b long, step int").withColumn("step", F.col("step") + step)
+    for m in merges:
+        last = last.unionByName(m)
+    return kept(last, "dendrogram")
+
+
+def cut_dendrogram(first: DataFrame, merges: DataFrame, ks: list[int]) -> DataFrame:
+    """(id, cluster_<k> for each k): clusters after all but the k - 1 greatest merges, numbered by smallest member.
+
+    Merges below the greatest max(ks) - 1 hold for every k: pointers to the absorbing centroid are followed by
+    doubling. The few above are a bounded list, from which the driver makes each k's labels of what then is left.
+    """
+    most = max(ks)
+    top = [(r.a, r.b) for r in merges.orderBy(F.desc("cost"), F.desc("step"), F.desc("b")).limit(most - 1).collect()]
+    free = [b for _, b in top]
+    up = first.select("id").join(merges.select(F.col("b").alias("id"), "a"), "id", "left")
+    up = kept(up.select("id", F.when(F.col("id").isin(free), F.col("id")).otherwise(F.coalesce("a", "id")).alias("root")), "pointers")
+    while True:
+        further = up.select(F.col("id").alias("root"), F.col("root").alias("further"))
+        moved = kept(up.join(further, "root").select("id", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")), "pointers")
+        up = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            break
+    heads = sorted(r[0] for r in up.select("root").distinct().limit(most + 1).collect())
+    labels = {}
+    for k in ks:
+        into = {b: a for a, b in top[k - 1 :]}
+        ends = {}
+        for h in heads:
+            end = h
+            while end in into:
+                end = into[end]
+            ends[h] = end
+        number = {e: n for n, e in enumerate(sorted(set(ends.values())))}
+        labels[k] = [number[ends[h]] for h in heads]
+    table = first.sparkSession.createDataFrame(list(zip(heads, *(labels[k] for k in ks), strict=True)), "root long, " + ", ".join(f"cluster_{k} int" for k in ks))
+    return up.join(F.broadcast(table), "root").drop("root")
 
 
 def ward_clusters(entries: DataFrame, ks: list[int]) -> DataFrame:
     """(creator, features, cluster_<k> for each k) of unit vectors (creator, combined). One dendrogram serves every k.
 
-    Exact at every size. Equal vectors are one weighted centroid from the start and never parted: k above the
+    Exact at every size and by one path. Equal vectors are one weighted centroid from the start and never parted: k above the
     number of distinct vectors gives that many clusters.
     """
-    spark = entries.sparkSession
-    rows = _kept(entries.select("creator", F.col("combined").alias("v")).orderBy("creator").withColumn("id", F.monotonically_increasing_id()), "numbered")
-    first = _kept(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").cast("double").alias("n")), "centroids")
-    cents, merges, count = first.select("id", "n", "v"), [], first.count()
-    if not count:
+    rows = kept(entries.select("creator", F.col("combined").alias("v")).orderBy("creator").withColumn("id", F.monotonically_increasing_id()), "numbered")
+    first = kept(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").cast("double").alias("n")).select("id", "n", "v"), "centroids")
+    if first.isEmpty():
         return rows.select("creator", array_to_vector("v").alias("features"), *(F.lit(0).alias(f"cluster_{k}") for k in ks))
-    few = count <= MICRO
-    while count > MICRO:
-        cents, merged = ward_round(cents, count)
-        done = merged.collect()
-        if not done:
-            raise ValueError("no pair of centroids has a finite cost")
-        merges += map(tuple, done)
-        count -= len(done)
-    left = cents.orderBy("id").collect()
-    own = [r.id for r in left]
-    merges += [(h, own[a], own[b]) for h, a, b in ward_merges(np.array([r.n for r in left]), np.array([r.v for r in left]))]
-    ids = np.array(sorted({*own, *(m[1] for m in merges), *(m[2] for m in merges)}))
-    places = [(h, int(np.searchsorted(ids, a)), int(np.searchsorted(ids, b))) for h, a, b in merges]
-    labels = [cut(places, len(ids), k).tolist() for k in ks]
-    table = spark.createDataFrame(list(zip(ids.tolist(), *labels, strict=True)), "id long, " + ", ".join(f"cluster_{k} int" for k in ks))
-    table = first.select("id", "v").join(table, "id").drop("id")
-    return rows.drop("id").join(F.broadcast(table) if few else table, "v").select("creator", array_to_vector("v").alias("features"), *(f"cluster_{k}" for k in ks))
+    labels = cut_dendrogram(first, ward_dendrogram(first), ks)
+    return rows.drop("id").join(first.select("id", "v").join(labels, "id").drop("id"), "v").select("creator", array_to_vector("v").alias("features"), *(f"cluster_{k}" for k in ks))
 
 
 def cluster_sizes(df: DataFrame, column: str = "cluster_id") -> DataFrame:
@@ -143,9 +167,7 @@ def silhouette(df: DataFrame, column: str) -> float:
 
 def k_sweep(clustered: DataFrame, ks: list[int]) -> DataFrame:
     """(k, silhouette, min_size). The labelled vectors are written once and read by every evaluation."""
-    spark, path = clustered.sparkSession, shared_path(clustered.sparkSession, "labelled")
-    clustered.write.parquet(path)
-    clustered = spark.read.parquet(path)
+    spark, clustered = clustered.sparkSession, kept(clustered, "labelled")
     long = clustered.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"cluster_{k}").alias("c")) for k in ks))).alias("x")).groupBy("x.k", "x.c").count()
     sizes = long.groupBy("k").agg(F.min("count").alias("min_size"))
     scores = spark.createDataFrame([(k, float(silhouette(clustered, f"cluster_{k}"))) for k in ks], "k int, silhouette double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import preview, strip
 from ..functions.vectors import fuse, norm, unit, weigh
-from ..sources.files import last_wins
+from ..sources.files import last_wins, read_index, write_index
 
 
 def pool_frames(frames: DataFrame, creators: DataFrame, dims: int) -> DataFrame:
@@ -49,6 +49,12 @@ def build_index(embeddings: DataFrame, texts: DataFrame, wi: float = 0.85, wt: f
     return embeddings.filter(vectors_ok()).join(good, "creator", "left_semi").withColumn("combined", fuse(F.col("img"), F.col("txt"), wi, wt))
 
 
+def rebuild_index(spark, path: str, wi: float = 0.85, wt: float = 0.15) -> None:
+    """The index anew from its own stored vectors with other weights, as the next version in the same place; readers of the present one go on."""
+    stored = read_index(spark, path)
+    write_index(stored.filter(vectors_ok()).withColumn("combined", fuse(F.col("img"), F.col("txt"), wi, wt)), path)
+
+
 def gate_report(embeddings: DataFrame, texts: DataFrame) -> DataFrame:
     """(creator, reason) of what the gates drop, vectors first."""
     from .transcripts import text_gate

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
@@ -84,6 +85,82 @@ def encode(df: DataFrame, column: str, make_fn: Callable, batch: int = 32, out:
     return df.withColumn(out, f(F.coalesce(F.col(column), F.lit("")) if dict(df.dtypes)[column] == "string" else F.col(column)))
 
 
+def decode_bytes(side: int = 8) -> Callable:
+    """A stand-in for an image decoder: the first side * side bytes of a picture as its pixels, zeros behind its end; None without a picture."""
+
+    def decode(jpeg: bytes | None) -> np.ndarray | None:
+        if jpeg is None or len(jpeg) < 4 or jpeg[:2] != b"\xff\xd8":
+            return None
+        own = np.frombuffer(jpeg[: side * side], np.uint8).astype(np.float32)
+        return np.pad(own, (0, side * side - len(own)))
+
+    return decode
+
+
+def decode_frames(df: DataFrame, decode: Callable, column: str = "jpeg") -> DataFrame:
+    """Adds pixels array<float> of each picture, flattened; frames that can't be decoded are left out."""
+
+    @F.pandas_udf("array<float>")
+    def pixels(pictures: pd.Series) -> pd.Series:
+        return pictures.map(decode)
+
+    return df.withColumn("pixels", pixels(column)).filter("pixels is not null")
+
+
+def row_sums(side: int = 8) -> Callable:
+    """A stand-in for an image model: the sum of each row of an image tensor (side, side)."""
+
+    def make():
+        def predict(images: np.ndarray) -> np.ndarray:
+            return images.reshape(-1, side, side).sum(2)
+
+        return predict
+
+    return make
+
+
+def encode_frames(df: DataFrame, make_fn: Callable, shape: list[int], batch: int = 64, out: str = "v") -> DataFrame:
+    """M4: adds the image model's vector (array<double>) of pixels. Batches of ``batch`` tensors hold frames of whichever creators come together."""
+    f = predict_batch_udf(make_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch, input_tensor_shapes=[shape])
+    return df.withColumn(out, f("pixels").cast("array<double>"))
+
+
+#: What a speech model says of a chunk: a value a segment, in order.
+SEGMENTS = T.StructType(
+    [T.StructField("text", T.ArrayType(T.StringType())), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("no_speech_prob", "avg_logprob", "compression_ratio"))]
+)
+
+
+def counting_speech(parts: int = 3) -> Callable:
+    """A stand-in for a speech model: each of ``parts`` equal parts of the samples is a segment that says the sum of its 16-bit values."""
+
+    def make():
+        def predict(samples: np.ndarray) -> list[dict]:
+            sums = np.abs(np.rint(samples.reshape(len(samples), parts, -1).astype(np.float64).sum(2) * 32768)).astype(np.int64)
+            return [
+                {"text": np.array([f"n{x}" if x else "" for x in row], object), "no_speech_prob": row % 100 / 100, "avg_logprob": -(row % 20) / 10, "compression_ratio": 1 + row % 30 / 10}
+                for row in sums
+            ]
+
+        return predict
+
+    return make
+
+
+def transcribe(df: DataFrame, make_fn: Callable, length: int, batch: int = 16) -> DataFrame:
+    """M4 for audio: (mp4, chunk_idx, seg_idx, text, no_speech_prob, avg_logprob, compression_ratio) of chunks (mp4, chunk_idx, samples).
+
+    Samples are padded to ``length`` and go to the model in batches of ``batch`` chunks of whichever files come together; its
+    struct of arrays becomes a row a segment, as F7 and A2 take them. Longer chunks fail: cut them first (M2).
+    """
+    f = predict_batch_udf(make_fn, return_type=SEGMENTS, batch_size=batch, input_tensor_shapes=[[length]])
+    missing = F.lit(length) - F.size("samples")
+    padded = F.when(missing >= 0, F.concat("samples", F.array_repeat(F.lit(0.0).cast("float"), missing))).otherwise(F.raise_error(F.lit("a chunk is longer than the model takes")).cast("array<float>"))
+    said = df.select("mp4", "chunk_idx", padded.alias("samples")).select("mp4", "chunk_idx", f("samples").alias("said"))
+    zipped = F.arrays_zip(*(F.col(f"said.{c}").alias(c) for c in SEGMENTS.names))
+    return said.select("mp4", "chunk_idx", F.posexplode(zipped).alias("seg_idx", "s")).select("mp4", "chunk_idx", "seg_idx", *(F.col(f"s.{c}").alias(c) for c in SEGMENTS.names))
+
+
 def extract_report(df: DataFrame) -> DataFrame:
     """M6: (mp4, has_audio, n_frames) of (mp4, audio_pcm, frames); a failed extraction is empty, never an error."""
     return df.select("mp4", (F.coalesce(F.octet_length("audio_pcm"), F.lit(0)) > 0).alias("has_audio"), F.coalesce(F.when(F.size("frames") >= 0, F.size("frames")), F.lit(0)).alias("n_frames"))

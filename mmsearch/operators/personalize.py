@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
+from ..sources.files import kept
 
 
 def first_n(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
@@ -28,8 +29,9 @@ def feedback_vectors(fb: DataFrame, entries: DataFrame, most: int = 10) -> DataF
     return chosen.groupBy("username", "query", "label").agg(F.collect_list("v").alias("vectors")).select("username", "query", "label", _mean("vectors").alias("v"))
 
 
-#: Rows of a pool with their vectors that are broadcast; a larger pool is joined by shuffle.
+#: Rows of a pool with their vectors that are broadcast; a larger pool is joined by shuffle, each query in SALTS parts by user.
 POOL_ROWS = 5_000
+SALTS = 16
 
 
 def personalize(pool: DataFrame, fb: DataFrame, entries: DataFrame, most: int = 10, requests: DataFrame | None = None) -> DataFrame:
@@ -43,9 +45,13 @@ def personalize(pool: DataFrame, fb: DataFrame, entries: DataFrame, most: int =
     v = feedback_vectors(fb, entries, most).groupBy("username", "query").agg(F.first(F.when(F.col("label") == "good", F.col("v")), True).alias("good"), F.first(F.when(F.col("label") == "bad", F.col("v")), True).alias("bad"))
     asked = (fb if requests is None else requests).select("username", "query").distinct()
     # A pool row gets its vector once, not once a user; users then meet the few rows of their query.
-    known = pool.join(entries.select("creator", "combined"), "creator")
-    few = known.limit(POOL_ROWS + 1).count() <= POOL_ROWS
-    rows = asked.join(v, ["username", "query"], "left").join(F.broadcast(known) if few else known, "query")
+    known = kept(pool.join(entries.select("creator", "combined"), "creator"), "pool")
+    rows = asked.join(v, ["username", "query"], "left")
+    if known.limit(POOL_ROWS + 1).count() <= POOL_ROWS:
+        rows = rows.join(F.broadcast(known), "query")
+    else:
+        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("username"), F.lit(SALTS)).cast("int")).join(salted, ["query", "salt"])
     near = lambda v: F.coalesce(dot(F.col("combined"), v), F.lit(0.0)) * 0.25
     rows = rows.withColumn("boost", near(F.col("good"))).withColumn("penalty", near(F.col("bad")))
     return rows.select(

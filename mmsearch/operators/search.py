@@ -7,10 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, fuse
+from ..functions.vectors import dot
+from ..sources.files import kept
 
-#: Queries that one pass takes; more of them mean more passes, each over all entries.
-QUERY_BLOCK = 4096
+#: Queries, and entries, whose products are one matrix.
+QUERY_BLOCK = 1024
+ENTRY_BLOCK = 4096
+#: Bytes of packed queries that are broadcast; more of them meet the entries by a nested join of packs.
+BROADCAST_BYTES = 64 << 20
 
 
 def score_cross(entries: DataFrame, queries: DataFrame) -> DataFrame:
@@ -24,27 +28,46 @@ def top_k(scored: DataFrame, k: int, by: list[str], tie: str = "creator") -> Dat
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _partial(names: list, matrix: np.ndarray, k: int):
-    """Best k of each Arrow batch for each query, ties by creator, so only k rows a query and batch are shuffled."""
+def _packed(name: str, vector: str, most: int):
+    """Rows of a batch as few rows of (names, flat vectors)."""
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            v = batch.column("combined")
-            flat = v.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            score = flat @ matrix.T
-            creators = np.array(batch.column("creator").to_pylist(), object)
-            order = np.argsort(creators, kind="stable")
-            out = [[], [], []]
-            for j, name in enumerate(names):
-                s = score[order, j]
-                best = np.argsort(-s, kind="stable")[:k]
-                out[0] += [name] * len(best)
-                out[1] += creators[order[best]].tolist()
-                out[2] += s[best].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["query", "creator", "score"])
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                flat = part.column(vector).flatten()
+                cols = [pa.array([part.column(name).to_pylist()], pa.list_(pa.string())), pa.ListArray.from_arrays([0, len(flat)], flat.cast(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(cols, [f"{name}_names", f"{vector}_flat"])
+
+    return run
+
+
+def _best(near: np.ndarray, v: np.ndarray, q: np.ndarray, names: np.ndarray, k: int) -> list[tuple[float, str]]:
+    """The k best (score, name) of the rows of v for q, ties by name. near: their products as a matrix product rounds them.
+
+    A partition finds the k-th; only rows about as good are scored again, each by itself, so equal vectors score equal wherever they stand.
+    """
+    if len(near) > k:
+        floor = np.partition(near, len(near) - k)[len(near) - k]
+        at = np.flatnonzero(near >= floor - 1e-9 * (1 + abs(floor)))
+        v, names = v[at], names[at]
+    return sorted(zip((v * q).sum(1).tolist(), names.tolist(), strict=True), key=lambda x: (-x[0], x[1]))[:k]
+
+
+def _products(k: int):
+    """(query, creator, score): the best k of all pairs of packs that a task reads, for each query."""
+
+    def run(batches):
+        found: dict[str, list] = {}
+        for batch in batches:
+            for p in batch.to_pylist():
+                names, creators = p["query_names"], np.array(p["creator_names"], object)
+                q, v = (np.array(p[c]).reshape(len(n), -1) for c, n in (("q_flat", names), ("combined_flat", creators)))
+                for name, one, row in zip(names, q, q @ v.T, strict=True):
+                    own = _best(row, v, one, creators, k)
+                    found[name] = sorted(found[name] + own, key=lambda x: (-x[0], x[1]))[:k] if name in found else own
+        rows = [(name, c, s) for name, own in found.items() for s, c in own]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["query", "creator", "score"])
 
     return run
 
@@ -52,24 +75,157 @@ def _partial(names: list, matrix: np.ndarray, k: int):
 def search(entries: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query, rank, creator, score), exact, score descending then creator; k above the number of entries gives all.
 
-    The stated query set meets all entries in Arrow blocks: a matrix product and a partial top k a block, then
-    one ranking of what is left. Queries are taken about QUERY_BLOCK at a time, each block by a pass over all entries.
+    Queries and entries are packed into blocks without a shuffle; every pair of blocks is a matrix product and a partial top k
+    that a task carries on, so k rows a query and task are shuffled. Packed queries are broadcast while they fit BROADCAST_BYTES.
+    A query with a repeated name is one with the rows of both. For many queries over a standing index see ``search_blocks``.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
-    for block in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).select("query", "q").collect()
-        if rows:
-            work = _partial([r[0] for r in rows], np.array([r[1] for r in rows]), k)
-            part = entries.select("creator", "combined").mapInArrow(work, "query string, creator string, score double")
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return score_cross(entries, queries).select("query", F.lit(1).alias("rank"), "creator", "score")
+    asked = queries.select("query", "q").mapInArrow(_packed("query", "q", QUERY_BLOCK), "query_names array<string>, q_flat array<double>")
+    held = entries.select("creator", "combined").mapInArrow(_packed("creator", "combined", ENTRY_BLOCK), "creator_names array<string>, combined_flat array<double>")
+    size = queries.agg(F.sum(8 * F.size("q") + F.length("query"))).first()[0] or 0
+    pairs = held.crossJoin(F.broadcast(asked) if size <= BROADCAST_BYTES else asked)
+    found = pairs.mapInArrow(_products(k), "query string, creator string, score double")
     return top_k(found, k, ["query"]).select("query", "rank", "creator", "score")
 
 
+# ---- bounded search over a standing index ------------------------------------------------------------------------
+
+
+def _nearest_pivot(pivots: np.ndarray):
+    def run(batches):
+        sq = (pivots * pivots).sum(1)
+        for batch in batches:
+            v = batch.column("combined").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, pivots.shape[1]))
+            cell = (sq[None, :] - 2 * v @ pivots.T).argmin(1) if len(v) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("creator", "combined")), pa.array(cell, pa.int64())], ["creator", "combined", "cell"])
+
+    return run
+
+
+def _block(table: pa.Table) -> pa.Table:
+    by = np.argsort(np.array(table.column("creator").to_pylist(), object), kind="stable")
+    v = np.array(table.column("combined").to_pylist())[by]
+    names = np.array(table.column("creator").to_pylist(), object)[by].tolist()
+    centre = v.mean(0)
+    radius = float(np.sqrt(((v - centre) ** 2).sum(1)).max())
+    cols = [[table.column("block")[0].as_py()], [centre.tolist()], [radius], [names], [v.ravel().tolist()]]
+    types = [pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["block", "centre", "radius", "creator_names", "combined_flat"])
+
+
+BLOCKS = "block long, centre array<double>, radius double, creator_names array<string>, combined_flat array<double>"
+
+
+def block_index(entries: DataFrame, cells: int = 256, size: int = 1024) -> DataFrame:
+    """Entries as blocks of near ones, about ``size`` each: (block, centre, radius, creator_names, combined_flat). Write it once, search it often.
+
+    Entries go to the nearest of ``cells`` pivots, those of smallest name hash (the only rows that reach the driver); a
+    cell above the size is dealt into several blocks. Every entry is in one block; blocks only steer how much a search skips.
+    """
+    rows = entries.select("creator", "combined")
+    pivots = rows.orderBy(F.xxhash64("creator"), "creator").limit(cells).collect()
+    if not pivots:
+        return entries.sparkSession.createDataFrame([], BLOCKS)
+    near = rows.mapInArrow(_nearest_pivot(np.array([r.combined for r in pivots])), "creator string, combined array<double>, cell long")
+    parts = near.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("parts"))  # a row a cell, cells at most
+    dealt = near.join(F.broadcast(parts), "cell").withColumn("block", F.col("cell") * (1 << 40) + F.pmod(F.xxhash64("creator"), F.col("parts")))
+    return dealt.select("block", "creator", "combined").groupBy("block").applyInArrow(_block, BLOCKS)
+
+
+def _packed_centres(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, ENTRY_BLOCK):
+            part = batch.slice(at, ENTRY_BLOCK)
+            flat = part.column("centre").flatten()
+            cols = [pa.array([part.column(c).to_pylist()], pa.list_(t)) for c, t in (("block", pa.int64()), ("radius", pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays([0, len(flat)], flat)], ["blocks", "radii", "centre_flat"])
+
+
+def _bounds(p: dict) -> np.ndarray:
+    """Per query and block no less than any score: the product with the centre and the query's length times the radius, and a margin for rounding."""
+    q, c = (np.array(p[x]).reshape(len(p[n]), -1) for x, n in (("q_flat", "query_names"), ("centre_flat", "blocks")))
+    length = np.sqrt((q * q).sum(1))[:, None]
+    return q @ c.T + length * np.array(p["radii"])[None, :] + 1e-9 * length * (1 + np.sqrt((c * c).sum(1))[None, :])
+
+
+def _first_blocks(batches):
+    """(query, block, bound): of each pack of centres the block with the greatest bound."""
+    for batch in batches:
+        for p in batch.to_pylist():
+            bound = _bounds(p)
+            at = bound.argmax(1)
+            cols = [p["query_names"], [p["blocks"][k] for k in at], bound[np.arange(len(at)), at]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.float64()), strict=True)], ["query", "block", "bound"])
+
+
+def _open_blocks(batches):
+    """(query, block) whose bound reaches the query's k-th score so far, but for the block that is done."""
+    for batch in batches:
+        for p in batch.to_pylist():
+            ok = _bounds(p) >= np.array(p["floors"])[:, None]
+            ok &= np.array(p["done"])[:, None] != np.array(p["blocks"])[None, :]
+            i, j = np.nonzero(ok)
+            cols = [[p["query_names"][k] for k in i], [p["blocks"][k] for k in j]]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], ["query", "block"])
+
+
+def _asked(k: int):
+    """The best k of a block's entries for each query of a part."""
+
+    def run(asked: pa.Table, block: pa.Table) -> pa.Table:
+        rows = []
+        if asked.num_rows and block.num_rows:
+            names = np.array(block.column("creator_names")[0].as_py(), object)
+            v = np.array(block.column("combined_flat")[0].as_py()).reshape(len(names), -1)
+            for query, q in zip(asked.column("query").to_pylist(), asked.column("q").to_pylist(), strict=True):
+                q = np.array(q)
+                rows += [(query, c, s) for s, c in _best(v @ q, v, q, names, k)]
+        return pa.table([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["query", "creator", "score"])
+
+    return run
+
+
+def _evaluate(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """Scores of (query, block) pairs. A block that many queries want is dealt to several parts of about QUERY_BLOCK queries."""
+    parts = pairs.groupBy("block").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts"))
+    wanted = pairs.join(parts, "block").join(queries, "query").select("block", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int").alias("part"), "query", "q")
+    copies = blocks.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "creator_names", "combined_flat")
+    return wanted.groupBy("block", "part").cogroup(copies.groupBy("block", "part")).applyInArrow(_asked(k), "query string, creator string, score double")
+
+
+def search_blocks(blocks: DataFrame, queries: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """W1 over a block index: ((query, rank, creator, score) exactly as ``search`` gives them, (query, block) pairs that were looked into).
+
+    Each query first takes the block with its greatest bound; its k-th score there is a floor, and only blocks whose
+    bound reaches it are looked into. Names of queries must be unique. Queries are never collected; what the two
+    steps found is written to the shared folder.
+    """
+    queries = queries.select("query", F.col("q").cast("array<double>").alias("q"))
+    centres = blocks.select("block", "radius", "centre").mapInArrow(_packed_centres, "blocks array<long>, radii array<double>, centre_flat array<double>")
+    packs = queries.mapInArrow(_packed("query", "q", QUERY_BLOCK), "query_names array<string>, q_flat array<double>")
+    first = packs.crossJoin(centres).mapInArrow(_first_blocks, "query string, block long, bound double")
+    first = kept(first.groupBy("query").agg(F.max_by("block", "bound").alias("block")), "first")
+    seeds = kept(_evaluate(first, queries, blocks, k), "seeds")
+    floors = seeds.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    known = queries.join(first.withColumnRenamed("block", "done"), "query").join(floors, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    deal = F.spark_partition_id(), F.floor(F.monotonically_increasing_id() / QUERY_BLOCK)
+    lists = [F.collect_list(c).alias(n) for c, n in (("query", "query_names"), ("q", "qs"), ("floor", "floors"), ("done", "done"))]
+    packs = known.withColumn("a", deal[0]).withColumn("b", deal[1]).groupBy("a", "b").agg(*lists).select("query_names", F.flatten("qs").alias("q_flat"), "floors", "done")
+    more = kept(packs.crossJoin(centres).mapInArrow(_open_blocks, "query string, block long"), "open")
+    found = seeds.unionByName(_evaluate(more, queries, blocks, k))
+    return top_k(found, k, ["query"]).select("query", "rank", "creator", "score"), first.unionByName(more)
+
+
 def config_sweep(embeddings: DataFrame, configs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(config, image_weight, text_weight, query, rank, creator, score) of every fusion config and query."""
-    fused = embeddings.crossJoin(F.broadcast(configs)).withColumn("combined", fuse(F.col("img"), F.col("txt"), F.col("image_weight"), F.col("text_weight")))
-    scored = fused.crossJoin(F.broadcast(queries)).select("config", "image_weight", "text_weight", "query", "creator", dot(F.col("combined"), F.col("q")).alias("score"))
+    """(config, image_weight, text_weight, query, rank, creator, score) of every fusion config and query, both small and stated.
+
+    The score of a fused vector is (wi <img, q> + wt <txt, q>) / |wi img + wt txt|, so a creator needs two products a query and
+    three of its own; each config then is scalar arithmetic. A fused vector without length scores as it is.
+    """
+    img, txt = F.col("img"), F.col("txt")
+    own = embeddings.select("creator", img.alias("img"), txt.alias("txt"), dot(img, img).alias("ii"), dot(img, txt).alias("it"), dot(txt, txt).alias("tt"))
+    near = own.crossJoin(F.broadcast(queries)).select("creator", "query", "ii", "it", "tt", dot(F.col("img"), F.col("q")).alias("iq"), dot(F.col("txt"), F.col("q")).alias("tq"))
+    wi, wt = F.col("image_weight"), F.col("text_weight")
+    norm = F.sqrt(F.greatest(wi * wi * F.col("ii") + 2 * wi * wt * F.col("it") + wt * wt * F.col("tt"), F.lit(0.0)))
+    both = near.crossJoin(F.broadcast(configs)).withColumn("norm", norm).withColumn("score", wi * F.col("iq") + wt * F.col("tq"))
+    scored = both.select("config", "image_weight", "text_weight", "query", "creator", F.when(F.col("norm") == 0, F.col("score")).otherwise(F.col("score") / F.col("norm")).alias("score"))
     return top_k(scored, k, ["config", "query"])

@@ -108,7 +108,7 @@ class Inputs:
         return self.table("events").select(F.dayofmonth("ts").alias("run"), F.col("event_type").alias("stage"), F.col("event_id").alias("item"), start.cast("double").alias("start"), (start + F.col("value")).alias("end"))
 
     def labels(self) -> DataFrame:
-        """Sweep results labelled by whether the creator's first vector has the query vector's label; every 7th blank."""
+        """Sweep results labelled by whether the creator's first vector has the query vector's label; none is blank."""
         from ..operators.search import config_sweep
 
         e = self.table("embeddings")
@@ -164,6 +164,8 @@ CTES = {
     "durations": "SELECT o.o_custkey, o.o_orderkey, min(l.l_quantity) AS d FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_custkey, o.o_orderkey",
     "profiles": "SELECT c.c_name AS username, c.c_custkey * 1000 AS follower_count, count(d.o_orderkey) AS video_count, '[' || coalesce(string_agg('''' || d.o_orderkey || '''', ', ' ORDER BY d.o_orderkey), '') || ']' AS video_ids, '[' || coalesce(string_agg(coalesce(CAST(d.d AS VARCHAR), 'null'), ', ' ORDER BY d.o_orderkey), '') || ']' AS video_durations_list, c.c_custkey AS pos FROM customer c LEFT JOIN durations d ON d.o_custkey = c.c_custkey GROUP BY c.c_name, c.c_custkey",
     "stage_log": "SELECT CAST(day(ts) AS INT) AS run, event_type AS stage, event_id AS item, CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS DOUBLE) AS start, hour(ts) * 3600 + minute(ts) * 60 + second(ts) + value AS stop FROM events",
+    "units": "SELECT vec_id, label, list_transform(e, lambda y: y / sqrt(list_dot_product(e, e))) AS v FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)",
+    "sums": "SELECT label, list(x ORDER BY p) AS s, any_value(n) AS n FROM (SELECT label, p, sum(x) AS x, count(*) AS n FROM (SELECT label, unnest(range(1, 65)) AS p, unnest(v) AS x FROM units) GROUP BY label, p) GROUP BY label",
 }
 
 

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import creator_of, strip
-from . import schemas
+from . import schemas, versioned
 
 CSV = {"header": True, "multiLine": True, "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh place in the folder that driver and executors share (a temporary one only where none is named)."""
+    """A fresh place in the folder that driver and executors share; a temporary folder stands in for it in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="spark-shared-")
@@ -24,6 +28,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back: nobody computes it again, and it outlives an executor."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     df.write.options(**CSV).csv(path)
     return path
@@ -65,14 +76,47 @@ def scan_frames(spark: SparkSession, path: str, exts: tuple[str, ...] = ("jpg",
     return files.filter(ok).select(F.element_at(F.split(rest, "/"), 1).alias("creator"), F.col("path").alias("frame_path"), "content")
 
 
+def write_media(df: DataFrame, root: str) -> str:
+    """Files (path below root, content) written by the tasks that hold them, to any store that Arrow opens; a task that runs again writes the same files."""
+
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                place = f"{base}/{path}"
+                fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(place) as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    df.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return root
+
+
+BINARY = "path string, modificationTime timestamp, length long, content binary"
+
+
+def media_stream(spark: SparkSession, root: str, per_trigger: int = 100, glob: str = "*/*.mp4", archive: str | None = None) -> DataFrame:
+    """S14 over S3: (mp4, creator, content) of media files as they arrive, ``per_trigger`` a micro-batch; unreadable, vanished and empty files are skipped.
+
+    With ``archive``, a folder outside root, files are moved there once their batch is done.
+    """
+    options = {"maxFilesPerTrigger": per_trigger, "ignoreCorruptFiles": True, "ignoreMissingFiles": True}
+    if archive is not None:
+        options |= {"cleanSource": "archive", "sourceArchiveDir": archive}
+    rows = spark.readStream.format("binaryFile").schema(BINARY).options(**options).load(f"{root}/{glob}")
+    return rows.select(F.col("path").alias("mp4"), creator_of(F.col("path")).alias("creator"), "content").filter(~F.col("creator").startswith("_"))
+
+
 def write_index(entries: DataFrame, path: str) -> str:
-    """Names, both vectors and the fused one as one table with a position by creator, so rows can't fall apart."""
-    entries.write.parquet(path)
+    """Names, both vectors and the fused one as the next version of one table, so rows can't fall apart; ``entries`` may read the present one."""
+    versioned.overwrite(entries, path)
     return path
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_index(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The index pinned to its newest version or a given one: a rebuild doesn't disturb who reads it."""
+    return versioned.read(spark, path, version)
 
 
 def write_json(df: DataFrame, path: str) -> str:
@@ -93,17 +137,53 @@ def write_search_docs(docs: DataFrame, path: str, key: str = "username", order:
     return path, seen.get["n"]
 
 
+def upsert_search_docs(docs: DataFrame, root: str, order: str = "pos", buckets: int = 64, batch: int | None = None) -> dict[str, int]:
+    """Merge documents (username, transcription, img, txt, follower_count, video_count, ``order``) by username into a versioned store.
+
+    Documents whose image or text vector has no length are skipped, as are those without a name. The others get the fused vector and
+    indexed_at; a document known by its username is replaced. Returns the inserted, replaced and skipped documents.
+    """
+    from ..functions.vectors import fuse, norm
+
+    ok = F.coalesce((norm(F.col("img")) > 0) & (norm(F.col("txt")) > 0), F.lit(False))
+    good = docs.filter(ok).select(
+        "username", "transcription", F.col("img").alias("image_embedding"), F.col("txt").alias("text_embedding"), fuse(F.col("img"), F.col("txt")).alias("combined_embedding"),
+        "follower_count", "video_count", F.current_timestamp().alias("indexed_at"), order,
+    )
+    counts = versioned.upsert(good, root, "username", order, buckets, batch).counts
+    return {"inserted": counts.get("inserted", 0), "replaced": counts.get("replaced", 0), "skipped": docs.filter(~ok).count() + counts.get("rejected", 0)}
+
+
+def init_bucketed_interactions(spark: SparkSession, table: str, buckets: int = 64) -> str:
+    """An empty table of interactions in the catalogue, dealt to buckets by user and sorted by time within each."""
+    empty = spark.createDataFrame([], f"{schemas.INTERACTIONS}, event_id long")
+    empty.write.bucketBy(buckets, "username").sortBy("timestamp", "event_id").mode("overwrite").saveAsTable(table)
+    return table
+
+
+def append_bucketed(df: DataFrame, table: str, buckets: int = 64) -> DataFrame:
+    """S10 on a bucketed table: accepted rows are appended in its layout, so reads by user need no shuffle; returns the rejected ones."""
+    good, bad = validate_feedback(df)
+    rows = good.withColumn("timestamp", F.coalesce("timestamp", F.current_timestamp())).select(*df.sparkSession.table(table).columns)
+    rows.repartition(buckets, "username").write.bucketBy(buckets, "username").sortBy("timestamp", "event_id").mode("append").saveAsTable(table)
+    return bad
+
+
 def init_interactions(spark: SparkSession, path: str) -> str:
     """An empty interactions table."""
     spark.createDataFrame([], schemas.INTERACTIONS).write.mode("overwrite").parquet(path)
     return path
 
 
+def feedback_ok() -> Column:
+    """A creator and one of two labels are needed."""
+    return F.coalesce(F.length("liked_creator") > 0, F.lit(False)) & F.col("label").isin("good", "bad")
+
+
 def validate_feedback(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected). Label null: good; lower-cased; a creator and one of two labels are needed."""
+    """(accepted, rejected). Label null: good; lower-cased."""
     df = df.withColumn("label", F.lower(F.coalesce("label", F.lit("good"))))
-    ok = F.coalesce(F.length("liked_creator") > 0, F.lit(False)) & F.col("label").isin("good", "bad")
-    return df.filter(ok), df.filter(~ok)
+    return df.filter(feedback_ok()), df.filter(~feedback_ok())
 
 
 def append_feedback(df: DataFrame, path: str) -> DataFrame:

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..sources.files import validate_feedback
+from ..sources import versioned
+from ..sources.files import feedback_ok, validate_feedback
 
 
 def stream_source(spark: SparkSession, path: str, schema: str, per_trigger: int = 1, fmt: str = "parquet") -> DataFrame:
@@ -22,40 +23,99 @@ def expected_counts(videos: DataFrame) -> DataFrame:
     return videos.groupBy("creator").agg(F.count_distinct("mp4").cast("int").alias("expected"))
 
 
-def complete_groups(texts: DataFrame, expected: DataFrame, timeout_ms: int | None = None) -> DataFrame:
-    """(creator, transcription, complete) once per creator, when as many distinct videos as expected have arrived.
+#: Sessions keep the state of a stream in RocksDB, whose changes (not the whole state) are written a batch.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+GROUPS = "creator string, transcription string, complete boolean"
 
-    texts: a stream (mp4, creator, text); a silent or failed video counts with "". Repeated videos count once,
-    the first text stays (R7). With ``timeout_ms``, a group that gets nothing for so long comes out with
-    complete = false (R6). State holds texts by path of one creator, nothing of finished ones but a mark.
+
+class _Group(StatefulProcessor):
+    """Texts of one creator by path, how many there are, and whether the group is out.
+
+    A batch looks up and writes only the paths that arrive; all of them are read once, when the group comes out.
     """
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, names, texts_ = state.get if state.exists else (False, [], [])
-        seen = dict(zip(names, texts_, strict=True))
-        need = None
-        if state.hasTimedOut:
-            if not done and seen:
-                yield pd.DataFrame({"creator": [key[0]], "transcription": [" ".join(seen[m] for m in sorted(seen))], "complete": [False]})
-            state.update((True, [], []))
-            return
-        for batch in batches:
-            for mp4, text, n in zip(batch["mp4"], batch["text"], batch["expected"], strict=True):
-                seen.setdefault(mp4, text or "")
-                need = int(n)
+    def __init__(self, timeout_ms: int | None, event_time: bool):
+        self.timeout_ms, self.event_time = timeout_ms, event_time
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.texts = handle.getMapState("texts", "mp4 string", "text string")
+        self.state = handle.getValueState("state", "n int, done boolean, last long, timer long")
+
+    def _out(self, key, complete: bool) -> pd.DataFrame:
+        found = sorted((k[0], v[0]) for k, v in self.texts.iterator())
+        self.texts.clear()
+        return pd.DataFrame({"creator": [key[0]], "transcription": [" ".join(t for _, t in found)], "complete": [complete]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, done, last, timer = self.state.get() if self.state.exists() else (0, False, None, None)
         if done:
             return
-        if need is not None and len(seen) >= need:
-            yield pd.DataFrame({"creator": [key[0]], "transcription": [" ".join(seen[m] for m in sorted(seen))], "complete": [True]})
-            state.update((True, [], []))
-            return
-        state.update((False, list(seen), list(seen.values())))
-        if timeout_ms is not None:
-            state.setTimeoutDuration(timeout_ms)
+        batch = pd.concat(list(rows))
+        if self.event_time:
+            batch = batch.sort_values(["at", "mp4"], kind="stable")
+        for mp4, text, need, at in zip(batch["mp4"], batch["text"], batch["expected"], batch["at"], strict=True):
+            if self.event_time:
+                at = int(at)
+                if last is not None and at - last > self.timeout_ms:
+                    yield self._out(key, False)
+                    done = True
+                    break
+                last = at
+            if not self.texts.containsKey((mp4,)):
+                self.texts.updateValue((mp4,), ("" if text is None or pd.isna(text) else text,))
+                n += 1
+            if n >= int(need):
+                yield self._out(key, True)
+                done = True
+                break
+        if timer is not None and (done or self.timeout_ms is not None):
+            self.handle.deleteTimer(timer)
+            timer = None
+        if not done and self.timeout_ms is not None:
+            timer = (last if self.event_time else timerValues.getCurrentProcessingTimeInMs()) + self.timeout_ms
+            self.handle.registerTimer(timer)
+        self.state.update((n, done, last, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, done, last, _ = self.state.get() if self.state.exists() else (0, False, None, None)
+        if not done:
+            self.state.update((n, True, last, None))
+            yield self._out(key, False)
+
+
+def complete_groups(texts: DataFrame, expected: DataFrame, timeout_ms: int | None = None, event_time: str | None = None, delay: str = "0 seconds") -> DataFrame:
+    """(creator, transcription, complete) once per creator, when as many distinct videos as expected have arrived.
+
+    texts: a stream (mp4, creator, text); a silent or failed video counts with "". Repeated videos count once,
+    the first text stays (R7). With ``timeout_ms``, a group that gets nothing for so long comes out with
+    complete = false (R6): by the clock, or with ``event_time`` (a timestamp column of texts) by the stream's own
+    time, at the first gap longer than that or once the watermark, ``delay`` behind the latest row, is past the
+    timeout. What arrives for a group that is out is dropped.
 
-    kind = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    joined = texts.join(expected, "creator")
-    return joined.groupBy("creator").applyInPandasWithState(step, "creator string, transcription string, complete boolean", "done boolean, mp4s array<string>, texts array<string>", "append", kind)
+    Texts are a map by path in RocksDB: a batch touches the arriving videos only, a finished group keeps a mark.
+    """
+    if event_time is not None and timeout_ms is None:
+        raise ValueError("event_time is for timeouts: give timeout_ms")
+    texts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    if event_time is None:
+        mode = "None" if timeout_ms is None else "ProcessingTime"
+        rows = texts.select("mp4", "creator", "text", F.lit(None).cast("long").alias("at"))
+    else:
+        mode = "EventTime"
+        at = F.unix_millis(F.col(event_time)).alias("at")
+        rows = texts.withWatermark(event_time, delay).select("mp4", "creator", "text", at, event_time)
+    joined = rows.join(expected, "creator")
+    return joined.groupBy("creator").transformWithStateInPandas(_Group(timeout_ms, event_time is not None), GROUPS, "Append", mode)
+
+
+def drop_repeats(rows: DataFrame, key: list[str], event_time: str, delay: str) -> DataFrame:
+    """Of rows with one key within ``delay`` of event time the first to arrive; rows later than the watermark are dropped.
+
+    State holds the keys of the last ``delay`` only, so it doesn't grow with the stream.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(key)
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str) -> None:
@@ -72,6 +132,37 @@ def index_upsert(groups: DataFrame, build, path: str, checkpoint: str) -> None:
     groups.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def index_merge(groups: DataFrame, build, root: str, checkpoint: str, key: str = "creator", buckets: int = 64) -> None:
+    """Each micro-batch goes through ``build`` and is merged by key into a versioned table: one row a key, the last batch wins.
+
+    A batch that comes again after a failure changes nothing, as the table knows the last one it merged.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        versioned.upsert(build(batch).withColumn("batch", F.lit(batch_id)), root, key, "batch", buckets, batch_id)
+
+    groups.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def feedback_stream(rows: DataFrame, path: str, checkpoint: str) -> None:
     """Accepted interactions of a stream are appended to the table that the next search reads."""
     run_available(validate_feedback(rows)[0], path, checkpoint)
+
+
+def feedback_outputs(rows: DataFrame, path: str, checkpoint: str) -> None:
+    """Every micro-batch in one write into path/batch=<id>/accepted=<true|false>; missing times are stamped.
+
+    A batch that comes again replaces itself, so both outputs hold each row once. Read them with ``read_outputs``.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        stamped = batch.withColumn("timestamp", F.coalesce("timestamp", F.current_timestamp())).withColumn("label", F.lower(F.coalesce("label", F.lit("good"))))
+        stamped.withColumn("accepted", feedback_ok()).write.mode("overwrite").partitionBy("accepted").parquet(f"{path}/batch={batch_id}")
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_outputs(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) rows of feedback_outputs, each with the number of its batch."""
+    rows = spark.read.schema(f"{schema}, batch long, accepted boolean").parquet(path)
+    return rows.filter("accepted").drop("accepted"), rows.filter("not accepted").drop("accepted")

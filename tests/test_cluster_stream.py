@@ -52,7 +52,7 @@ def test_ward_matches_naive_ward_and_silhouette_its_definition(spark):
 
 
 def test_micro_centroids_above_the_limit(spark, monkeypatch):
-    monkeypatch.setattr(cluster, "MICRO", 20)
+    monkeypatch.setattr(cluster, "LAST", 20)
     x, df = points(spark)
     rows = cluster.ward_clusters(df, [4]).collect()
     assert len(rows) == len(x) and len({r.cluster_4 for r in rows}) == 4
@@ -130,7 +130,7 @@ def test_an_incomplete_group_comes_out_after_the_timeout(spark):
 
 @pytest.mark.parametrize("block", [1024, 16])
 def test_rounds_in_spark_give_the_clusters_of_naive_ward(spark, monkeypatch, block):
-    monkeypatch.setattr(cluster, "MICRO", 20)
+    monkeypatch.setattr(cluster, "LAST", 20)
     monkeypatch.setattr(cluster, "BLOCK", block)
     x, df = points(spark)
     df = df.unionByName(df.filter("creator < 'c003'").withColumn("creator", F.concat(F.lit("x"), "creator")))
