@@ -27,7 +27,7 @@ def precision_at_k(labels: DataFrame) -> DataFrame:
 
 def avg_precision(precision: DataFrame, configs: DataFrame, queries: DataFrame) -> DataFrame:
     """A5: (config_pos, config, avg_precision); a query without rows counts 0."""
-    grid = configs.select("config_pos", "config").crossJoin(F.broadcast(queries.select("query")))
+    grid = configs.select("config_pos", "config").crossJoin(queries.select("query"))
     return grid.join(precision, ["config", "query"], "left").groupBy("config_pos", "config").agg(F.avg(F.coalesce("precision", F.lit(0.0))).alias("avg_precision"))
 
 

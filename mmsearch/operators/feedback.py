@@ -36,7 +36,7 @@ def for_query(fb: DataFrame, query: str) -> DataFrame:
 def alias_feedback(fb: DataFrame, aliases: DataFrame) -> DataFrame:
     """Distinct (username, query, label, creator) under each test query's aliases (query, aliases)."""
     keys = aliases.select(F.col("query").alias("test"), F.explode("aliases").alias("a")).select("test", normalize_query(F.col("a")).alias("query"))
-    return fb.join(F.broadcast(keys), "query").select("username", F.col("test").alias("query"), "label", "creator").distinct()
+    return fb.join(keys, "query").select("username", F.col("test").alias("query"), "label", "creator").distinct()
 
 
 def feedback_counts(interactions: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ BROADCAST_BYTES = 64 << 20
 
 
 def score_cross(entries: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, creator, score) of every entry for a stated, small query set (broadcast)."""
-    return entries.select("creator", "combined").crossJoin(F.broadcast(queries)).select("query", "creator", dot(F.col("combined"), F.col("q")).alias("score"))
+    """(query, creator, score) of every entry for a stated query set; Spark broadcasts it by its size."""
+    return entries.select("creator", "combined").crossJoin(queries).select("query", "creator", dot(F.col("combined"), F.col("q")).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, by: list[str], tie: str = "creator") -> DataFrame:
@@ -72,6 +72,13 @@ def _products(k: int):
     return run
 
 
+def packs(entries: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries (creator, combined) and queries (query, q) as rows of (names, flat vectors), without a shuffle."""
+    held = entries.select("creator", "combined").mapInArrow(_packed("creator", "combined", ENTRY_BLOCK), "creator_names array<string>, combined_flat array<double>")
+    asked = queries.select("query", "q").mapInArrow(_packed("query", "q", QUERY_BLOCK), "query_names array<string>, q_flat array<double>")
+    return held, asked
+
+
 def search(entries: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query, rank, creator, score), exact, score descending then creator; k above the number of entries gives all.
 
@@ -79,8 +86,7 @@ def search(entries: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     that a task carries on, so k rows a query and task are shuffled. Packed queries are broadcast while they fit BROADCAST_BYTES.
     A query with a repeated name is one with the rows of both. For many queries over a standing index see ``search_blocks``.
     """
-    asked = queries.select("query", "q").mapInArrow(_packed("query", "q", QUERY_BLOCK), "query_names array<string>, q_flat array<double>")
-    held = entries.select("creator", "combined").mapInArrow(_packed("creator", "combined", ENTRY_BLOCK), "creator_names array<string>, combined_flat array<double>")
+    held, asked = packs(entries, queries)
     size = queries.agg(F.sum(8 * F.size("q") + F.length("query"))).first()[0] or 0
     pairs = held.crossJoin(F.broadcast(asked) if size <= BROADCAST_BYTES else asked)
     found = pairs.mapInArrow(_products(k), "query string, creator string, score double")
@@ -223,9 +229,9 @@ def config_sweep(embeddings: DataFrame, configs: DataFrame, queries: DataFrame,
     """
     img, txt = F.col("img"), F.col("txt")
     own = embeddings.select("creator", img.alias("img"), txt.alias("txt"), dot(img, img).alias("ii"), dot(img, txt).alias("it"), dot(txt, txt).alias("tt"))
-    near = own.crossJoin(F.broadcast(queries)).select("creator", "query", "ii", "it", "tt", dot(F.col("img"), F.col("q")).alias("iq"), dot(F.col("txt"), F.col("q")).alias("tq"))
+    near = own.crossJoin(queries).select("creator", "query", "ii", "it", "tt", dot(F.col("img"), F.col("q")).alias("iq"), dot(F.col("txt"), F.col("q")).alias("tq"))
     wi, wt = F.col("image_weight"), F.col("text_weight")
     norm = F.sqrt(F.greatest(wi * wi * F.col("ii") + 2 * wi * wt * F.col("it") + wt * wt * F.col("tt"), F.lit(0.0)))
-    both = near.crossJoin(F.broadcast(configs)).withColumn("norm", norm).withColumn("score", wi * F.col("iq") + wt * F.col("tq"))
+    both = near.crossJoin(configs).withColumn("norm", norm).withColumn("score", wi * F.col("iq") + wt * F.col("tq"))
     scored = both.select("config", "image_weight", "text_weight", "query", "creator", F.when(F.col("norm") == 0, F.col("score")).otherwise(F.col("score") / F.col("norm")).alias("score"))
     return top_k(scored, k, ["config", "query"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import cluster, evaluate, feedback, index, media, personalize, planning, report, search, transcripts
+from ..operators import cluster, evaluate, feedback, index, media, personalize, planning, report, search, sql, transcripts
 from ..sources import files, schemas, versioned
 from ..streaming import ingest
 from .inputs import DIMS, QUERIES as NAMES, Inputs, oracle
@@ -20,11 +20,11 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 
 
-def query(name: str, sql: str | None = None, upto: str = "stage_log"):
+def query(name: str, text: str | None = None, upto: str = "stage_log"):
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: f(Inputs(spark, sf_dir))
-        if sql is not None:
-            ORACLE[name] = oracle(sql, upto)
+        if text is not None:
+            ORACLE[name] = oracle(text, upto)
         return f
 
     return add
@@ -312,6 +312,15 @@ def _(t: Inputs) -> DataFrame:
     return index.browse_docs(transcripts.creator_text(v, v).withColumnRenamed("creator", "username"))
 
 
+@query("SQL_table_function_search", "SELECT query, CAST(rank AS INT) AS rank, creator, round(score, 6) AS score FROM hits30 WHERE rank <= 10", "hits30")
+def _(t: Inputs) -> DataFrame:
+    """W1 as a SQL text over table functions."""
+    sql.register(t.spark)
+    sql.pack_views(t.entries(), t.queries())
+    nearest = "SELECT * FROM nearest(TABLE(SELECT * FROM entry_packs CROSS JOIN query_packs), 10)"
+    return t.spark.sql(f"SELECT query, rank, creator, round(score, 6) AS score FROM ranked(TABLE({nearest}), 10)")
+
+
 @query("J7_score_cross", "SELECT query, creator, round(list_dot_product(combined, q), 6) AS score FROM entries, qvecs", "qvecs")
 def _(t: Inputs) -> DataFrame:
     return search.score_cross(t.entries(), t.queries()).withColumn("score", r6("score"))

@@ -15,6 +15,18 @@ from . import schemas, versioned
 CSV = {"header": True, "multiLine": True, "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
+_HANDED_OUT: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what was written to the places that shared_path gave out; call it once their results have been read. Returns how many there were."""
+    gone = 0
+    while _HANDED_OUT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_HANDED_OUT.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh place in the folder that driver and executors share; a temporary folder stands in for it in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,7 +37,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _HANDED_OUT.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _HANDED_OUT[-1]
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

@@ -132,3 +132,13 @@ def test_bucketed_interactions_need_no_exchange(spark):
     firsts = feedback.user_rows(spark.table(table_), 500)
     assert "Exchange" not in firsts._jdf.queryExecution().executedPlan().toString()
     assert rows(firsts.select("username", "n", "liked_creator")) == rows(feedback.user_rows(rows_, 500).select("username", "n", "liked_creator"))
+
+
+def test_released_places_are_empty(spark, monkeypatch):
+    monkeypatch.setattr(files, "_HANDED_OUT", [])
+    path = files.shared_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    files.shared_path(spark, "never written")
+    assert files.release(spark) == 1 and files._HANDED_OUT == []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path).count()
