@@ -1,9 +1,12 @@
-"""WARC archives written and read through Spark's own file sinks, and revisit resolution.
+"""WARC archives written through Spark's own file sinks and read from any writer, and revisit resolution.
 
 Every task writes its records as one gzip-compressed WARC/1.1 file (the text sink: a record per row), so
-archives are committed, retried and stored as any Spark output. All records of an archive carry one
-WARC-Warcinfo-ID, unique to the write, as their first header; the reader splits at that header line, which
-no payload can hold by accident, and streams records instead of loading files.
+archives are committed, retried and stored as any Spark output. A file begins with a warcinfo record, to whose
+id its records refer.
+
+The reader takes archives of any origin, wherever they have been moved: Spark's text source streams a file in
+pieces that end where ``WARC/1.`` stands, in a payload too, and a task joins pieces until a record has its
+Content-Length. What then isn't the end of a record, or a file that ends within one, is an error, never lost.
 
 Revisits: headers alone are shuffled. The record with the largest page_id among equal payload digests
 answers, the others refer to it. The deduplicated archives get fresh headers and ids; a revisit has no
@@ -12,14 +15,16 @@ payload.
 
 from __future__ import annotations
 
-import uuid
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import fresh_path, lookup_join, materialize
 
 CRLF = "\r\n"
+MARK = "WARC/1."
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -30,19 +35,16 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*digits)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _boundary(path: str) -> str:
-    return f"WARC/1.1{CRLF}WARC-Warcinfo-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, path)}>{CRLF}"
-
-
 def _header(text: Column, name: str) -> Column:
-    """Value of a header in a header block (each line ended by CRLF); null where it is missing."""
-    found = F.regexp_extract(F.concat(F.lit(CRLF), text), rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
+    """Value of a header in a header block (each line ended by CRLF), its name in any case; null where it is missing."""
+    found = F.regexp_extract(F.concat(F.lit(CRLF), text), rf"\r\n(?i:{name}):[ \t]*([^\r\n]*?)[ \t]*\r\n", 1)
     return F.when(found != "", found)
 
 
 def _line(name: str, value: Column) -> Column:
     """A header line, nothing for null. CR, LF and tabs in values are percent-encoded."""
-    value = F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    for mark, code in (("\r", "%0D"), ("\n", "%0A"), ("\t", "%09")):
+        value = F.replace(value, F.lit(mark), F.lit(code))
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
 
 
@@ -52,17 +54,86 @@ def _record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
-def write_records(records: DataFrame, path: str) -> None:
-    """Write (headers, payload) rows, headers a block of CRLF-ended lines, as WARC files under path."""
-    value = F.concat(F.lit(_boundary(path)), F.col("headers"), F.lit(CRLF), F.col("payload"), F.lit(CRLF + "\r"))
+def write_records(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Write (headers, payload) rows, headers a block of CRLF-ended lines, as WARC files under path, each after a warcinfo record."""
+    info = _record_id(F.lit(path), F.lit("warcinfo"), F.spark_partition_id().cast("string"))
+    fields = f"format: WARC File Format 1.1{CRLF}"
+    about = F.concat(F.lit(f"{MARK}1{CRLF}WARC-Type: warcinfo{CRLF}"), _line("WARC-Record-ID", info), F.lit(f"WARC-Date: {date}{CRLF}Content-Type: application/warc-fields{CRLF}Content-Length: {len(fields)}{CRLF}{CRLF}{fields}{CRLF}{CRLF}"))
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # of its task
+    record = F.concat(F.lit(f"{MARK}1{CRLF}"), _line("WARC-Warcinfo-ID", info), F.col("headers"), F.lit(CRLF), F.col("payload"), F.lit(CRLF + "\r"))
+    value = F.concat(F.when(first, about).otherwise(F.lit("")), record)
     records.select(value.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
+_LENGTH = re.compile(rb"^content-length:[ \t]*(\d+)[ \t]*$", re.I | re.M)
+
+
+def _head(data: bytes) -> tuple[int, int] | None:
+    """(where the payload begins, its length) of a record whose header block is whole."""
+    end = data.find(b"\r\n\r\n")
+    if end < 0:
+        return None
+    found = _LENGTH.search(data[:end].replace(b"\r\n", b"\n"))
+    if not found:
+        raise ValueError(f"a WARC record without Content-Length: {data[:200]!r}")
+    return end + 4, int(found[1])
+
+
+def _records(batches):
+    """Whole records from pieces, in the order of their files."""
+    mark, name, held, head, size = MARK.encode(), None, [], None, 0
+    out: list[tuple] = []
+
+    def done() -> None:
+        """Take the record that is held, if it is whole; held pieces without one are an error."""
+        data = mark.join(held)
+        start, n = _head(data) or (0, -1)
+        if n < 0 or start + n > len(data) or data[start + n :].strip(b"\r\n"):
+            raise ValueError(f"{name}: a record is cut off, or bytes stand behind its end: {data[:200]!r}")
+        line = data.index(b"\r\n") + 2
+        out.append((name, data[line : start - 2].decode(errors="replace"), data[start : start + n]))
+
+    def flush():
+        cols = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.binary()))]
+        out.clear()
+        return pa.RecordBatch.from_arrays(cols, ["file", "headers", "payload"])
+
+    taken = 0
+    for batch in batches:
+        for file, piece in zip(batch.column("file").to_pylist(), batch.column("piece").to_pylist(), strict=True):
+            if file != name:
+                if held:
+                    done()
+                name, held, head, size = file, [], None, 0
+                if piece.strip():
+                    raise ValueError(f"{file}: no WARC file, or one that was split: it begins with {piece[:50]!r}")
+                continue
+            if held and head is not None and size >= sum(head):  # the record had all its bytes: this piece begins the next
+                done()
+                held, head, size = [], None, 0
+            size += len(piece) + len(mark) * bool(held)
+            held.append(piece)
+            if head is None:
+                head = _head(mark.join(held))
+            taken += len(piece)
+            if taken > 4 << 20:
+                yield flush()
+                taken = 0
+    if held:
+        done()
+    yield flush()
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(headers, payload) of the archives that write_records has put under path."""
-    text = spark.read.option("lineSep", _boundary(path)).text(path).filter("value <> ''")
-    cut = F.locate(CRLF + CRLF, F.col("value"))
-    return text.select(F.substring("value", F.lit(1), cut + 1).alias("headers"), F.expr("substring(value, locate('\\r\\n\\r\\n', value) + 4, length(value) - locate('\\r\\n\\r\\n', value) - 7)").alias("payload"))
+    """(file, headers, payload) of all records but warcinfo ones of the archives under path, of whichever writer.
+
+    Gzip files (one member or a member a record) are streamed by one task each. Files that aren't compressed must not be larger
+    than spark.sql.files.maxPartitionBytes: a file that Spark splits is an error, as is one that isn't a whole WARC file. Headers
+    are CRLF-ended lines without the version; payloads are bytes.
+    """
+    pieces = spark.read.option("lineSep", MARK).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
+    found = pieces.mapInArrow(_records, "file string, headers string, payload binary")
+    return found.filter(F.coalesce(_header(F.col("headers"), "WARC-Type") != "warcinfo", F.lit(True)))
 
 
 def write_pages(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
@@ -74,7 +145,7 @@ def write_pages(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z")
         F.lit(f"WARC-Type: response{CRLF}"), _line("WARC-Record-ID", _record_id(page, url, F.monotonically_increasing_id().cast("string"))), _line("WARC-Date", F.lit(date)), _line("WARC-Target-URI", url), _line("X-Page-ID", page),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_sha1(body))), F.lit(f"Content-Type: text/html; charset=utf-8{CRLF}"), _line("Content-Length", size),
     )
-    write_records(pages.select(headers.alias("headers"), body.alias("payload")), path)
+    write_records(pages.select(headers.alias("headers"), body.alias("payload")), path, date)
 
 
 def resolve_revisits(heads: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -92,7 +163,7 @@ def resolve_revisits(heads: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def _heads(records: DataFrame) -> DataFrame:
-    """The fields of each record; its id was made unique when it was written."""
+    """The fields of each record; its id is unique."""
     h = F.col("headers")
     return records.select(
         _header(h, "WARC-Record-ID").alias("record_id"), _header(h, "X-Page-ID").cast("long").alias("page_id"), _header(h, "WARC-Target-URI").alias("uri"),
@@ -126,7 +197,7 @@ def deduplicate(pages: DataFrame, path: str | None = None, least_bytes: int = 0,
         F.when(revisit, F.concat(F.lit(f"WARC-Profile: {_PROFILE}{CRLF}"), _line("WARC-Refers-To", _record_id(F.lit("deduplicated"), F.col("answer_id"))), _line("WARC-Refers-To-Target-URI", F.col("refers_uri")), _line("X-Refers-To-Page-ID", F.col("refers_to").cast("string")))).otherwise(F.lit("")),
         F.lit(f"Content-Type: text/html; charset=utf-8{CRLF}"), _line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))),
     )
-    write_records(out.select(headers.alias("headers"), F.when(revisit, F.lit("")).otherwise(F.col("payload")).alias("payload")), path)
+    write_records(out.select(headers.alias("headers"), F.when(revisit, F.lit("")).otherwise(F.col("payload").cast("string")).alias("payload")), path, date)
     return summary(read_records(spark, path))
 
 

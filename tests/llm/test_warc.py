@@ -2,6 +2,9 @@ import base64
 import gzip
 import glob
 import hashlib
+import shutil
+
+import pytest
 
 from mmsearch.llm import warc
 from mmsearch.llm.store import fresh_path
@@ -49,8 +52,9 @@ def test_archives_are_plain_warc(spark):
             head = dict(x.split(b": ", 1) for x in data[at:end].split(b"\r\n")[1:])
             assert data[at:].startswith(b"WARC/1.1\r\n")
             n = int(head[b"Content-Length"])
-            payloads.append(data[end + 4 : end + 4 + n].decode())
-            ids.append(head[b"WARC-Record-ID"])
+            if head[b"WARC-Type"] != b"warcinfo":
+                payloads.append(data[end + 4 : end + 4 + n].decode())
+                ids.append(head[b"WARC-Record-ID"])
             assert data[end + 4 + n : end + 8 + n] == b"\r\n\r\n"
             at = end + 8 + n
     assert sorted(payloads) == sorted(h or "" for _, _, h in PAGES) and len(set(ids)) == len(PAGES)
@@ -61,3 +65,41 @@ def test_least_bytes_and_empty_table(spark):
     kinds = {r.page_id: r.record_type for r in warc.deduplicate(pages, least_bytes=12).collect()}
     assert kinds[1] == kinds[5] == kinds[9] == kinds[2] == kinds[3] == "response"
     assert warc.deduplicate(pages.filter("page_id > 99")).count() == 0
+
+
+def payloads(spark, path):
+    return sorted(bytes(r.payload).decode() for r in warc.read_records(spark, path).collect())
+
+
+def test_moved_archives_are_read_by_any_path(spark, tmp_path):
+    path = fresh_path(spark, "raw").removeprefix("file:")
+    warc.write_pages(spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(2), path)
+    want = sorted(h or "" for _, _, h in PAGES)
+    shutil.copytree(path, tmp_path / "copy")
+    for place in (path, f"file://{path}", str(tmp_path / "copy"), f"{tmp_path}/copy/part-*"):
+        assert payloads(spark, place) == want
+
+
+def record(payload, kind="response", name="Content-Length", tail=b"\r\n\r\n", version=b"WARC/1.0"):
+    return version + b"\r\nWARC-Type: %s\r\nWARC-Target-URI: http://x/WARC/1.1/y\r\n%s: %d\r\n\r\n" % (kind.encode(), name.encode(), len(payload)) + payload + tail
+
+
+FOREIGN = [b"one", b"", b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", b"ends with WARC/1.", b"WARC/1.WARC/1.", "é".encode() * 9000]
+
+
+@pytest.mark.parametrize("shape", ["plain.warc", "whole.warc.gz", "members.warc.gz"])
+def test_foreign_archives(spark, tmp_path, shape):
+    records = [record(b"software: other", "warcinfo"), *(record(p, name=n, tail=t) for p, n, t in zip(FOREIGN, ["Content-Length", "content-length"] * 3, [b"\r\n\r\n", b"\r\n\r\n\r\n"] * 3))]
+    data = b"".join(gzip.compress(r) for r in records) if "members" in shape else b"".join(records)
+    for copy in "ab":
+        (tmp_path / f"{copy}-{shape}").write_bytes(gzip.compress(data) if "whole" in shape else data)
+    assert payloads(spark, str(tmp_path)) == sorted(p.decode() for p in FOREIGN * 2)
+    heads = warc.read_records(spark, str(tmp_path)).select(warc._header(warc.F.col("headers"), "warc-target-uri").alias("u")).distinct().collect()
+    assert [r.u for r in heads] == ["http://x/WARC/1.1/y"]
+
+
+@pytest.mark.parametrize("data", [record(b"whole") + record(b"cut off")[:-9], record(b"more", tail=b"xx\r\n\r\n"), b"no archive", record(b"x").replace(b"Content-Length", b"Content-Size")])
+def test_broken_archives_are_errors(spark, tmp_path, data):
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(data))
+    with pytest.raises(Exception, match="record|no WARC"):
+        warc.read_records(spark, str(tmp_path)).collect()
