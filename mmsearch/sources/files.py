@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import pyarrow as pa
@@ -71,11 +72,16 @@ def read_creators(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(strip(F.col("value")).alias("creator")).filter("creator <> ''")
 
 
+def _plain(path: str) -> str:
+    """A folder without the scheme of local files and without a slash at its end."""
+    return re.sub("^file:/+", "/", path).rstrip("/")
+
+
 def scan_media(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
     """(mp4, creator[, content]) of path/<creator>/*.mp4; names that begin with _ are skipped; sorted by creator, path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.mp4").load(path)
     rows = files.select(F.col("path").alias("mp4"), creator_of(F.col("path")).alias("creator"), *(["content"] if content else []))
-    depth = len(path.rstrip("/").split("/"))
+    depth = len(_plain(path).split("/"))
     plain = F.regexp_replace("mp4", "^file:/+", "/")
     return rows.filter((F.size(F.split(plain, "/")) == depth + 2) & ~F.col("creator").startswith("_")).orderBy("creator", "mp4")
 
@@ -83,8 +89,7 @@ def scan_media(spark: SparkSession, path: str, content: bool = False) -> DataFra
 def scan_frames(spark: SparkSession, path: str, exts: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
     """(creator, frame_path, content) of path/<creator>/**/frames/*; unreadable files are skipped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(path)
-    root = path.rstrip("/").removeprefix("file:") + "/"
-    rest = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), f"^{root}", "")
+    rest = F.substring(F.regexp_replace("path", "^file:/+", "/"), len(_plain(path)) + 2, 2**31 - 1)
     ok = F.lower("path").rlike(rf"/frames/[^/]+\.({'|'.join(exts)})$")
     return files.filter(ok).select(F.element_at(F.split(rest, "/"), 1).alias("creator"), F.col("path").alias("frame_path"), "content")
 
@@ -92,8 +97,12 @@ def scan_frames(spark: SparkSession, path: str, exts: tuple[str, ...] = ("jpg",
 def write_media(df: DataFrame, root: str) -> str:
     """Files (path below root, content) written by the tasks that hold them, to any store that Arrow opens; a task that runs again writes the same files."""
 
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = re.sub("^file:/+", "file:///", place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString())
+
     def run(batches):
-        fs, base = pafs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        fs, base = pafs.FileSystem.from_uri(full)
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 place = f"{base}/{path}"

@@ -104,6 +104,15 @@ def test_media_stream_archives_and_skips(spark):
     assert got == [("a", "1.mp4", b"one"), ("b", "4.mp4", b"four")]
 
 
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_written_media_is_scanned_by_any_path(spark, scheme):
+    root = scheme + files.shared_path(spark, "media").removeprefix("file://").removeprefix("file:")
+    rows = [("a/1.mp4", b"one"), ("b/x/frames/f.PNG", b"png"), ("b/x/cover.png", b"no"), ("b/deep/2.mp4", b"no")]
+    files.write_media(spark.createDataFrame(rows, "path string, content binary"), root)
+    assert [(r.creator, r.mp4.rsplit("/", 1)[1], bytes(r.content)) for r in files.scan_media(spark, root + "/", content=True).collect()] == [("a", "1.mp4", b"one")]
+    assert [(r.creator, r.frame_path.rsplit("/", 1)[1], bytes(r.content)) for r in files.scan_frames(spark, root).collect()] == [("b", "f.PNG", b"png")]
+
+
 def test_frames_are_encoded_in_batches_of_tensors(spark):
     pictures = [(f"m{n}", 0, b"\xff\xd8" + bytes([n]) * n + b"\xff\xd9") for n in range(70)] + [("bad", 0, b"nothing"), ("null", 0, None)]
     df = spark.createDataFrame(pictures, "mp4 string, frame_idx int, jpeg binary").repartition(2)
