@@ -58,18 +58,66 @@ def _nearest(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(costs[ok]), pa.array(others[ok])], ["id", "cost", "other"])
 
 
+def _cells(pivots: np.ndarray):
+    """Adds the nearest pivot's number to (id, n, v)."""
+
+    def run(batches):
+        sq = (pivots * pivots).sum(1)
+        for batch in batches:
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, pivots.shape[1]))
+            yield batch.append_column("cell", pa.array((sq[None, :] - 2 * v @ pivots.T).argmin(1) if len(v) else [], pa.int64()))
+
+    return run
+
+
+def _ball(table: pa.Table) -> pa.Table:
+    """A block of centroids in one row, with its centre, radius, least weight, and the greatest of its centroids' least costs within it."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["id"])
+    i, n, v = (np.array([r[f] for r in rows]) for f in ("id", "n", "v"))
+    centre = v.mean(0)
+    cost = np.maximum((v * v).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * v @ v.T, 0) * (n[:, None] * n[None, :] / (n[:, None] + n[None, :]))
+    np.fill_diagonal(cost, np.inf)
+    cols = [[rows[0]["b"]], [centre.tolist()], [float(np.sqrt(((v - centre) ** 2).sum(1)).max())], [float(n.min())], [float(cost.min(1).max())], [[{"id": a, "n": w, "v": x} for a, w, x in zip(i.tolist(), n.tolist(), v.tolist(), strict=True)]]]
+    types = [pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("id", pa.int64()), ("n", pa.float64()), ("v", pa.list_(pa.float64()))]))]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["b", "centre", "radius", "least", "worst", "rows"])
+
+
+def near_pairs(cents: DataFrame, parts: int) -> DataFrame:
+    """(a, left, b, right): the pairs of blocks of centroids between which a nearest pair may lie, a block and itself too.
+
+    Centroids near to each other share a block (nearest of at most 256 pivots, which the driver sees; large cells are dealt to several).
+    No cost between two blocks is below w d^2, w from their least weights and d the gap between their balls, so a pair is left out if
+    that is over what every centroid of both finds in its own block. Only the heads of blocks are compared with each other.
+    """
+    pivots = cents.orderBy(F.xxhash64("id"), "id").limit(min(parts, 256)).collect()
+    celled = cents.select("id", "n", "v").mapInArrow(_cells(np.array([r.v for r in pivots])), "id long, n double, v array<double>, cell long")
+    deal = celled.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("deal"))  # a row a pivot
+    dealt = celled.join(F.broadcast(deal), "cell").select("id", "n", "v", (F.col("cell") * (1 << 40) + F.pmod(F.xxhash64("id"), F.col("deal"))).alias("b"))
+    schema = "b long, centre array<double>, radius double, least double, worst double, rows array<struct<id: long, n: double, v: array<double>>>"
+    blocks = kept(dealt.groupBy("b").applyInArrow(_ball, schema), "blocks")
+    heads = blocks.drop("rows")
+    x, y = heads.select(*(F.col(c).alias(f"x_{c}") for c in heads.columns)), heads.select(*(F.col(c).alias(f"y_{c}") for c in heads.columns))
+    between = F.sqrt(F.aggregate(F.zip_with("x_centre", "y_centre", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda t, d: t + d))
+    gap = F.greatest(between - F.col("x_radius") - F.col("y_radius"), F.lit(0.0))
+    weight = F.col("x_least") * F.col("y_least") / (F.col("x_least") + F.col("y_least"))
+    wanted = (F.col("x_b") == F.col("y_b")) | (weight * gap * gap * (1 - 1e-9) <= F.greatest("x_worst", "y_worst"))
+    pairs = x.join(y, (F.col("x_b") <= F.col("y_b")) & wanted).select(F.col("x_b").alias("a"), F.col("y_b").alias("b"))
+    left = pairs.join(blocks.select(F.col("b").alias("a"), F.col("rows").alias("left")), "a")
+    return left.join(blocks.select("b", F.col("rows").alias("right")), "b").select("a", "left", "b", "right").repartition(F.col("a"), F.col("b"))
+
+
 def ward_round(cents: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
     """(centroids after, merges (cost, a, b)) of one round of mutually nearest pairs of centroids (id, n, v).
 
     Both sides of a pair read one cost matrix and ties go to the smaller id, so the least pair always merges.
     """
     parts = -(-count // BLOCK)
-    blocks = cents.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("id", "n", "v"))).alias("rows"))
-    blocks = kept(blocks, "blocks") if parts > 1 else blocks
-    left = blocks.select(F.col("b").alias("a"), F.col("rows").alias("left"))
-    pairs = left.join(blocks.select("b", F.col("rows").alias("right")), F.col("a") <= F.col("b")) if parts > 1 else left.withColumn("b", F.col("a")).withColumn("right", F.col("left"))
-    near = pairs.repartition(F.col("a"), F.col("b")) if parts > 1 else pairs
-    near = near.mapInArrow(_nearest, "id long, cost double, other long").groupBy("id").agg(F.min(F.struct("cost", "other")).alias("m"))
+    if parts > 1:
+        pairs = near_pairs(cents, parts)
+    else:
+        rows = cents.agg(F.array_sort(F.collect_list(F.struct("id", "n", "v"))).alias("left"))  # BLOCK centroids at most
+        pairs = rows.select(F.lit(0).alias("a"), "left", F.lit(0).alias("b"), F.col("left").alias("right"))
+    near = pairs.mapInArrow(_nearest, "id long, cost double, other long").groupBy("id").agg(F.min(F.struct("cost", "other")).alias("m"))
     near = kept(near.select("id", "m.cost", "m.other"), "nearest")
     back = near.select(F.col("id").alias("other"), F.col("other").alias("id"))
     merges = near.join(back, ["id", "other"]).filter("id < other").select("cost", F.col("id").alias("a"), F.col("other").alias("b"))

@@ -140,3 +140,18 @@ def test_rounds_in_spark_give_the_clusters_of_naive_ward(spark, monkeypatch, blo
     for k in ks:
         labels = np.array([r[f"cluster_{k}"] for r in rows])
         assert {frozenset(np.flatnonzero(labels == c).tolist()) for c in set(labels.tolist())} == naive_ward(x, k)
+
+
+def test_far_blocks_are_left_out_and_no_nearest_pair_with_them(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "BLOCK", 20)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(40, 3)) + 100 * rng.normal(size=3) for _ in range(6)])
+    w = rng.integers(1, 5, len(x)).astype(float)
+    cents = spark.createDataFrame([(k, float(n), v.tolist()) for k, (n, v) in enumerate(zip(w, x, strict=True))], "id long, n double, v array<double>").repartition(3)
+    pairs = cluster.near_pairs(cents, 12)
+    blocks = pairs.select("a").union(pairs.select("b")).distinct().count()
+    assert pairs.count() < blocks * (blocks + 1) / 4
+    near = {r.id: r.m.other for r in pairs.mapInArrow(cluster._nearest, "id long, cost double, other long").groupBy("id").agg(F.min(F.struct("cost", "other")).alias("m")).collect()}
+    cost = ((x[:, None] - x[None]) ** 2).sum(2) * (w[:, None] * w[None] / (w[:, None] + w[None]))
+    np.fill_diagonal(cost, np.inf)
+    assert [near[k] for k in range(len(x))] == cost.argmin(1).tolist()
