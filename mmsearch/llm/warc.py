@@ -35,10 +35,9 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*digits)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _header(text: Column, name: str) -> Column:
-    """Value of a header in a header block (each line ended by CRLF), its name in any case; null where it is missing."""
-    found = F.regexp_extract(F.concat(F.lit(CRLF), text), rf"\r\n(?i:{name}):[ \t]*([^\r\n]*?)[ \t]*\r\n", 1)
-    return F.when(found != "", found)
+def field(name: str) -> Column:
+    """Value of a header of a record that was read, its name in any case; null where it is missing."""
+    return F.col("fields")[name.lower()]
 
 
 def _line(name: str, value: Column) -> Column:
@@ -90,13 +89,17 @@ def _records(batches):
         start, n = _head(data) or (0, -1)
         if n < 0 or start + n > len(data) or data[start + n :].strip(b"\r\n"):
             raise ValueError(f"{name}: a record is cut off, or bytes stand behind its end: {data[:200]!r}")
-        line = data.index(b"\r\n") + 2
-        out.append((name, data[line : start - 2].decode(errors="replace"), data[start : start + n]))
+        fields: dict[str, str] = {}
+        for line in data[: start - 4].decode(errors="replace").split("\r\n")[1:]:
+            key, _, value = line.partition(":")
+            key, value = key.strip().lower(), value.strip(" \t")
+            fields[key] = f"{fields[key]}, {value}" if key in fields else value
+        out.append((name, list(fields.items()), data[start : start + n]))
 
     def flush():
-        cols = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.binary()))]
+        cols = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.map_(pa.string(), pa.string()), pa.binary()))]
         out.clear()
-        return pa.RecordBatch.from_arrays(cols, ["file", "headers", "payload"])
+        return pa.RecordBatch.from_arrays(cols, ["file", "fields", "payload"])
 
     taken = 0
     for batch in batches:
@@ -125,15 +128,15 @@ def _records(batches):
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, headers, payload) of all records but warcinfo ones of the archives under path, of whichever writer.
+    """(file, fields, payload) of all records but warcinfo ones of the archives under path, of whichever writer.
 
     Gzip files (one member or a member a record) are streamed by one task each. Files that aren't compressed must not be larger
-    than spark.sql.files.maxPartitionBytes: a file that Spark splits is an error, as is one that isn't a whole WARC file. Headers
-    are CRLF-ended lines without the version; payloads are bytes.
+    than spark.sql.files.maxPartitionBytes: a file that Spark splits is an error, as is one that isn't a whole WARC file. fields:
+    the headers by lower-cased name, repeated ones joined by a comma and a blank; payloads are bytes.
     """
     pieces = spark.read.option("lineSep", MARK).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
-    found = pieces.mapInArrow(_records, "file string, headers string, payload binary")
-    return found.filter(F.coalesce(_header(F.col("headers"), "WARC-Type") != "warcinfo", F.lit(True)))
+    found = pieces.mapInArrow(_records, "file string, fields map<string, string>, payload binary")
+    return found.filter(F.coalesce(field("WARC-Type") != "warcinfo", F.lit(True)))
 
 
 def write_pages(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
@@ -164,9 +167,8 @@ def resolve_revisits(heads: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def _heads(records: DataFrame) -> DataFrame:
     """The fields of each record; its id is unique."""
-    h = F.col("headers")
     return records.select(
-        _header(h, "WARC-Record-ID").alias("record_id"), _header(h, "X-Page-ID").cast("long").alias("page_id"), _header(h, "WARC-Target-URI").alias("uri"),
+        field("WARC-Record-ID").alias("record_id"), field("X-Page-ID").cast("long").alias("page_id"), field("WARC-Target-URI").alias("uri"),
         F.octet_length("payload").cast("long").alias("bytes"), base32_sha1(F.col("payload")).alias("digest"), "payload",
     )
 
@@ -203,8 +205,7 @@ def deduplicate(pages: DataFrame, path: str | None = None, least_bytes: int = 0,
 
 def summary(records: DataFrame) -> DataFrame:
     """Header fields of deduplicated archives, one row a record."""
-    h = F.col("headers")
     return records.select(
-        _header(h, "X-Page-ID").cast("long").alias("page_id"), _header(h, "X-Payload-Length").cast("long").alias("payload_bytes"), F.regexp_replace(_header(h, "WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
-        _header(h, "WARC-Type").alias("record_type"), _header(h, "X-Refers-To-Page-ID").cast("long").alias("refers_to"), F.octet_length("payload").cast("long").alias("stored_bytes"),
+        field("X-Page-ID").cast("long").alias("page_id"), field("X-Payload-Length").cast("long").alias("payload_bytes"), F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
+        field("WARC-Type").alias("record_type"), field("X-Refers-To-Page-ID").cast("long").alias("refers_to"), F.octet_length("payload").cast("long").alias("stored_bytes"),
     )

@@ -94,7 +94,7 @@ def test_foreign_archives(spark, tmp_path, shape):
     for copy in "ab":
         (tmp_path / f"{copy}-{shape}").write_bytes(gzip.compress(data) if "whole" in shape else data)
     assert payloads(spark, str(tmp_path)) == sorted(p.decode() for p in FOREIGN * 2)
-    heads = warc.read_records(spark, str(tmp_path)).select(warc._header(warc.F.col("headers"), "warc-target-uri").alias("u")).distinct().collect()
+    heads = warc.read_records(spark, str(tmp_path)).select(warc.field("WARC-Target-URI").alias("u")).distinct().collect()
     assert [r.u for r in heads] == ["http://x/WARC/1.1/y"]
 
 
