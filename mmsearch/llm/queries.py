@@ -158,17 +158,40 @@ WITH lines AS (
   FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(coalesce(text, ''), '\r?\n')) AS line, unnest(range(1, 1 + len(regexp_split_to_array(coalesce(text, ''), '\r?\n')))) AS k FROM conversations)
 ), per_message AS (
   SELECT conv_id, turn, max(level) AS quote_level, count(*) FILTER (level > 0 AND bare <> '') AS quoted_lines FROM lines GROUP BY conv_id, turn
-), kept AS (
-  SELECT conv_id, turn, k, line FROM (SELECT *, lead(level) OVER (PARTITION BY conv_id, turn ORDER BY k) AS next FROM lines) WHERE level = 0 AND NOT (regexp_matches(line, 'wrote:[ \t]*$') AND coalesce(next, 0) > 0)
-), bodies AS (
-  SELECT conv_id, turn, trim(string_agg(line, chr(10) ORDER BY k), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM kept GROUP BY conv_id, turn
+), words AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k, j) AS r
+  FROM (SELECT conv_id, turn, level, k, unnest(string_split(bare, ' ')) AS w, unnest(range(len(string_split(bare, ' ')))) AS j FROM lines WHERE bare <> '')
+), spans AS (
+  SELECT conv_id, turn, level, [w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o] AS ws, [k, lead(k, 1) OVER o, lead(k, 2) OVER o, lead(k, 3) OVER o, lead(k, 4) OVER o] AS ks,
+    level = lead(level, 1) OVER o AND level = lead(level, 2) OVER o AND level = lead(level, 3) OVER o AND level = lead(level, 4) OVER o AS whole
+  FROM words WINDOW o AS (PARTITION BY conv_id, turn ORDER BY r)
+), runs AS (
+  SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY r) AS run
+  FROM (SELECT *, CAST(level IS DISTINCT FROM lag(level) OVER (PARTITION BY conv_id, turn ORDER BY r) AS INTEGER) AS new FROM words)
+), units AS (
+  SELECT conv_id, turn, level, 'window' AS kind, array_to_string(ws, ' ') AS key, 'w' AS space, ks FROM spans WHERE whole
+  UNION ALL SELECT conv_id, turn, level, 'line', bare, 'l', [k] FROM lines WHERE bare <> ''
+  UNION ALL SELECT conv_id, turn, any_value(level), 'short', string_agg(w, ' ' ORDER BY r), 'l', list(DISTINCT k) FROM runs
+    GROUP BY conv_id, turn, run HAVING any_value(level) > 0 AND count(*) < 5 AND min(k) < max(k)
+), quotes AS (
+  SELECT *, row_number() OVER () AS id FROM units WHERE level > 0
 ), links AS (
-  SELECT q.conv_id, q.turn, q.level, max(o.turn) AS source FROM lines q JOIN lines o ON o.conv_id = q.conv_id AND o.bare = q.bare AND o.level = 0 AND o.turn < q.turn
-  WHERE q.level > 0 AND q.bare <> '' GROUP BY q.conv_id, q.turn, q.level, q.k
+  SELECT q.id, q.conv_id, q.turn, q.level, q.kind, any_value(q.ks) AS ks, max(o.turn) AS source
+  FROM quotes q JOIN units o ON o.conv_id = q.conv_id AND o.space = q.space AND o.key = q.key AND o.level = 0 AND o.kind <> 'short' AND o.turn < q.turn
+  GROUP BY q.id, q.conv_id, q.turn, q.level, q.kind
 ), votes AS (
-  SELECT conv_id, turn, level, source, count(*) AS n FROM links GROUP BY ALL
+  SELECT conv_id, turn, level, source, count(*) FILTER (kind = 'window') AS windows, count(*) FILTER (kind = 'line') AS n FROM links GROUP BY ALL
+), linked AS (
+  SELECT DISTINCT conv_id, turn, unnest(ks) AS k FROM links
 ), parents AS (
-  SELECT conv_id, turn, arg_max(source, (-level, n, source)) AS parent, sum(n) AS linked_lines FROM votes GROUP BY conv_id, turn
+  SELECT conv_id, turn, arg_max(source, (-level, windows, n, source)) AS parent, (SELECT count(*) FROM linked l WHERE l.conv_id = v.conv_id AND l.turn = v.turn) AS linked_lines
+  FROM votes v GROUP BY conv_id, turn
+), marked AS (
+  SELECT l.*, level > 0 AND (bare = '' OR d.k IS NOT NULL) AS gone FROM lines l LEFT JOIN linked d USING (conv_id, turn, k)
+), kept AS (
+  SELECT conv_id, turn, k, line FROM (SELECT *, lead(gone) OVER (PARTITION BY conv_id, turn ORDER BY k) AS next FROM marked) WHERE NOT gone AND NOT (regexp_matches(line, 'wrote:[ \t]*$') AND coalesce(next, false))
+), bodies AS (
+  SELECT conv_id, turn, trim(string_agg(line, chr(10) ORDER BY k), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM kept GROUP BY conv_id, turn
 ), m AS (
   SELECT c.conv_id, c.turn, c.role, lag(c.turn) OVER w AS previous, row_number() OVER w AS r, p.parent, p.linked_lines
   FROM conversations c LEFT JOIN parents p USING (conv_id, turn) WINDOW w AS (PARTITION BY c.conv_id ORDER BY c.turn)

@@ -67,3 +67,59 @@ def test_repeated_rows_extra_columns_and_empty_table(spark):
     got = qu.reply_order(conv).collect()
     assert len(got) == 3 and [r.reply_to for r in got if r.turn == 1] == [0]
     assert qu.reply_order(conv.filter("turn > 7")).count() == 0
+
+
+SAID = "The quarterly report needs another look before we send it to the whole team on Friday"
+MAIL = [
+    (1, 0, "a", SAID + "\nok"), (1, 1, "b", "something else\nok"), (1, 2, "c", "a wrote:\n> The quarterly report needs another look\n> before we send it to the whole team on\n> Friday\n> ok\nAgreed."),
+    (1, 3, "d", "> needs another look before we send it\ncut"), (1, 4, "e", "b wrote:\n> nobody here said any of these words\n>\n> ok\nhm"),
+    (2, 0, "a", "Hi\nHow are you\nBye"), (2, 1, "b", "no"), (2, 2, "c", "> How\n> are you\nfine"), (2, 3, "d", ">> How are\n>> you\n> fine\nnested"), (2, 4, "a", "> How are\nyou\n"),
+    (3, 0, "a", "one two three\n> x\nfour five six"), (3, 1, "b", "> one two three four\n> five six"), (3, 2, "c", "one two three four five six"), (3, 3, "d", "> one two three\n\n> four five six\n> nine"),
+]
+
+
+def test_passages_wrapped_anew_cut_or_unknown(spark):
+    got = {(r.conv_id, r.turn): r for r in qu.reply_order(spark.createDataFrame(MAIL, "conv_id long, turn long, role string, text string")).collect()}
+    pick = lambda c, t: (got[c, t].reply_to, got[c, t].linked_lines, got[c, t].text)
+    assert pick(1, 2) == (0, 4, "Agreed.")
+    assert pick(1, 3) == (0, 1, "cut")
+    assert pick(1, 4) == (1, 1, "b wrote:\n> nobody here said any of these words\nhm")
+    assert pick(2, 2) == (0, 2, "fine") and pick(2, 3) == (2, 3, "nested")
+    assert pick(2, 4) == (3, 0, "> How are\nyou")
+    # what stands around a quote is two passages, so only the message that says it in one holds the windows
+    assert pick(3, 1) == (0, 0, "> one two three four\n> five six")
+    assert pick(3, 3) == (2, 2, "> nine")
+
+
+def test_sql_agrees_on_quotes(spark):
+    import duckdb
+
+    from mmsearch.llm.queries import ORACLE_1
+
+    rng = random.Random(11)
+    vocab = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rows = list(MAIL)
+    for c in range(10, 14):
+        said: list[str] = []
+        for t in range(60):
+            own = " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 14)))
+            text = [own]
+            for _ in range(rng.randint(0, 3) if said else 0):
+                words = rng.choice(said).split()
+                words = words[rng.randint(0, len(words) // 2) :]
+                mark, width = rng.choice(["> ", ">> ", ">"]), rng.randint(2, 9)
+                text += ([f"{rng.choice(vocab)} wrote:"] if rng.random() < 0.3 else []) + [mark + " ".join(words[i : i + width]) for i in range(0, len(words), width)]
+                text += rng.choice([[], [""], [">"], ["ok"]])
+            rng.random() < 0.5 and text.append("ok")
+            said.append(own)
+            rows.append((c, t, "u", "\n".join(text)))
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(map(tuple, qu.reply_order(table).collect()))
+    con = duckdb.connect()
+    con.register("conversations", table.toPandas())
+    want = con.sql(ORACLE_1)
+    assert want.columns == qu.reply_order(table).columns
+    clean = lambda r: tuple(None if x is None else x for x in r)
+    key = lambda r: r[:2]
+    assert sorted(got, key=key) == sorted(map(clean, want.fetchall()), key=key)
+    assert sum(r[5] for r in got) > 200 and any(r[7] != 0 for r in got)
