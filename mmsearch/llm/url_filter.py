@@ -1,4 +1,9 @@
-"""URL filters: rules first, gradient-boosted trees on lexical features for the rest. JVM operations only."""
+"""URL filters: rules first, gradient-boosted trees on lexical features for the rest. JVM operations only.
+
+Suffix statistics are out-of-fold: a url's suffix is rated by the labelled urls of other domains (last two labels of
+the host), each domain counting once, drawn to the mean of all domains. So neither a url's own label nor a rule that
+decides a whole domain comes back as a feature, when training and when judging alike.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +17,10 @@ from pyspark.sql import functions as F
 
 from .store import lookup_join, materialize
 
+#: Weight of the mean of all domains in a suffix's rate, in domains.
+PRIOR_WEIGHT = 2.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SUFFIX, DOMAIN = r"([^.]*)$", r"([^.]*\.?[^.]*)$"
 FEATURES = ["url_len", "host_len", "path_len", "depth", "labels", "digit_ratio", "entropy", "n_params", "query_len", "hyphens", "escapes", "host_digits", "suffix_rate", "suffix_seen"]
 
 
@@ -51,7 +59,7 @@ def entropy(text: Column) -> Column:
 
 
 def features(urls: DataFrame) -> DataFrame:
-    """urls (column url and any others) with the lexical features and __suffix, the last label of the host."""
+    """urls (column url and any others) with the lexical features, __suffix, the last label of the host, and __domain, the last two."""
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     host, path = host_and_path(url)
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
@@ -62,14 +70,41 @@ def features(urls: DataFrame) -> DataFrame:
         "digit_ratio": F.when(n > 0, count(url, "0123456789") / n).otherwise(F.lit(0.0)), "entropy": entropy(url), "n_params": F.when(query == "", 0).otherwise(count(query, "&") + 1), "query_len": F.length(query),
         "hyphens": count(host, "-"), "escapes": count(url, "%"), "host_digits": count(host, "0123456789"),
     }
-    return urls.withColumns({f"__{k}": v.cast("double") for k, v in cols.items()} | {"__suffix": F.regexp_extract(host, r"([^.]*)$", 1)})
+    return urls.withColumns({f"__{k}": v.cast("double") for k, v in cols.items()} | {"__suffix": F.regexp_extract(host, SUFFIX, 1), "__domain": F.regexp_extract(host, DOMAIN, 1)})
+
+
+@dataclass
+class SuffixStatistics:
+    """Per suffix the sum of its domains' mean labels and their number; per domain its mean label; the mean over domains."""
+
+    suffixes: DataFrame
+    domains: DataFrame
+    prior: float
+
+    def add(self, table: DataFrame) -> DataFrame:
+        """table (see ``features``) with __suffix_rate and __suffix_seen, both without the row's own domain."""
+        out = lookup_join(lookup_join(table, self.suffixes, "__suffix", "left"), self.domains, "__domain", "left")
+        others = F.coalesce("__seen", F.lit(0.0)) - F.col("__mean").isNotNull().cast("double")
+        bad = F.coalesce("__bad", F.lit(0.0)) - F.coalesce("__mean", F.lit(0.0))
+        rate = F.when(others > 0, (bad + F.lit(PRIOR_WEIGHT * self.prior)) / (others + F.lit(PRIOR_WEIGHT))).otherwise(F.lit(self.prior))
+        return out.withColumns({"__suffix_rate": rate, "__suffix_seen": F.log1p(others)})
+
+
+def suffix_statistics(labelled: DataFrame) -> SuffixStatistics:
+    """Statistics of (url, label) over all labelled rows; rows are summed per domain before any suffix sees them."""
+    host, _ = host_and_path(F.coalesce(F.col("url").cast("string"), F.lit("")))
+    means = labelled.groupBy(F.regexp_extract(host, DOMAIN, 1).alias("__domain")).agg(F.avg(F.col("label").cast("double")).alias("__mean"))
+    domains = materialize(means, "domains")
+    tally = domains.groupBy(F.regexp_extract("__domain", SUFFIX, 1).alias("__suffix")).agg(F.sum("__mean").alias("__bad"), F.count("*").cast("double").alias("__seen"))
+    prior = domains.agg(F.avg("__mean")).first()[0]
+    return SuffixStatistics(materialize(tally, "suffixes"), domains, 0.5 if prior is None else prior)
 
 
 @dataclass
 class UrlModel:
-    """Suffix statistics and boosted trees; ``constant`` is the verdict where the labels had one class or none."""
+    """Suffix statistics and boosted trees; ``constant`` is the score where the labels had one class or none."""
 
-    suffixes: DataFrame | None
+    statistics: SuffixStatistics | None
     trees: PipelineModel | None
     constant: float = 0.0
 
@@ -79,30 +114,34 @@ class UrlModel:
             return urls.withColumn("__score", F.lit(self.constant))
         from pyspark.ml.functions import vector_to_array
 
-        made = self.trees.transform(_with_suffixes(features(urls), self.suffixes))
+        made = self.trees.transform(self.statistics.add(features(urls)))
         return made.withColumn("__score", vector_to_array("__probability")[1]).select(*urls.columns, "__score")
 
 
-def _with_suffixes(table: DataFrame, suffixes: DataFrame) -> DataFrame:
-    out = lookup_join(table, suffixes, "__suffix", "left")
-    return out.withColumns({"__suffix_rate": F.coalesce("__rate", F.lit(0.5)), "__suffix_seen": F.coalesce(F.log1p("__seen"), F.lit(0.0))})
-
-
 def train(labelled: DataFrame, sample: int = 20_000, trees: int = 10, depth: int = 4, seed: int = 7) -> UrlModel:
     """Fit on (url, label), label 1 for bad. Suffix statistics see every labelled row; the trees see the ``sample``
     rows of the smallest url hash, one task's worth of numbers whatever the input. Rows of null label are ignored."""
     labelled = labelled.filter("label is not null").select("url", F.col("label").cast("double").alias("label"))
-    host, _ = host_and_path(F.coalesce(F.col("url").cast("string"), F.lit("")))
-    tally = labelled.groupBy(F.regexp_extract(host, r"([^.]*)$", 1).alias("__suffix")).agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias("__rate"), F.count("*").cast("double").alias("__seen"))
-    suffixes = materialize(tally, "suffixes")
     seen = labelled.agg(F.min("label"), F.max("label")).first()
     if seen[0] is None or seen[0] == seen[1]:
         return UrlModel(None, None, seen[0] or 0.0)
+    statistics = suffix_statistics(labelled)
     few = labelled.orderBy(F.xxhash64("url"), "url", "label").limit(sample)
-    table = materialize(_with_suffixes(features(few), suffixes).select("label", *(f"__{k}" for k in FEATURES)).coalesce(2), "training")
+    table = materialize(statistics.add(features(few)).select("label", *(f"__{k}" for k in FEATURES)).coalesce(2), "training")
     join = VectorAssembler(inputCols=[f"__{k}" for k in FEATURES], outputCol="__features")
     fit = GBTClassifier(featuresCol="__features", labelCol="label", predictionCol="__prediction", maxIter=trees, maxDepth=depth, maxBins=32, seed=seed).setProbabilityCol("__probability").setRawPredictionCol("__raw")
-    return UrlModel(suffixes, PipelineModel([join, fit.fit(join.transform(table))]))
+    return UrlModel(statistics, PipelineModel([join, fit.fit(join.transform(table))]))
+
+
+def held_out_accuracy(labelled: DataFrame, hosts: float = 0.3, seed: int = 7, **training) -> DataFrame:
+    """(n, right, bad, blocked) over the urls of a ``hosts`` share of all hosts, drawn by hash, judged by a model that
+    was trained on the urls of the other hosts alone. Rows of null label or url are ignored. Without rows to judge: zeros."""
+    labelled = labelled.filter("label is not null and url is not null").select("url", F.col("label").cast("double").alias("label"))
+    host, _ = host_and_path(F.col("url"))
+    held = F.pmod(F.xxhash64(host, F.lit(seed)), F.lit(1000)) < F.lit(int(1000 * hosts))
+    scored = train(labelled.filter(~held), **training).score(labelled.filter(held)).withColumn("__block", F.col("__score") > 0.5)
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return scored.agg(F.count("*").alias("n"), count(F.col("__block") == (F.col("label") > 0.5)).alias("right"), count(F.col("label") > 0.5).alias("bad"), count(F.col("__block")).alias("blocked"))
 
 
 def judge(pages: DataFrame, rules: list[Rule], model: UrlModel | None = None, threshold: float = 0.5, **training) -> DataFrame:

@@ -104,9 +104,12 @@ def test_verdicts_match_brute_force(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     labelled = [(u, float(next(r.verdict for r in RULES if r.pattern == p) == "block")) for u in urls if (p := rule(*host_path(u)))]
     model = uf.train(spark.createDataFrame(labelled, "url string, label double"))
+    domain = lambda u: ".".join(host_path(u)[0].split(".")[-2:])
     tally: dict = {}
     for u, y in labelled:
-        tally.setdefault(host_path(u)[0].rpartition(".")[2], []).append(y)
+        tally.setdefault(domain(u), []).append(y)
+    means = {d: sum(ys) / len(ys) for d, ys in tally.items()}
+    prior = sum(means.values()) / len(means)
     forest = model.trees.stages[-1]
     trees = []
     for text in forest.toDebugString.split("  Tree ")[1:]:
@@ -115,8 +118,8 @@ def test_verdicts_match_brute_force(spark):
     seen = set()
     for k, u in enumerate(urls):
         own = plain_features(u)
-        labels = tally.get(host_path(u)[0].rpartition(".")[2])
-        own |= {"suffix_rate": (sum(labels) + 1) / (len(labels) + 2) if labels else 0.5, "suffix_seen": math.log1p(len(labels)) if labels else 0.0}
+        others = [m for d, m in means.items() if d != domain(u) and d.rpartition(".")[2] == domain(u).rpartition(".")[2]]
+        own |= {"suffix_rate": (sum(others) + 2 * prior) / (len(others) + 2), "suffix_seen": math.log1p(len(others))}
         margin = 0.0
         for tree, weight in zip(trees, forest.treeWeights, strict=True):
             while isinstance(tree, tuple):
@@ -128,3 +131,33 @@ def test_verdicts_match_brute_force(spark):
             assert got[k].verdict == ("block" if score > 0.5 else "allow")
             seen.add(got[k].verdict)
     assert seen == {"allow", "block"}
+
+
+def test_suffix_statistics_leave_the_own_domain_out(spark):
+    rows = [(f"http://a{k}.example.com/de/", 1.0) for k in range(50)] + [(f"http://good{k}.org/", 0.0) for k in range(4)] + [("http://bad.org/", 1.0), ("http://bad.org/x", 1.0)]
+    stats = uf.suffix_statistics(spark.createDataFrame(rows, "url string, label double"))
+    assert stats.prior == 2 / 6
+    asked = [(k, u) for k, u in enumerate(["http://b.example.com/en/", "http://other.com/", "http://new.org/", "http://bad.org/y", "http://good1.org/", "nothing", None])]
+    got = {r.k: (r["__suffix_rate"], math.expm1(r["__suffix_seen"])) for r in stats.add(uf.features(spark.createDataFrame(asked, "k int, url string"))).collect()}
+    want = [(2 / 6, 0), ((1 + 4 / 6) / 3, 1), ((1 + 4 / 6) / 7, 5), ((0 + 4 / 6) / 6, 4), ((1 + 4 / 6) / 6, 4), (2 / 6, 0), (2 / 6, 0)]
+    for k, (rate, seen) in enumerate(want):
+        assert abs(got[k][0] - rate) < 1e-9 and abs(got[k][1] - seen) < 1e-9, k
+
+
+def test_accuracy_on_hosts_that_training_did_not_see(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(150):
+        bad = k % 2
+        host = f"{rng.choice(['cheap', 'win'])}-{rng.randrange(999)}-deal.biz" if bad else f"{rng.choice(['news', 'wiki'])}{chr(97 + k % 26)}{chr(97 + k // 26)}.org"
+        rows += [(f"http://{host}/{rng.randrange(10**6)}?a={rng.randrange(9)}&b=1" if bad else f"http://{host}/about/{rng.choice('abc')}", float(bad)) for _ in range(5)]
+    table = spark.createDataFrame([*rows, (None, 1.0), ("http://x.y/", None)], "url string, label double")
+    r = uf.held_out_accuracy(table).first()
+    assert 100 < r.n < 400 and r.right > 0.95 * r.n
+    assert tuple(uf.held_out_accuracy(table.filter("label > 9")).first()) == (0, 0, 0, 0)
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, "http://a.net/"), (None, None), (1, "http://a.net/"), (1, "http://a.net/"), (2, "http://q.org/fr/")]
+    got = uf.judge(spark.createDataFrame(rows, "page_id long, url string"), RULES).collect()
+    assert sorted((r.page_id or 0, r.host) for r in got) == [(0, ""), (0, "a.net"), (1, "a.net"), (1, "a.net"), (2, "q.org")]
