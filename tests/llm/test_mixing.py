@@ -65,3 +65,20 @@ def test_columns_of_any_name_stay(spark):
     got = mixing.mix(docs)
     assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= set(rows)
     assert got.count() == mixing.mix(docs.select("doc_id", "text", "source")).count() > 0
+
+
+def test_many_sources_are_ranked_in_ranges(spark, monkeypatch):
+    rng = random.Random(5)
+    sizes = {f"s{k:04d}": rng.choice([0, 1, 7, 7, rng.randint(1, 10**6)]) for k in range(700)} | {None: 50, "É": 10**7}
+    table = spark.createDataFrame([*sizes.items()], "source string, source_size long").repartition(3)
+    want = water(sizes)
+    for few in (True, False):
+        got = mixing.targets(table, few=few).collect()
+        assert len(got) == len(sizes)
+        for r in got:
+            assert r.source_size == sizes[r.source] and math.isclose(r.target, want[r.source], rel_tol=1e-9, abs_tol=1e-9)
+    assert mixing.targets(table.filter("source_size < 0"), few=False).count() == 0
+    docs = spark.createDataFrame([(k, "a b " * (k % 9), rng.choice(["p", "q", None, "r", "t"])) for k in range(300)], "doc_id long, text string, source string")
+    whole = sorted(map(str, mixing.mix_sizes(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 2)
+    assert sorted(map(str, mixing.mix_sizes(docs).collect())) == whole
