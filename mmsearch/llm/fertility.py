@@ -10,6 +10,7 @@ language is unknown, says which values pass.
 from __future__ import annotations
 
 import base64
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,19 +36,25 @@ LATIN = Band((2.0, 8.0), 0.15, 0.35)
 #: By language code, then by script of most letters, then "": anything else. Measured with the 50k multilingual vocabulary:
 #: clean Chinese, Japanese and Korean have 1.0 to 1.7 characters a token and 0.23 to 0.30 fallback, random characters 0.43 to
 #: 0.49 and 0.98 to 0.99; clean Hindi, Thai and Hebrew 0.9 to 1.7 and 0.07 to 0.61, random ones, symbols and emoji 0.33 to 0.55
-#: and 0.90 to 1.0. A script that the vocabulary doesn't know at all (Ethiopic) looks like the latter.
+#: and 0.90 to 1.0. A script that the vocabulary doesn't know at all (Ethiopic) looks like the latter whatever a text says, so
+#: "unknown" judges neither its fallback nor, closely, its characters a token.
 BANDS = {
     "en": Band((2.0, 8.0), 0.10, 0.35), "de": LATIN, "fr": LATIN, "es": LATIN,
     "latin": LATIN, "cyrillic": Band((0.6, 6.0), 0.6, 0.35), "greek": Band((0.5, 6.0), 0.8, 0.35),
     "arabic": Band((0.5, 6.0), 0.8, 0.35), "cjk": Band((0.55, 3.0), 0.7, 0.3), "": Band((0.55, 10.0), 0.8, 0.3),
+    "unknown": Band((0.25, 10.0), 1.0, 0.3),
 }
 _SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("arabic", 0x600, 0x6FF), ("cjk", 0x3040, 0x9FFF), ("cjk", 0xAC00, 0xD7A3))
+#: Shares of a text that tell writing in a script without a band from strewn characters: letters of one script among all
+#: letters, and letters, marks and blanks among all characters. A vocabulary knows a script from KNOWN tokens on.
+ONE_SCRIPT, WRITTEN, KNOWN = 0.9, 0.7, 5
 _LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 _BLANK = " \t\n\x0b\x0c\r"
 
 _loaded: dict = {}
+_known: dict = {}
 
 
 def _vocabulary(path: str, pattern: str):
@@ -78,6 +85,44 @@ def script_of(text: str) -> str:
     return best if counts[best] and counts[best] >= len(codes) - sum(counts.values()) else ""
 
 
+def letter_scripts(text: str) -> tuple[dict[str, int], int]:
+    """(letters per script, by the first word of their Unicode names; letters, marks and blanks together)."""
+    codes, counts = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_counts=True)
+    scripts: dict[str, int] = {}
+    written = 0
+    for code, n in zip(codes.tolist(), counts.tolist(), strict=True):
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if kind[0] == "L":
+            script = unicodedata.name(c, "?").split()[0]
+            scripts[script] = scripts.get(script, 0) + n
+        written += n * (kind[0] in "LMZ" or c in _BLANK)
+    return scripts, written
+
+
+def known_scripts(path: str, pattern: str) -> frozenset[str]:
+    """Scripts that the vocabulary has at least ``KNOWN`` tokens of: whole letters, others than single bytes."""
+    if path not in _known:
+        encoding, part = _vocabulary(path, pattern)
+        tokens: dict[str, int] = {}
+        for k in np.flatnonzero(~part).tolist():
+            try:
+                token = encoding.decode_single_token_bytes(k).decode()
+            except KeyError:
+                continue
+            for script in {unicodedata.name(c, "?").split()[0] for c in token if c.isalpha()}:
+                tokens[script] = tokens.get(script, 0) + 1
+        _known[path] = frozenset(s for s, n in tokens.items() if n >= KNOWN)
+    return _known[path]
+
+
+def unknown_script(text: str, known: frozenset[str]) -> bool:
+    """Whether a text is written in one script that the vocabulary doesn't know."""
+    scripts, written = letter_scripts(text)
+    best = max(scripts, key=scripts.get, default=None)
+    return best is not None and best not in known and scripts[best] >= ONE_SCRIPT * sum(scripts.values()) and written >= WRITTEN * len(text)
+
+
 def measure(tokens: np.ndarray, chars: int, part: np.ndarray) -> tuple[float, float, float]:
     """(characters per token, byte-fallback share, entropy over its greatest value) of one text."""
     n = len(tokens)
@@ -147,6 +192,8 @@ def _rules(path: str, pattern: str, bands: dict[str, Band]):
                     m = measure(tokens, int(chars[r]), part)
                     name = lang[a + r] if lang[a + r] in bands else script_of(text)
                     name = name if name in bands else ""
+                    if not name and "unknown" in bands and unknown_script(text, known_scripts(path, pattern)):
+                        name = "unknown"
                     ok = verdict(*m, len(tokens), bands[name])
                     rows.append((duplicate_lines(text), bool(ok and not failed[r]), len(tokens), *m, name))
                 dup, kept, n, cpt, fall, ent, name = zip(*rows, strict=True)
@@ -162,6 +209,7 @@ def quality(docs: DataFrame, path: str, pattern: str, bands: dict[str, Band] | N
     ``path``: ranks of a byte-level vocabulary (.tiktoken), ``pattern`` its split, readable on every worker.
     base_failed: under 50 words, or more than half of the words in repeated 3-word windows. kept: not
     base_failed, and inside the band of the row's lang, or of its script for a null or unknown lang.
+    A text in one script that the vocabulary doesn't know (see ``unknown_script``) is judged by its token entropy.
 
     Null or blank text: 0 words, base_failed. Any doc_id, null or repeated, gets its row. Whole texts of any
     length are measured. Empty table: empty result.

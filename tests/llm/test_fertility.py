@@ -101,3 +101,22 @@ def test_bands_of_cjk_and_other_scripts_tell_clean_from_noisy_texts():
     assert all(accepted(f"{text} {text}\u00a0a") for text in CLEAN.values())
     for lo, hi in ((0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x904, 0x94D), (0x2190, 0x2600), (0x1F300, 0x1F640)):
         assert not accepted("".join(chr(rng.randrange(lo, hi)) for _ in range(300)))
+
+
+AMHARIC = "ዛሬ አየሩ በጣም ጥሩ ነው ስለዚህ ሁላችንም አብረን ወደ መናፈሻ ሄድን። ብዙ ሰዎች እየዘፈኑ እና እየጨፈሩ ነበር፣ ልጆች በሣር ላይ ይጫወቱ ነበር፣ ሽማግሌዎችም ተቀምጠው ይነጋገሩ ነበር።"
+
+
+def test_a_script_that_the_vocabulary_does_not_know_is_no_reason(spark):
+    rng = random.Random(4)
+    words = AMHARIC.split()
+    clean = " ".join(rng.choice(words) for _ in range(90))
+    strewn = " ".join("".join(chr(rng.randrange(0x904, 0x940)) for _ in range(8)) for _ in range(80))
+    mixed = " ".join("".join(chr(rng.choice([rng.randrange(0x1200, 0x1248), rng.randrange(0x13A0, 0x13F0), rng.randrange(0x1401, 0x1600)])) for _ in range(8)) for _ in range(80))
+    same = " ".join(f"{words[0]}{words[0] * (k % 60)}" for k in range(90))
+    docs = spark.createDataFrame([(1, clean, "am"), (2, clean, None), (3, strewn, None), (4, mixed, None), (5, same, None), (6, clean, "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.kept, r.band) for r in ft.quality(docs, PATH, PATTERN).collect()}
+    assert got[1] == got[2] == (True, "unknown")
+    assert got[3] == (False, "") and got[4] == (False, "") and got[5] == (False, "unknown") and got[6] == (False, "en")
+    known = ft.known_scripts(PATH, PATTERN)
+    assert {"LATIN", "CYRILLIC", "DEVANAGARI", "HEBREW", "THAI"} <= known and "ETHIOPIC" not in known
+    assert not ft.unknown_script("", known) and not ft.unknown_script("123 !", known)
