@@ -145,3 +145,83 @@ def test_recall_on_reparameterised_items_dense_in_slots_and_on_german(spark):
     clean = [" ".join(rng.choice(["der", "die", "und", "mit", "7", "kg", "for", "days", rng.choice(names), rng.choice(german)]) for _ in range(80)) for _ in range(40)]
     got = leaks(spark, docs + clean, items)
     assert sum((k, k) in got for k in range(40)) >= 36 and all(d < 40 for d, _ in got)
+
+
+def plain_canonical(text, before=""):
+    """(literal words, template words) for texts of lower-case words, numbers, capitalised names and units."""
+    literal, slotted = [], []
+    for w in text.split():
+        if w.isdigit():
+            t = "<num>"
+        elif w in ("km", "kg", "hours") and before.isdigit():
+            t = "<unit>"
+        elif w[0].isupper() and before:
+            t = "<name>"
+        else:
+            t = w.lower()
+        literal.append(w.lower())
+        slotted.append(t)
+        before = w
+    return literal, slotted
+
+
+def plain_matches(doc, item, width=6, run=13, shortest=3):
+    """The row of a document and an item by looking at every word of every diagonal, or None."""
+    (dl, dt), (il, it), inside = plain_canonical(doc), plain_canonical(item), plain_canonical(item, "x")[1]
+    slot = lambda t: t.startswith("<")
+    if len(il) < width:
+        at = [k for k in range(len(dl) - len(il) + 1) if dl[k : k + len(il)] == il]
+        return (at[0], len(il), sum(map(slot, it)), 0) if at and len(il) >= shortest else None
+    least, found = min(run, len(il)), []
+    for shift in range(-len(il) + 1, len(dl)):
+        on = [p for p in range(len(il)) if 0 <= p + shift < len(dl)]
+        wide = [p for p in on if p + width - 1 in on]
+        hit = [p for p in wide if any(d[p + shift : p + shift + width] == i[p : p + width] for d in (dl, dt) for i in (il, it, inside))]
+        literal = any(3 * sum(not slot(t) for t in it[p : p + width]) >= width for p in hit)
+        exact, same = {p for p in on if dl[p + shift] == il[p]}, {p for p in on if dt[p + shift] == it[p]}
+        for kind in (exact, same, exact | same) if literal else (exact,):
+            for a in [p for p in kind if p - 1 not in kind]:
+                b = a
+                while b in kind:
+                    b += 1
+                values = {(it[p], il[p], dl[p + shift]) for p in range(a, b) if slot(it[p])}
+                if b - a >= least and len(values) == len({v[:2] for v in values}):
+                    slots = [p for p in range(a, b) if slot(it[p])]
+                    found.append((b - a, -sum(il[p] != dl[p + shift] for p in slots), -(a + shift), len(slots)))
+    if not found:
+        return None
+    n, changed, at, slots = max(found)
+    return -at, n, slots, -changed
+
+
+def test_slots_and_consistency_match_brute_force(spark):
+    rng = random.Random(21)
+    vocab = [f"{a}{b}" for a in "bcdfgh" for b in "aeiou"]
+    names = ["Rome", "Oslo", "Anna", "Bert", "Lima"]
+    fresh = lambda w: str(rng.randint(1, 60)) if w.isdigit() else rng.choice(names) if w[0].isupper() else rng.choice(["km", "kg", "hours"]) if w in ("km", "kg", "hours") else w
+
+    def words(n, slots):
+        out = []
+        while len(out) < n:
+            out += rng.choice([[str(rng.randint(1, 9))], [str(rng.randint(1, 9)), rng.choice(["km", "kg"])], [rng.choice(names)]]) if rng.random() < slots else [rng.choice(vocab)]
+        return out[:n]
+
+    items = [words(rng.randint(3, 34), rng.choice([0.1, 0.4, 0.9])) for _ in range(40)]
+    docs = []
+    for k in range(240):
+        item = list(rng.choice(items))
+        how = k % 4
+        if how == 1:  # every value changes the same way
+            to: dict = {}
+            item = [to.setdefault(w, fresh(w)) for w in item]
+        elif how == 2:  # values change as they like
+            item = [fresh(w) if rng.random() < 0.5 else w for w in item]
+        elif how == 3:  # one word goes, a part is cut
+            item[rng.randrange(len(item))] = rng.choice(vocab)
+            item = item[rng.randint(0, len(item) // 2) :]
+        docs.append(" ".join(words(rng.randint(0, 9), 0.3) + item + words(rng.randint(0, 9), 0.3)))
+    texts = [" ".join(x) for x in items]
+    want = {(d, i): r for d, doc in enumerate(docs) for i, item in enumerate(texts) if (r := plain_matches(doc, item))}
+    got = {k: (r.doc_word, r.run_words, r.n_slots, r.n_changed) for k, r in leaks(spark, docs, texts).items()}
+    assert got == want
+    assert len(want) > 100 and sum(r[3] > 0 for r in want.values()) > 20
