@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import Counter
@@ -53,6 +54,23 @@ def test_growing_moves_little():
     assert sum(before[c] != after[c] for c in cells) < 0.25 * len(cells)
 
 
+def test_growing_at_the_slack_of_the_query():
+    rng = random.Random(2)
+    cells = {c: rng.randint(500, 1500) for c in range(hr.CELLS)}
+    total = sum(cells.values())
+    before, _ = hr.place(cells, [], 16, hr.virtual_nodes(16, 256), math.ceil(total / 16 * 1.002))
+    after, _ = hr.place(cells, [], 17, hr.virtual_nodes(17, 256), math.ceil(total / 17 * 1.002))
+    for placed, n in ((before, 16), (after, 17)):
+        sizes = [0] * n
+        for c, size in cells.items():
+            sizes[placed[c]] += size
+        assert max(sizes) <= 1.002 * total / n + 1500
+    moved = sum(cells[c] for c in cells if before[c] != after[c]) / total
+    among_old = sum(cells[c] for c in cells if before[c] != after[c] < 16) / total
+    print(moved, among_old)
+    assert 0.05 < moved < 0.1 and among_old < 0.03
+
+
 def test_clashing_columns_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a", 9, "x"), (1, "a", 9, "y")], "doc_id long, text string, shard int, size string")
     got = hr.shard(docs, shards=2).collect()
