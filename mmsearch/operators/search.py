@@ -15,6 +15,8 @@ QUERY_BLOCK = 1024
 ENTRY_BLOCK = 4096
 #: Bytes of packed queries that are broadcast; more of them meet the entries by a nested join of packs.
 BROADCAST_BYTES = 64 << 20
+#: Queries and entries of a cell of the grid of a block search, and queries whose products with some blocks are one matrix.
+GRID_QUERIES, GRID_ENTRIES, CHUNK = 8192, 32768, 256
 
 
 def score_cross(entries: DataFrame, queries: DataFrame) -> DataFrame:
@@ -146,11 +148,15 @@ def _packed_centres(batches):
             yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays([0, len(flat)], flat)], ["blocks", "radii", "centre_flat"])
 
 
-def _bounds(p: dict) -> np.ndarray:
+def _bound(q: np.ndarray, c: np.ndarray, radii: np.ndarray) -> np.ndarray:
     """Per query and block no less than any score: the product with the centre and the query's length times the radius, and a margin for rounding."""
-    q, c = (np.array(p[x]).reshape(len(p[n]), -1) for x, n in (("q_flat", "query_names"), ("centre_flat", "blocks")))
     length = np.sqrt((q * q).sum(1))[:, None]
-    return q @ c.T + length * np.array(p["radii"])[None, :] + 1e-9 * length * (1 + np.sqrt((c * c).sum(1))[None, :])
+    return q @ c.T + length * radii[None, :] + 1e-9 * length * (1 + np.sqrt((c * c).sum(1))[None, :])
+
+
+def _bounds(p: dict) -> np.ndarray:
+    q, c = (np.array(p[x]).reshape(len(p[n]), -1) for x, n in (("q_flat", "query_names"), ("centre_flat", "blocks")))
+    return _bound(q, c, np.array(p["radii"]))
 
 
 def _first_blocks(batches):
@@ -174,28 +180,109 @@ def _open_blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64())], ["query", "block"])
 
 
-def _asked(k: int):
-    """The best k of a block's entries for each query of a part."""
+def _vectors(table: pa.Table, column: str, rows: int) -> np.ndarray:
+    flat = table.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(rows, -1)
+
+
+def _first_k(row: np.ndarray, at: np.ndarray, score: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best entries of each row, by score and then by ``order`` (the entries' places by name)."""
+    by = np.lexsort((order[at], -score, row))
+    row, at, score = row[by], at[by], score[by]
+    fresh = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+    starts = np.flatnonzero(fresh)
+    ok = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)])) < k
+    return row[ok], at[ok], score[ok]
 
-    def run(asked: pa.Table, block: pa.Table) -> pa.Table:
-        rows = []
-        if asked.num_rows and block.num_rows:
-            names = np.array(block.column("creator_names")[0].as_py(), object)
-            v = np.array(block.column("combined_flat")[0].as_py()).reshape(len(names), -1)
-            for query, q in zip(asked.column("query").to_pylist(), asked.column("q").to_pylist(), strict=True):
-                q = np.array(q)
-                rows += [(query, c, s) for s, c in _best(v @ q, v, q, names, k)]
-        return pa.table([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["query", "creator", "score"])
+
+def _best_of_blocks(q: np.ndarray, floors: np.ndarray, ok: np.ndarray, v: np.ndarray, sizes: np.ndarray, order: np.ndarray, k: int):
+    """(row of q, row of v, score) of the k best at or above each query's floor, over the blocks (``sizes`` rows of v each) that ``ok`` opens to it.
+
+    Products of about ENTRY_BLOCK entries at a time; as in ``_best``, only rows about as good are scored again, each by itself.
+    """
+    starts = np.r_[0, np.cumsum(sizes)]
+    row, at, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    floors, blocks = floors.copy(), np.flatnonzero(ok.any(0))
+    slabs = np.split(blocks, np.flatnonzero(np.diff(np.cumsum(sizes[blocks]) // ENTRY_BLOCK)) + 1) if len(blocks) else []
+    for slab in slabs:
+        mine = np.flatnonzero(ok[:, slab].any(1))
+        cols = np.concatenate([np.arange(starts[b], starts[b + 1]) for b in slab])
+        near = q[mine] @ v[cols].T
+        near[~np.repeat(ok[np.ix_(mine, slab)], sizes[slab], axis=1)] = -np.inf
+        low = floors[mine]
+        if len(cols) > k:
+            low = np.maximum(low, np.partition(near, len(cols) - k, axis=1)[:, len(cols) - k])
+        low = np.where(np.isfinite(low), low - 1e-9 * (1 + np.abs(np.where(np.isfinite(low), low, 0))), low)
+        i, j = np.nonzero((near >= low[:, None]) & (near > -np.inf))
+        i, j = mine[i], cols[j]
+        row, at, score = _first_k(np.r_[row, i], np.r_[at, j], np.r_[score, (q[i] * v[j]).sum(1)], order, k)
+        full, count = np.unique(row, return_counts=True)
+        worst = np.full(len(q), np.inf)
+        np.minimum.at(worst, row, score)
+        full = full[count >= k]
+        floors[full] = np.maximum(floors[full], worst[full])
+    return row, at, score
+
+
+def _cell(k: int):
+    """(query, creator, score) of a cell of queries and blocks: for each query the best k of the blocks it may look into.
+
+    Queries without ``floor`` and ``done`` look into all blocks of the cell, others into those whose bound reaches the floor, but for the one that is done.
+    """
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if asked.num_rows and held.num_rows:
+            if "done" in asked.column_names:
+                asked = asked.sort_by("done")  # queries that are near each other open the same blocks
+            held = held.sort_by("block")
+            queries, blocks = asked.column("query").to_pylist(), held.column("block").to_numpy()
+            q, centres = _vectors(asked, "q", len(queries)), _vectors(held, "centre", len(blocks))
+            flat = held.column("creator_names").combine_chunks().flatten().to_pylist()
+            names, v = np.array(flat, object), _vectors(held, "combined_flat", len(flat))
+            sizes = held.column("creator_names").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+            order = np.empty(len(names), np.int64)
+            order[np.argsort(names, kind="stable")] = np.arange(len(names))
+            radii = held.column("radius").to_numpy()
+            for begin in range(0, len(queries), CHUNK):
+                own = slice(begin, begin + CHUNK)
+                floors, ok = np.full(len(q[own]), -np.inf), np.ones((len(q[own]), len(blocks)), bool)
+                if "done" in asked.column_names:
+                    floors = asked.column("floor").to_numpy()[own]
+                    ok = _bound(q[own], centres, radii) >= floors[:, None]
+                    ok &= asked.column("done").to_numpy()[own][:, None] != blocks[None, :]
+                row, at, score = _best_of_blocks(q[own], floors, ok, v, sizes, order, k)
+                out.append(([queries[begin + r] for r in row], names[at], score))
+        cols = [[x for o in out for x in o[j]] for j in range(3)]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64()), strict=True)], ["query", "creator", "score"])
 
     return run
 
 
-def _evaluate(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """Scores of (query, block) pairs. A block that many queries want is dealt to several parts of about QUERY_BLOCK queries."""
-    parts = pairs.groupBy("block").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts"))
-    wanted = pairs.join(parts, "block").join(queries, "query").select("block", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int").alias("part"), "query", "q")
-    copies = blocks.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "creator_names", "combined_flat")
-    return wanted.groupBy("block", "part").cogroup(copies.groupBy("block", "part")).applyInArrow(_asked(k), "query string, creator string, score double")
+FOUND = "query string, creator string, score double"
+
+
+def _evaluate_first(first: DataFrame, queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """Scores of each query in its first block. A block that many queries want is dealt to several parts of about QUERY_BLOCK queries."""
+    parts = first.groupBy("block").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts"))
+    wanted = first.hint("merge").join(parts, "block").join(queries.hint("merge"), "query").select("block", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int").alias("part"), "query", "q")
+    copies = blocks.hint("merge").join(parts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "radius", "centre", "creator_names", "combined_flat")
+    return wanted.groupBy("block", "part").cogroup(copies.groupBy("block", "part")).applyInArrow(_cell(k), FOUND)
+
+
+def _evaluate_open(known: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """Scores of all further blocks a query may look into, by a grid: queries are dealt to rows, blocks to columns, a cell is a task's group.
+
+    A query is sent once a column and a block once a row; pairs of a query and a block are never rows of a table.
+    """
+    n, m = known.count(), blocks.agg(F.sum(F.size("creator_names"))).first()[0] or 0
+    rows, columns = max(1, -(-n // GRID_QUERIES)), max(1, -(-m // GRID_ENTRIES))
+    deal = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = known.select("query", "q", "floor", "done", deal("query", rows).alias("a"), every(columns).alias("b"))
+    right = blocks.select("block", "radius", "centre", "creator_names", "combined_flat", deal("block", columns).alias("b"), every(rows).alias("a"))
+    cells = rows * columns
+    return left.repartition(cells, "a", "b").groupBy("a", "b").cogroup(right.repartition(cells, "a", "b").groupBy("a", "b")).applyInArrow(_cell(k), FOUND)
 
 
 def search_blocks(blocks: DataFrame, queries: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -203,21 +290,24 @@ def search_blocks(blocks: DataFrame, queries: DataFrame, k: int = 10) -> tuple[D
 
     Each query first takes the block with its greatest bound; its k-th score there is a floor, and only blocks whose
     bound reaches it are looked into. Names of queries must be unique. Queries are never collected; what the two
-    steps found is written to the shared folder.
+    steps found is written to the shared folder. The pairs are made only when they are read.
     """
     queries = queries.select("query", F.col("q").cast("array<double>").alias("q"))
     centres = blocks.select("block", "radius", "centre").mapInArrow(_packed_centres, "blocks array<long>, radii array<double>, centre_flat array<double>")
+    size = blocks.agg(F.sum(8 * F.size("centre") + 16)).first()[0] or 0
+    centres = F.broadcast(centres) if size <= BROADCAST_BYTES else centres
     packs = queries.mapInArrow(_packed("query", "q", QUERY_BLOCK), "query_names array<string>, q_flat array<double>")
     first = packs.crossJoin(centres).mapInArrow(_first_blocks, "query string, block long, bound double")
     first = kept(first.groupBy("query").agg(F.max_by("block", "bound").alias("block")), "first")
-    seeds = kept(_evaluate(first, queries, blocks, k), "seeds")
+    seeds = kept(_evaluate_first(first, queries, blocks, k), "seeds")
     floors = seeds.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    known = queries.join(first.withColumnRenamed("block", "done"), "query").join(floors, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    known = queries.hint("merge").join(first.withColumnRenamed("block", "done").hint("merge"), "query").join(floors.hint("merge"), "query", "left")
+    known = kept(known.withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "known")
+    found = seeds.unionByName(_evaluate_open(known, blocks, k))
     deal = F.spark_partition_id(), F.floor(F.monotonically_increasing_id() / QUERY_BLOCK)
     lists = [F.collect_list(c).alias(n) for c, n in (("query", "query_names"), ("q", "qs"), ("floor", "floors"), ("done", "done"))]
     packs = known.withColumn("a", deal[0]).withColumn("b", deal[1]).groupBy("a", "b").agg(*lists).select("query_names", F.flatten("qs").alias("q_flat"), "floors", "done")
-    more = kept(packs.crossJoin(centres).mapInArrow(_open_blocks, "query string, block long"), "open")
-    found = seeds.unionByName(_evaluate(more, queries, blocks, k))
+    more = packs.crossJoin(centres).mapInArrow(_open_blocks, "query string, block long")
     return top_k(found, k, ["query"]).select("query", "rank", "creator", "score"), first.unionByName(more)
 
 

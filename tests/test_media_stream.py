@@ -191,3 +191,22 @@ def test_block_search_equals_plain_search(spark, monkeypatch, cells, size, pack)
     assert search.search_blocks(blocks, queries.limit(0), 3)[0].count() == 0
     empty = search.block_index(entries.limit(0))
     assert search.search_blocks(empty, queries, 3)[0].count() == 0
+
+
+def test_block_search_sends_no_pairs_of_queries_and_blocks(spark, monkeypatch):
+    """Queries that may look into every block: cells of the grid are the only groups, and no table of (query, block) rows is written or broadcast."""
+    monkeypatch.setattr(search, "GRID_QUERIES", 16)
+    monkeypatch.setattr(search, "GRID_ENTRIES", 40)
+    monkeypatch.setattr(search, "CHUNK", 5)
+    monkeypatch.setattr(search, "ENTRY_BLOCK", 12)
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(100, 4))
+    v[60:] = v[60]  # equal vectors: ties by name, more of them than k
+    entries = spark.createDataFrame([(f"c{n:03d}", x.tolist()) for n, x in enumerate(v)], "creator string, combined array<double>")
+    queries = spark.createDataFrame([(f"q{n}", x.tolist()) for n, x in enumerate(rng.normal(size=(50, 4)))], "query string, q array<double>")
+    written, plainly = [], search.kept
+    monkeypatch.setattr(search, "kept", lambda df, name: written.append(name) or plainly(df, name))
+    found, looked = search.search_blocks(plainly(search.block_index(entries, 9, 4), "blocks"), queries, 7)
+    plain = {(r.query, r.rank, r.creator, r.score) for r in search.search(entries, queries, 7).collect()}
+    assert {(r.query, r.rank, r.creator, r.score) for r in found.collect()} == plain and len(plain) == 350
+    assert "open" not in written and looked.count() > 50
