@@ -13,11 +13,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of a batch's media that a task turns into Python values at a time.
+PIECE_BYTES = 1 << 20
+
+
+def pieces(batch: pa.RecordBatch, column: str):
+    """A batch as slices of about PIECE_BYTES of a binary column, a row at least: what a step makes of a batch lives for one slice only."""
+    sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)], np.int64)
+    ends = np.flatnonzero(np.diff(np.cumsum(sizes) // PIECE_BYTES)) + 1
+    for begin, end in zip([0, *ends], [*ends, batch.num_rows], strict=True):
+        yield batch.slice(begin, end - begin)
+
+
 def split_frames(df: DataFrame, most: int = 10) -> DataFrame:
     """M1: (mp4, frame_idx, jpeg) from (mp4, stream): FFD8 to the next FFD9, at most ``most``; an unterminated frame ends it."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (x for whole in batches for x in pieces(whole, "stream")):
             mp4, idx, jpeg = [], [], []
             for name, stream in zip(batch.column("mp4").to_pylist(), batch.column("stream").to_pylist(), strict=True):
                 at = 0
@@ -50,7 +62,7 @@ def pcm_to_float(df: DataFrame) -> DataFrame:
     """M3: adds samples array<float> in [-1, 1) from little-endian 16-bit pcm; an odd last byte is dropped."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (x for whole in batches for x in pieces(whole, "pcm")):
             rows = [np.frombuffer(b or b"", "<i2", len(b or b"") // 2).astype(np.float32) / np.float32(32768) for b in batch.column("pcm").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float32()))], [*batch.schema.names, "samples"])
 

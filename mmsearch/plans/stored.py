@@ -171,7 +171,8 @@ def _pooled(vectors: DataFrame) -> DataFrame:
 def _(t: Inputs) -> DataFrame:
     """Media files of all creators scanned, split, decoded, encoded in batches of frames and pooled."""
     root = files.write_media(_videos(t), files.shared_path(t.spark, "media"))
-    return _pooled(_frame_vectors(files.scan_media(t.spark, root, content=True).select("mp4", "content")))
+    vectors = _frame_vectors(files.scan_media(t.spark, root, content=True, ordered=False).select("mp4", "content"))
+    return _pooled(files.kept(vectors, "vectors"))  # read for the creators and for the means
 
 
 @query("S14_S3_media_stream", _POOLED)

@@ -77,13 +77,25 @@ def _plain(path: str) -> str:
     return re.sub("^file:/+", "/", path).rstrip("/")
 
 
-def scan_media(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
-    """(mp4, creator[, content]) of path/<creator>/*.mp4; names that begin with _ are skipped; sorted by creator, path."""
+def _list_in_few_tasks(spark: SparkSession) -> int:
+    """Folders and files of many small ones are listed by a few tasks of many paths each; Spark's default is a task a path, up to 10,000. Returns how many."""
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", tasks)
+    return tasks
+
+
+def scan_media(spark: SparkSession, path: str, content: bool = False, ordered: bool = True) -> DataFrame:
+    """(mp4, creator[, content]) of path/<creator>/*.mp4; names that begin with _ are skipped; sorted by creator, path unless ``ordered`` is False.
+
+    Sorting reads every file twice and sends its content through a shuffle: ask for it only where the order matters.
+    """
+    tasks = _list_in_few_tasks(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.mp4").load(path)
     rows = files.select(F.col("path").alias("mp4"), creator_of(F.col("path")).alias("creator"), *(["content"] if content else []))
     depth = len(_plain(path).split("/"))
     plain = F.regexp_replace("mp4", "^file:/+", "/")
-    return rows.filter((F.size(F.split(plain, "/")) == depth + 2) & ~F.col("creator").startswith("_")).orderBy("creator", "mp4")
+    found = rows.filter((F.size(F.split(plain, "/")) == depth + 2) & ~F.col("creator").startswith("_"))
+    return found.orderBy("creator", "mp4") if ordered else found.coalesce(tasks)  # else a task reads a few small files only
 
 
 def scan_frames(spark: SparkSession, path: str, exts: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
@@ -103,10 +115,13 @@ def write_media(df: DataFrame, root: str) -> str:
 
     def run(batches):
         fs, base = pafs.FileSystem.from_uri(full)
+        made = None  # the last folder made
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for path, content in zip(batch.column("path").to_pylist(), (x.as_py() for x in batch.column("content")), strict=True):
                 place = f"{base}/{path}"
-                fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                if (folder := place.rsplit("/", 1)[0]) != made:
+                    fs.create_dir(folder, recursive=True)
+                    made = folder
                 with fs.open_output_stream(place) as out:
                     out.write(content or b"")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
@@ -126,8 +141,9 @@ def media_stream(spark: SparkSession, root: str, per_trigger: int = 100, glob: s
     options = {"maxFilesPerTrigger": per_trigger, "ignoreCorruptFiles": True, "ignoreMissingFiles": True}
     if archive is not None:
         options |= {"cleanSource": "archive", "sourceArchiveDir": archive}
+    tasks = _list_in_few_tasks(spark)
     rows = spark.readStream.format("binaryFile").schema(BINARY).options(**options).load(f"{root}/{glob}")
-    return rows.select(F.col("path").alias("mp4"), creator_of(F.col("path")).alias("creator"), "content").filter(~F.col("creator").startswith("_"))
+    return rows.select(F.col("path").alias("mp4"), creator_of(F.col("path")).alias("creator"), "content").filter(~F.col("creator").startswith("_")).coalesce(tasks)
 
 
 def write_index(entries: DataFrame, path: str) -> str:
