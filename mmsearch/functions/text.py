@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -58,13 +58,15 @@ def word_counts(text: str) -> Counter:
     return found
 
 
-@F.pandas_udf(DoubleType())
-def _top_share(lowered: pd.Series) -> pd.Series:
+@F.arrow_udf(DoubleType())
+def _top_share(lowered: pa.Array) -> pa.Array:
+    """One text of the batch at a time is a Python string."""
+
     def share(text: str | None) -> float | None:
         found = word_counts(text) if text else None
         return max(found.values()) / found.total() if found else None
 
-    return pd.Series([share(t) for t in lowered], dtype="float64")
+    return pa.array([share(t.as_py()) for t in lowered], pa.float64())
 
 
 def exact_top_share(c: Column) -> Column:

@@ -87,3 +87,14 @@ def test_frames_of_silent_videos(spark):
     texts = spark.createDataFrame([("m1", "hi"), ("m1", "hi"), ("m2", " "), ("m3", None)], "mp4 string, text string")
     assert usable_frames(frames, texts).count() == 3
     assert [r.mp4 for r in usable_frames(frames, texts, drop_silent_frames=True).collect()] == ["m1"]
+
+
+def test_top_share_reads_one_text_of_a_batch_at_a_time(spark):
+    """The batch stays an Arrow array; null, empty and blank texts have no share."""
+    import pyarrow as pa
+    from pyspark.util import PythonEvalType
+
+    from mmsearch.functions import text
+
+    assert text._top_share.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    assert text._top_share.func(pa.array(["a b a", None, "", " \t", "x"])).to_pylist() == [2 / 3, None, None, None, 1.0]
