@@ -13,6 +13,8 @@ from ..sources.files import kept
 
 #: Centroids left at which one task ends a dendrogram; a constant, so that task's work doesn't grow with the table.
 LAST = 64
+#: Centroids up to which Spark may broadcast a table of them by its own rule; above, their joins sort both sides, so the driver holds none.
+DRIVER_ROWS = 8192
 #: Centroids of a block whose costs to another block are one matrix.
 BLOCK = 1024
 
@@ -44,13 +46,20 @@ def ward_merges(size: np.ndarray, center: np.ndarray) -> list[tuple[float, int,
     return out
 
 
+def _rows(batch: pa.RecordBatch, side: str, k: int) -> list[np.ndarray]:
+    """(ids, weights, vectors) of one block of a batch, as NumPy views: no other block of the batch becomes Python values."""
+    rows = batch.column(side).slice(k, 1).flatten()
+    i, n, v = (rows.field(f) for f in ("id", "n", "v"))
+    return [i.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False).reshape(len(i), -1)]
+
+
 def _nearest(batches):
     """(id, cost, other) of the least Ward cost of each centroid of either block, over pairs of blocks."""
     for batch in batches:
-        for p in batch.to_pylist():
-            (i, n, x), (j, m, y) = ([np.array([r[f] for r in p[side]]) for f in ("id", "n", "v")] for side in ("left", "right"))
+        for k in range(batch.num_rows):
+            (i, n, x), (j, m, y) = (_rows(batch, side, k) for side in ("left", "right"))
             cost = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0) * (n[:, None] * m[None, :] / (n[:, None] + m[None, :]))
-            if p["a"] == p["b"]:
+            if batch.column("a")[k] == batch.column("b")[k]:
                 cost[np.tril_indices(len(i))] = np.inf
             at, to = cost.argmin(1), cost.argmin(0)
             ids, costs, others = np.concatenate([i, j]), np.concatenate([cost[np.arange(len(i)), at], cost[to, np.arange(len(j))]]), np.concatenate([j[at], i[to]])
@@ -82,6 +91,11 @@ def _ball(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["b", "centre", "radius", "least", "worst", "rows"])
 
 
+def _apart(df: DataFrame, count: int | None = None) -> DataFrame:
+    """df, not to be broadcast where it has more rows than DRIVER_ROWS or nobody counted them."""
+    return df if count is not None and count <= DRIVER_ROWS else df.hint("merge")
+
+
 def near_pairs(cents: DataFrame, parts: int) -> DataFrame:
     """(a, left, b, right): the pairs of blocks of centroids between which a nearest pair may lie, a block and itself too.
 
@@ -102,8 +116,9 @@ def near_pairs(cents: DataFrame, parts: int) -> DataFrame:
     weight = F.col("x_least") * F.col("y_least") / (F.col("x_least") + F.col("y_least"))
     wanted = (F.col("x_b") == F.col("y_b")) | (weight * gap * gap * (1 - 1e-9) <= F.greatest("x_worst", "y_worst"))
     pairs = x.join(y, (F.col("x_b") <= F.col("y_b")) & wanted).select(F.col("x_b").alias("a"), F.col("y_b").alias("b"))
-    left = pairs.join(blocks.select(F.col("b").alias("a"), F.col("rows").alias("left")), "a")
-    return left.join(blocks.select("b", F.col("rows").alias("right")), "b").select("a", "left", "b", "right").repartition(F.col("a"), F.col("b"))
+    count = parts * BLOCK
+    left = pairs.join(_apart(blocks.select(F.col("b").alias("a"), F.col("rows").alias("left")), count), "a")
+    return _apart(left, count).join(_apart(blocks.select("b", F.col("rows").alias("right")), count), "b").select("a", "left", "b", "right").repartition(F.col("a"), F.col("b"))
 
 
 def ward_round(cents: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
@@ -120,9 +135,9 @@ def ward_round(cents: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
     near = pairs.mapInArrow(_nearest, "id long, cost double, other long").groupBy("id").agg(F.min(F.struct("cost", "other")).alias("m"))
     near = kept(near.select("id", "m.cost", "m.other"), "nearest")
     back = near.select(F.col("id").alias("other"), F.col("other").alias("id"))
-    merges = near.join(back, ["id", "other"]).filter("id < other").select("cost", F.col("id").alias("a"), F.col("other").alias("b"))
+    merges = _apart(near, count).join(_apart(back, count), ["id", "other"]).filter("id < other").select("cost", F.col("id").alias("a"), F.col("other").alias("b"))
     into = merges.select(F.col("b").alias("id"), F.col("a").alias("to"))
-    part = cents.join(into, "id", "left").select(F.coalesce("to", "id").alias("id"), "n", "v")
+    part = cents.join(_apart(into, count), "id", "left").select(F.coalesce("to", "id").alias("id"), "n", "v")
     rows = F.array_sort(F.collect_list(F.struct("n", "v")))
     mean = F.when(F.size("r") == 1, F.col("r")[0]["v"]).otherwise(F.zip_with(F.col("r")[0]["v"], F.col("r")[1]["v"], lambda x, y: (x * F.col("r")[0]["n"] + y * F.col("r")[1]["n"]) / F.col("n")))
     return kept(part.groupBy("id").agg(F.sum("n").alias("n"), rows.alias("r")).select("id", "n", mean.alias("v")), "centroids"), merges
@@ -164,11 +179,11 @@ def cut_dendrogram(first: DataFrame, merges: DataFrame, ks: list[int]) -> DataFr
     most = max(ks)
     top = [(r.a, r.b) for r in merges.orderBy(F.desc("cost"), F.desc("step"), F.desc("b")).limit(most - 1).collect()]
     free = [b for _, b in top]
-    up = first.select("id").join(merges.select(F.col("b").alias("id"), "a"), "id", "left")
+    up = first.select("id").join(_apart(merges.select(F.col("b").alias("id"), "a")), "id", "left")
     up = kept(up.select("id", F.when(F.col("id").isin(free), F.col("id")).otherwise(F.coalesce("a", "id")).alias("root")), "pointers")
     while True:
         further = up.select(F.col("id").alias("root"), F.col("root").alias("further"))
-        moved = kept(up.join(further, "root").select("id", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")), "pointers")
+        moved = kept(_apart(up).join(_apart(further), "root").select("id", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")), "pointers")
         up = moved.drop("moved")
         if moved.filter("moved").isEmpty():
             break
@@ -199,7 +214,8 @@ def ward_clusters(entries: DataFrame, ks: list[int]) -> DataFrame:
     if first.isEmpty():
         return rows.select("creator", array_to_vector("v").alias("features"), *(F.lit(0).alias(f"cluster_{k}") for k in ks))
     labels = cut_dendrogram(first, ward_dendrogram(first), ks)
-    return rows.drop("id").join(first.select("id", "v").join(labels, "id").drop("id"), "v").select("creator", array_to_vector("v").alias("features"), *(f"cluster_{k}" for k in ks))
+    labelled = _apart(first.select("id", "v")).join(_apart(labels), "id").drop("id")
+    return _apart(rows.drop("id")).join(_apart(labelled), "v").select("creator", array_to_vector("v").alias("features"), *(f"cluster_{k}" for k in ks))
 
 
 def cluster_sizes(df: DataFrame, column: str = "cluster_id") -> DataFrame:

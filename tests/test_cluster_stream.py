@@ -155,3 +155,36 @@ def test_far_blocks_are_left_out_and_no_nearest_pair_with_them(spark, monkeypatc
     cost = ((x[:, None] - x[None]) ** 2).sum(2) * (w[:, None] * w[None] / (w[:, None] + w[None]))
     np.fill_diagonal(cost, np.inf)
     assert [near[k] for k in range(len(x))] == cost.argmin(1).tolist()
+
+
+def test_pairs_of_blocks_are_read_one_by_one_from_their_batch():
+    """Each pair of a batch gives the least costs of its own blocks, from views of the batch."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    block = lambda at, n: [{"id": at + k, "n": 1.0 + k, "v": rng.normal(size=4).tolist()} for k in range(n)]
+    rows = [block(0, 3), block(10, 5), block(20, 1)]
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("n", pa.float64()), ("v", pa.list_(pa.float64()))]))
+    pairs = [(a, b) for a in range(3) for b in range(a, 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs]), pa.array([rows[p[0]] for p in pairs], kind), pa.array([p[1] for p in pairs]), pa.array([rows[p[1]] for p in pairs], kind)], ["a", "left", "b", "right"])
+    ids, n, v = cluster._rows(batch, "right", 1)
+    assert ids.tolist() == [r["id"] for r in rows[1]] and n.tolist() == [r["n"] for r in rows[1]] and v.tolist() == [r["v"] for r in rows[1]]
+    best = {}
+    for out in cluster._nearest([batch.slice(0, 2), batch.slice(2)]):
+        for r in out.to_pylist():
+            best[r["id"]] = min(best.get(r["id"], (np.inf, 0)), (r["cost"], r["other"]))
+    every = [r for b in rows for r in b]
+    cost = lambda x, y: sum((p - q) ** 2 for p, q in zip(x["v"], y["v"], strict=True)) * x["n"] * y["n"] / (x["n"] + y["n"])
+    for x in every:
+        near = min((cost(x, y), y["id"]) for y in every if y is not x)
+        assert best[x["id"]][1] == near[1] and abs(best[x["id"]][0] - near[0]) < 1e-9
+
+
+def test_ward_joins_of_many_centroids_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "DRIVER_ROWS", 10)
+    monkeypatch.setattr(cluster, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    cents = spark.createDataFrame([(n, 1.0, x.tolist()) for n, x in enumerate(rng.normal(size=(40, 3)))], "id long, n double, v array<double>")
+    plan = cluster.near_pairs(cents, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2
+    assert "BroadcastHashJoin" not in plan
