@@ -45,6 +45,8 @@ def text_gate(df: DataFrame, text: str = "text", min_chars: int = 50, max_ratio:
 
 #: Counters of a Misra-Gries summary: a token is counted too low by at most its creator's tokens / (COUNTERS + 1).
 COUNTERS = 63
+#: Creators whose summaries a task holds at a time.
+HELD = 2000
 
 
 def shrink(counts: Counter, most: int = COUNTERS) -> tuple[Counter, int]:
@@ -56,19 +58,29 @@ def shrink(counts: Counter, most: int = COUNTERS) -> tuple[Counter, int]:
 
 
 def _summaries(batches):
-    """(creator, total, lost, token, n): a summary a creator of what the task reads; one row with a null token carries total and lost."""
+    """(creator, total, lost, token, n): summaries of what the task reads; one row with a null token carries total and lost.
+
+    A summary a creator and HELD creators: then all are given out and begun anew, as summaries merge by sums wherever they come from.
+    """
     kept: dict[str, list] = {}
     for batch in batches:
-        for creator, text in zip(batch.column("creator").to_pylist(), batch.column("lowered").to_pylist(), strict=True):
-            found = word_counts(text or "")
+        for creator, text in zip(batch.column("creator"), batch.column("lowered"), strict=True):
+            creator, found = creator.as_py(), word_counts(text.as_py() or "")
+            if creator not in kept and len(kept) >= HELD:
+                yield _summary_rows(kept)
+                kept = {}
             own = kept.setdefault(creator, [0, 0, Counter()])
             own[0] += found.total()
             own[2].update(found)
             own[2], low = shrink(own[2])
             own[1] += low
+    yield _summary_rows(kept)
+
+
+def _summary_rows(kept: dict[str, list]) -> pa.RecordBatch:
     rows = [(c, total, lost, None, 0) for c, (total, lost, _) in kept.items()] + [(c, 0, 0, w, n) for c, (_, _, counts) in kept.items() for w, n in counts.items()]
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["creator", "total", "lost", "token", "n"])
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["creator", "total", "lost", "token", "n"])
 
 
 def heavy_tokens(videos: DataFrame, max_ratio: float = 0.4) -> DataFrame:

@@ -210,3 +210,45 @@ def test_block_search_sends_no_pairs_of_queries_and_blocks(spark, monkeypatch):
     plain = {(r.query, r.rank, r.creator, r.score) for r in search.search(entries, queries, 7).collect()}
     assert {(r.query, r.rank, r.creator, r.score) for r in found.collect()} == plain and len(plain) == 350
     assert "open" not in written and looked.count() > 50
+
+
+def test_a_task_holds_few_summaries_at_a_time(monkeypatch):
+    """Summaries are given out whenever enough creators are held, and their sums stay the same."""
+    import pyarrow as pa
+
+    rows = [(f"c{n % 7}", "a b a " + "c " * (n % 3)) for n in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["creator", "lowered"])
+
+    def sums(held):
+        monkeypatch.setattr(transcripts, "HELD", held)
+        out = list(transcripts._summaries([batch]))
+        found = {}
+        for b in out:
+            assert len(set(b.column("creator").to_pylist())) <= held
+            for r in b.to_pylist():
+                x = found.setdefault((r["creator"], r["token"]), [0, 0, 0])
+                x[0], x[1], x[2] = x[0] + r["total"], x[1] + r["lost"], x[2] + r["n"]
+        return found, len(out)
+
+    few, parts = sums(3)
+    assert parts > 1 and few == sums(100)[0]
+
+
+def test_media_are_split_in_slices_and_read_in_few_tasks(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(media, "PIECE_BYTES", 10)
+    sizes = [0, 4, 25, 3, 3, 3, 3, None, 30, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array([None if n is None else b"x" * n for n in sizes], pa.binary())], ["pcm"])
+    cut = list(media.pieces(batch, "pcm"))
+    assert len(cut) > 3 and pa.Table.from_batches(cut).column("pcm").to_pylist() == batch.column("pcm").to_pylist()
+    assert [p.num_rows for p in media.pieces(batch.slice(0, 0), "pcm")] in ([], [0])
+    for n in range(200):
+        (tmp_path / f"m/c{n % 9}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"m/c{n % 9}/{n}.mp4").write_bytes(b"x")
+    found = files.scan_media(spark, f"{tmp_path}/m", content=True, ordered=False)
+    assert found.count() == 200 and found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    stream = files.media_stream(spark, f"{tmp_path}/m", 100)
+    assert "Repartition" in stream._jdf.queryExecution().logical().toString()
+    assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) == 4 * spark.sparkContext.defaultParallelism
