@@ -80,10 +80,18 @@ def template(text: Column) -> Column:
 
 
 def windows(c: Column, width: int) -> Column:
-    """Hashes of the windows of width elements of c, at every element. c: a column, as its elements are read by place."""
-    n = F.size(c)
-    starts = F.when(n >= width, F.sequence(F.lit(0), n - width)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*(F.get(c, i + k) for k in range(width))))
+    """Hashes of the windows of width elements of c, at every element. c: a column, as it is read several times."""
+    return F.slice(_rolled(c, width), 1, F.greatest(F.size(c) - (width - 1), F.lit(0)))
+
+
+def _rolled(c: Column, width: int) -> Column:
+    """Hashes of width elements from every place of c on, made of those of half as many; behind the last whole window they cover less."""
+    if width == 1:
+        return F.transform(c, lambda x: F.xxhash64(x))
+    both = lambda a, b, after: F.zip_with(a, F.slice(b, after + 1, F.size(c)), lambda x, y: F.xxhash64(x, y))
+    if width == 2 or width % 2:
+        return both(c if width == 2 else _rolled(c, width - 1), c, width - 1)
+    return _let(_rolled(c, width // 2), lambda half: both(half, half, width // 2))
 
 
 def _is_slot(word: Column) -> Column:

@@ -225,3 +225,20 @@ def test_slots_and_consistency_match_brute_force(spark):
     got = {k: (r.doc_word, r.run_words, r.n_slots, r.n_changed) for k, r in leaks(spark, docs, texts).items()}
     assert got == want
     assert len(want) > 100 and sum(r[3] > 0 for r in want.values()) > 20
+
+
+def test_windows_are_made_of_half_windows(spark):
+    """Equal windows and no others have equal hashes, at every width, and a window costs a hash or two a doubling, not one a word."""
+    rng = random.Random(6)
+    rows = [(k, [rng.choice("ab") for _ in range(n)]) for k, n in enumerate([0, 1, 2, 5, 6, 7, 12, 13, 40, 60])]
+    df = spark.createDataFrame(rows, "id int, w array<string>")
+    for width in (1, 2, 3, 4, 5, 6, 7, 13):
+        known = {}
+        for row in df.select("w", dc.windows(F.col("w"), width).alias("h")).collect():
+            plain = [tuple(row.w[i : i + width]) for i in range(max(0, len(row.w) - width + 1))]
+            assert len(row.h) == len(plain)
+            for h, words in zip(row.h, plain, strict=True):
+                assert known.setdefault(h, words) == words
+        assert len(set(known.values())) == len(known)
+    assert dc.windows(F.col("w"), 64)._jc.toString().count("xxhash64") <= 2 * (64).bit_length()
+    assert dc.windows(F.col("w"), 64)._jc.toString().count("get(") == 0
