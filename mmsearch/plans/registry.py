@@ -590,7 +590,7 @@ def _texts_stream(t: Inputs) -> tuple[DataFrame, str]:
 def _(t: Inputs) -> DataFrame:
     stream, path = _texts_stream(t)
     out = files.shared_path(t.spark, "groups")
-    expected = ingest.expected_counts(t.video_texts())
+    expected = files.kept(ingest.expected_counts(t.video_texts()), "expected")  # every batch joins it
     ingest.run_available(ingest.complete_groups(stream, expected), out, files.shared_path(t.spark, "state"))
     return t.spark.read.schema("creator string, transcription string, complete boolean").parquet(out).select("creator", F.md5("transcription").alias("digest"), "complete")
 
@@ -612,8 +612,8 @@ def _(t: Inputs) -> DataFrame:
 def _(t: Inputs) -> DataFrame:
     stream, _ = _texts_stream(t)
     out = files.shared_path(t.spark, "upserts")
-    embeddings = t.embeddings()
-    groups = ingest.complete_groups(stream, ingest.expected_counts(t.video_texts()))
+    embeddings, expected = files.kept(t.embeddings(), "embeddings"), files.kept(ingest.expected_counts(t.video_texts()), "expected")  # every batch joins them
+    groups = ingest.complete_groups(stream, expected)
     build = lambda batch: index.build_index(embeddings, batch.select("creator", "transcription")).select("creator", "combined")
     ingest.index_merge(groups, build, out, files.shared_path(t.spark, "state"), buckets=8)
     return versioned.read(t.spark, out).select("creator", total(F.col("combined")).alias("combined"))

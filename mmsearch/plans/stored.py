@@ -104,7 +104,7 @@ WHERE part = 0 GROUP BY creator HAVING complete OR any_value(idle) > {_GAP_MS} O
 def _(t: Inputs) -> DataFrame:
     """Users as groups of their event types: complete with all of them, or out as they are after a day without an event."""
     rows = t.table("events").select(F.col("event_type").alias("mp4"), F.concat(F.lit("user_"), "user_id").alias("creator"), F.col("event_type").alias("text"), "ts")
-    expected, out, state = ingest.expected_counts(rows), files.shared_path(t.spark, "groups"), files.shared_path(t.spark, "state")
+    expected, out, state = files.kept(ingest.expected_counts(rows), "expected"), files.shared_path(t.spark, "groups"), files.shared_path(t.spark, "state")
     run = lambda stream: ingest.run_available(ingest.complete_groups(stream, expected, _GAP_MS, "ts"), out, state)
     _arrive(t, [rows.filter(s) for s in _SLICES], "mp4 string, creator string, text string, ts timestamp", run)
     return t.spark.read.schema(ingest.GROUPS).parquet(out)

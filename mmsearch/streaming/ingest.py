@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,10 +27,17 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 GROUPS = "creator string, transcription string, complete boolean"
 
 
+#: What the operator gets of a row, in this order; behind them only the event time that the watermark goes by.
+ARRIVED = ["creator", "mp4", "text", "at", "expected"]
+#: Texts of a group that wait in its one state value, whole and by characters; beyond, the map by path holds them.
+NEAR, NEAR_CHARS = 64, 1 << 18
+
+
 class _Group(StatefulProcessor):
     """Texts of one creator by path, how many there are, and whether the group is out.
 
-    A batch looks up and writes only the paths that arrive; all of them are read once, when the group comes out.
+    A call of the state store costs more than a row, so a small group is one value, read and written once a batch. The texts of a
+    larger one are a map: a batch looks up and writes only the paths that arrive; all of them are read once, when the group comes out.
     """
 
     def __init__(self, timeout_ms: int | None, event_time: bool):
@@ -40,48 +46,64 @@ class _Group(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.texts = handle.getMapState("texts", "mp4 string", "text string")
-        self.state = handle.getValueState("state", "n int, done boolean, last long, timer long")
+        self.state = handle.getValueState("state", "n int, done boolean, last long, timer long, far boolean, paths array<string>, near array<string>")
+
+    def _get(self) -> tuple:
+        n, done, last, timer, far, paths, near = self.state.get() or (0, False, None, None, False, [], [])
+        return n, done, last, timer, far, dict(zip(paths, near, strict=True))
 
-    def _out(self, key, complete: bool) -> pd.DataFrame:
-        found = sorted((k[0], v[0]) for k, v in self.texts.iterator())
-        self.texts.clear()
-        return pd.DataFrame({"creator": [key[0]], "transcription": [" ".join(t for _, t in found)], "complete": [complete]})
+    def _put(self, n, done, last, timer, far, near) -> None:
+        self.state.update((n, done, last, timer, far, list(near), list(near.values())))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, done, last, timer = self.state.get() if self.state.exists() else (0, False, None, None)
+    def _out(self, key, far: bool, near: dict, complete: bool) -> Row:
+        found = list(near.items())
+        if far:
+            found += ((k[0], v[0]) for k, v in self.texts.iterator())
+            self.texts.clear()
+        return Row(creator=key[0], transcription=" ".join(t for _, t in sorted(found)), complete=complete)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        n, done, last, timer, far, near = self._get()
         if done:
             return
-        batch = pd.concat(list(rows))
+        arrived = (tuple(r)[:5] for r in rows)  # as ARRIVED names them: a look-up by name costs more than a row
         if self.event_time:
-            batch = batch.sort_values(["at", "mp4"], kind="stable")
-        for mp4, text, need, at in zip(batch["mp4"], batch["text"], batch["expected"], batch["at"], strict=True):
+            arrived = sorted(arrived, key=lambda r: (r[3], r[1]))
+        complete, seen = False, set(near)
+        for _, mp4, text, at, expected in arrived:
             if self.event_time:
-                at = int(at)
                 if last is not None and at - last > self.timeout_ms:
-                    yield self._out(key, False)
                     done = True
                     break
                 last = at
-            if not self.texts.containsKey((mp4,)):
-                self.texts.updateValue((mp4,), ("" if text is None or pd.isna(text) else text,))
-                n += 1
-            if n >= int(need):
-                yield self._out(key, True)
-                done = True
+            if mp4 not in seen:
+                seen.add(mp4)
+                if not (far and self.texts.containsKey((mp4,))):
+                    near[mp4] = text or ""
+                    n += 1
+            if n >= expected:
+                done = complete = True
                 break
+        if done:
+            yield self._out(key, far, near, complete)
+            near = {}
+        elif far or len(near) > NEAR or sum(map(len, near.values())) > NEAR_CHARS:
+            for mp4, text in near.items():
+                self.texts.updateValue((mp4,), (text,))
+            far, near = True, {}
         if timer is not None and (done or self.timeout_ms is not None):
             self.handle.deleteTimer(timer)
             timer = None
         if not done and self.timeout_ms is not None:
             timer = (last if self.event_time else timerValues.getCurrentProcessingTimeInMs()) + self.timeout_ms
             self.handle.registerTimer(timer)
-        self.state.update((n, done, last, timer))
+        self._put(n, done, last, timer, far, near)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n, done, last, _ = self.state.get() if self.state.exists() else (0, False, None, None)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        n, done, last, _, far, near = self._get()
         if not done:
-            self.state.update((n, True, last, None))
-            yield self._out(key, False)
+            yield self._out(key, far, near, False)
+            self._put(n, True, last, None, far, {})
 
 
 def complete_groups(texts: DataFrame, expected: DataFrame, timeout_ms: int | None = None, event_time: str | None = None, delay: str = "0 seconds") -> DataFrame:
@@ -93,7 +115,8 @@ def complete_groups(texts: DataFrame, expected: DataFrame, timeout_ms: int | Non
     time, at the first gap longer than that or once the watermark, ``delay`` behind the latest row, is past the
     timeout. What arrives for a group that is out is dropped.
 
-    Texts are a map by path in RocksDB: a batch touches the arriving videos only, a finished group keeps a mark.
+    State is in RocksDB: a value a small group, a map by path a large one, of which a batch touches the arriving videos only. A finished
+    group keeps a mark. A checkpoint made while every group was a map is refused: begin a new one.
     """
     if event_time is not None and timeout_ms is None:
         raise ValueError("event_time is for timeouts: give timeout_ms")
@@ -105,8 +128,8 @@ def complete_groups(texts: DataFrame, expected: DataFrame, timeout_ms: int | Non
         mode = "EventTime"
         at = F.unix_millis(F.col(event_time)).alias("at")
         rows = texts.withWatermark(event_time, delay).select("mp4", "creator", "text", at, event_time)
-    joined = rows.join(expected, "creator")
-    return joined.groupBy("creator").transformWithStateInPandas(_Group(timeout_ms, event_time is not None), GROUPS, "Append", mode)
+    joined = rows.join(expected, "creator").select(*ARRIVED, *([] if event_time is None else [event_time]))
+    return joined.groupBy("creator").transformWithState(_Group(timeout_ms, event_time is not None), GROUPS, "Append", mode)
 
 
 def drop_repeats(rows: DataFrame, key: list[str], event_time: str, delay: str) -> DataFrame:
