@@ -121,10 +121,24 @@ def read(spark: SparkSession, root: str, number: int | None = None) -> DataFrame
     return _load(spark, root, version)
 
 
-def _write(df: DataFrame, root: str, buckets: int) -> tuple[str, list[int]]:
-    """Rows with a bucket column into a fresh folder; a task for each bucket. Returns the folder and the buckets it holds."""
+#: Bytes of stored rows that one task writes, about.
+TASK_BYTES = 32 << 20
+
+
+def _bytes(spark: SparkSession, root: str, folders) -> int:
+    """Stored bytes of some folders, whole."""
+    total = 0
+    for folder in folders:
+        fs, at = _fs(spark, f"{root}/{folder}")
+        total += fs.getContentSummary(at).getLength()
+    return total
+
+
+def _write(df: DataFrame, root: str, key: str, buckets: int, parts: int) -> tuple[str, list[int]]:
+    """Rows with a bucket column into a fresh folder; ``parts`` tasks for each bucket. Returns the folder and the buckets it holds."""
     spark, folder = df.sparkSession, f"data/{uuid.uuid4().hex}"
-    df.repartition(max(1, buckets), BUCKET).write.partitionBy(BUCKET).parquet(f"{root}/{folder}")
+    place = F.col(BUCKET) * parts + F.pmod(F.hash(key), F.lit(parts))
+    df.repartitionById(max(1, buckets * parts), place.cast("int")).write.partitionBy(BUCKET).parquet(f"{root}/{folder}")
     return folder, [int(n.split("=")[1]) for n in _names(spark, f"{root}/{folder}") if n.startswith(f"{BUCKET}=")]
 
 
@@ -142,14 +156,14 @@ def overwrite(df: DataFrame, root: str, key: str | None = None, buckets: int = 1
         df.write.parquet(f"{root}/{folder}")
         folders = {"0": folder}
     else:
-        folder, held = _write(df.withColumn(BUCKET, _bucket(key, buckets)), root, buckets)
+        folder, held = _write(df.withColumn(BUCKET, _bucket(key, buckets)), root, key, buckets, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets))
         folders = {str(b): f"{folder}/{BUCKET}={b}" for b in held}
     return _commit(spark, root, Version(1 + (before.number if before else 0), _ddl(df), key, buckets, batch, folders))
 
 
 def _last(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key by ``order``, combined before the shuffle."""
-    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.col(order)).alias("row")).select("row.*")
+    """(row, n): the last row of each key by ``order`` and how many there are, combined before the shuffle."""
+    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(order)).alias("row"), F.count("*").alias("n")).select("row", "n")
 
 
 def upsert(df: DataFrame, root: str, key: str, order: str, buckets: int = 64, batch: int | None = None) -> Version:
@@ -171,8 +185,11 @@ def upsert(df: DataFrame, root: str, key: str, order: str, buckets: int = 64, ba
     else:
         before = _commit(spark, root, Version(1, _ddl(df), key, buckets))
     staged = f"{root}/data/{uuid.uuid4().hex}"
-    _last(df.filter(F.col(key).isNotNull()), key, order).withColumn(BUCKET, _bucket(key, buckets)).write.parquet(staged)
-    rows = spark.read.parquet(staged)
+    _last(df, key, order).withColumn(BUCKET, _bucket(F.col(f"row.{key}"), buckets)).write.parquet(staged)  # df is computed here and nowhere else
+    both = spark.read.parquet(staged)
+    known = F.col(f"row.{key}").isNotNull()
+    rows = both.filter(known).select("row.*", BUCKET)
+    rejected = both.filter(~known).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     touched = {r[0] for r in rows.select(BUCKET).distinct().collect()}  # at most ``buckets`` small numbers
     if not touched:
         return before
@@ -180,10 +197,11 @@ def upsert(df: DataFrame, root: str, key: str, order: str, buckets: int = 64, ba
     new = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema), BUCKET)
     old = _load(spark, root, before, touched).withColumn(BUCKET, _bucket(key, buckets))
     kept = old.join(new.select(F.col(key)), key, "left_anti").select(*new.columns)
-    folder, held = _write(kept.unionByName(new), root, len(touched))
+    stored = _bytes(spark, root, [staged.removeprefix(f"{root}/"), *(p for b, p in before.folders.items() if int(b) in touched)])
+    folder, held = _write(kept.unionByName(new), root, key, buckets, max(1, -(-stored // (len(touched) * TASK_BYTES))))
     folders = {b: p for b, p in before.folders.items() if int(b) not in touched} | {str(b): f"{folder}/{BUCKET}={b}" for b in held}
     replaced = old.join(new.select(F.col(key)), key, "left_semi").count()
-    counts = {"inserted": rows.count() - replaced, "replaced": replaced, "rejected": df.filter(F.col(key).isNull()).count()}
+    counts = {"inserted": rows.count() - replaced, "replaced": replaced, "rejected": rejected}
     version = _commit(spark, root, Version(before.number + 1, before.schema, key, buckets, batch if batch is not None else before.batch, folders, counts))
     _remove(spark, staged)
     return version
