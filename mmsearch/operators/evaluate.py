@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .search import crossed
+
 
 def apply_judgments(labels: DataFrame, judgments: DataFrame) -> DataFrame:
     """Fills blank labels from (query, creator, judged); adds filled."""
@@ -27,7 +29,7 @@ def precision_at_k(labels: DataFrame) -> DataFrame:
 
 def avg_precision(precision: DataFrame, configs: DataFrame, queries: DataFrame) -> DataFrame:
     """A5: (config_pos, config, avg_precision); a query without rows counts 0."""
-    grid = configs.select("config_pos", "config").crossJoin(queries.select("query"))
+    grid = crossed(configs.select("config_pos", "config"), queries.select("query"), F.length("query"))
     return grid.join(precision, ["config", "query"], "left").groupBy("config_pos", "config").agg(F.avg(F.coalesce("precision", F.lit(0.0))).alias("avg_precision"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
@@ -13,15 +13,29 @@ from ..sources.files import kept
 #: Queries, and entries, whose products are one matrix.
 QUERY_BLOCK = 1024
 ENTRY_BLOCK = 4096
-#: Bytes of packed queries that are broadcast; more of them meet the entries by a nested join of packs.
+#: Bytes of queries, packed or not, that are broadcast; more of them meet the entries by a nested join.
 BROADCAST_BYTES = 64 << 20
 #: Queries and entries of a cell of the grid of a block search, and queries whose products with some blocks are one matrix.
 GRID_QUERIES, GRID_ENTRIES, CHUNK = 8192, 32768, 256
 
 
+def crossed(left: DataFrame, right: DataFrame, size: Column) -> DataFrame:
+    """Every pair of rows. right is broadcast while the ``size`` of its rows comes to BROADCAST_BYTES at most: Spark's own estimate goes by the table they were filtered from.
+
+    Beyond, left is written first, as it is read once a partition of right.
+    """
+    if (right.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES:
+        return left.crossJoin(F.broadcast(right))
+    return kept(left, "left").crossJoin(right)
+
+
+def query_size() -> Column:
+    return 8 * F.size("q") + F.length("query")
+
+
 def score_cross(entries: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, creator, score) of every entry for a stated query set; Spark broadcasts it by its size."""
-    return entries.select("creator", "combined").crossJoin(queries).select("query", "creator", dot(F.col("combined"), F.col("q")).alias("score"))
+    """(query, creator, score) of every entry for a stated query set."""
+    return crossed(entries.select("creator", "combined"), queries, query_size()).select("query", "creator", dot(F.col("combined"), F.col("q")).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, by: list[str], tie: str = "creator") -> DataFrame:
@@ -89,7 +103,7 @@ def search(entries: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     A query with a repeated name is one with the rows of both. For many queries over a standing index see ``search_blocks``.
     """
     held, asked = packs(entries, queries)
-    size = queries.agg(F.sum(8 * F.size("q") + F.length("query"))).first()[0] or 0
+    size = queries.agg(F.sum(query_size())).first()[0] or 0
     pairs = held.crossJoin(F.broadcast(asked) if size <= BROADCAST_BYTES else asked)
     found = pairs.mapInArrow(_products(k), "query string, creator string, score double")
     return top_k(found, k, ["query"]).select("query", "rank", "creator", "score")
@@ -319,9 +333,9 @@ def config_sweep(embeddings: DataFrame, configs: DataFrame, queries: DataFrame,
     """
     img, txt = F.col("img"), F.col("txt")
     own = embeddings.select("creator", img.alias("img"), txt.alias("txt"), dot(img, img).alias("ii"), dot(img, txt).alias("it"), dot(txt, txt).alias("tt"))
-    near = own.crossJoin(queries).select("creator", "query", "ii", "it", "tt", dot(F.col("img"), F.col("q")).alias("iq"), dot(F.col("txt"), F.col("q")).alias("tq"))
+    near = crossed(own, queries, query_size()).select("creator", "query", "ii", "it", "tt", dot(F.col("img"), F.col("q")).alias("iq"), dot(F.col("txt"), F.col("q")).alias("tq"))
     wi, wt = F.col("image_weight"), F.col("text_weight")
     norm = F.sqrt(F.greatest(wi * wi * F.col("ii") + 2 * wi * wt * F.col("it") + wt * wt * F.col("tt"), F.lit(0.0)))
-    both = near.crossJoin(configs).withColumn("norm", norm).withColumn("score", wi * F.col("iq") + wt * F.col("tq"))
+    both = crossed(near, configs, 16 + F.length("config")).withColumn("norm", norm).withColumn("score", wi * F.col("iq") + wt * F.col("tq"))
     scored = both.select("config", "image_weight", "text_weight", "query", "creator", F.when(F.col("norm") == 0, F.col("score")).otherwise(F.col("score") / F.col("norm")).alias("score"))
     return top_k(scored, k, ["config", "query"])

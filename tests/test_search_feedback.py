@@ -109,6 +109,43 @@ def test_precision_winner_and_blank_labels(spark):
     assert evaluate.precision_table(precision, ["q1", "q2"]).filter("config = 'a'").first()["q2"] == 0.0
 
 
+@pytest.mark.parametrize("most", [search.BROADCAST_BYTES, 0])
+def test_a_sweep_computes_each_creator_once(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(search, "BROADCAST_BYTES", most)
+    rng, computed = np.random.default_rng(3), spark.sparkContext.accumulator(0)
+    img, txt = rng.normal(size=(2, 60, 8))
+    rows = spark.createDataFrame([(f"c{k:03d}", a.tolist(), b.tolist()) for k, (a, b) in enumerate(zip(img, txt, strict=True))], "creator string, img array<double>, txt array<double>")
+
+    def counted(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    weights = [("a", 1.0, 0.0), ("b", 0.5, 0.5), ("c", 0.15, 0.85)]
+    configs = spark.createDataFrame(weights, "config string, image_weight double, text_weight double")
+    asked = rng.normal(size=(4, 8))
+    path = f"{tmp_path}/queries"
+    spark.createDataFrame([(f"q{k}", q.tolist()) for k, q in enumerate(asked)], "query string, q array<double>").repartition(4).write.parquet(path)
+    queries = spark.read.parquet(path)
+    got = search.config_sweep(rows.mapInArrow(counted, rows.schema), configs, queries, 5).collect()
+    assert computed.value == 60
+    for name, wi, wt in weights:
+        fused = wi * img + wt * txt
+        scores = asked @ (fused / np.linalg.norm(fused, axis=1, keepdims=True)).T
+        for k in range(4):
+            own = sorted((r for r in got if (r.config, r.query) == (name, f"q{k}")), key=lambda r: r["rank"])
+            best = np.argsort(-scores[k])[:5]
+            assert [r.creator for r in own] == [f"c{i:03d}" for i in best] and np.allclose([r.score for r in own], scores[k][best])
+
+
+def test_the_grid_of_configs_and_queries_is_no_product_of_partitions(spark):
+    configs = spark.createDataFrame([(0, "a")], "config_pos int, config string")
+    queries = spark.createDataFrame([("q1",)], "query string").repartition(4)
+    precision = spark.createDataFrame([("a", "q1", 0.5)], "config string, query string, precision double")
+    average = evaluate.avg_precision(precision, configs, queries)
+    assert "CartesianProduct" not in average._jdf.queryExecution().executedPlan().toString() and average.first().avg_precision == 0.5
+
+
 def test_repeated_profiles_fail(spark):
     creators = spark.createDataFrame([("a",), ("b",)], "creator string")
     profiles = spark.createDataFrame([("a", 5, None), ("x", 1, 1)], "username string, follower_count long, video_count long")
