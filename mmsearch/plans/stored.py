@@ -206,7 +206,7 @@ _SAID = f"""said AS (
 def _(t: Inputs) -> DataFrame:
     """Audio of all documents cut into chunks of 30 s, transcribed in batches of 16, segments gated and joined to a text a file."""
     pcm = t.table("documents").select(F.col("doc_id").alias("mp4"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("audio_pcm"))
-    chunks = media.pcm_to_float(media.chunk_audio(pcm, seconds=30, rate=16, most_seconds=None).select("mp4", "chunk_idx", "pcm"))
+    chunks = media.chunk_audio(pcm, seconds=30, rate=16, most_seconds=None)
     segments = media.transcribe(chunks, media.counting_speech(3), 480)
     return transcripts.join_chunks(segments.filter(transcripts.segment_ok())).withColumnRenamed("mp4", "doc_id")
 

@@ -149,6 +149,25 @@ def test_chunks_become_segments(spark):
         media.transcribe(chunks, media.counting_speech(3), 6).collect()
 
 
+def test_pcm_is_transcribed_as_its_samples_by_one_python_worker(spark):
+    audio = [np.arange(k - 20, k, dtype="<i2").tobytes()[: 2 * k + k % 2] for k in range(10)]
+    rows = [(f"v{k}", k % 3, pcm) for k, pcm in enumerate(audio)] + [("none", 0, None)]
+    chunks = spark.createDataFrame(rows, "mp4 string, chunk_idx int, pcm binary").coalesce(2)
+    said = media.transcribe(chunks, media.counting_speech(3), 9, 4)
+    assert sorted(map(tuple, said.collect())) == sorted(map(tuple, media.transcribe(media.pcm_to_float(chunks), media.counting_speech(3), 9, 4).collect()))
+    plan = said._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
+    with pytest.raises(Exception, match="longer than the model"):
+        media.transcribe(chunks, media.counting_speech(3), 6).collect()
+
+
+def test_the_transcribe_query_has_one_python_step(spark, sf_dir):
+    from __spark_entry__ import queries
+
+    plan = queries()["M2_M3_M4_F7_A2_transcribe"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
+
+
 def test_heavy_tokens_over_videos(spark, monkeypatch):
     monkeypatch.setattr(transcripts, "COUNTERS", 9)
     rng = np.random.default_rng(4)
