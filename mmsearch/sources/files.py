@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import creator_of, strip
-from . import schemas, versioned
+from . import schemas, tree, versioned
 
 CSV = {"header": True, "multiLine": True, "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
@@ -87,9 +87,17 @@ def _list_in_few_tasks(spark: SparkSession) -> int:
 def scan_media(spark: SparkSession, path: str, content: bool = False, ordered: bool = True) -> DataFrame:
     """(mp4, creator[, content]) of path/<creator>/*.mp4; names that begin with _ are skipped; sorted by creator, path unless ``ordered`` is False.
 
-    Sorting reads every file twice and sends its content through a shuffle: ask for it only where the order matters.
+    Tasks list the folders when this is called and keep the list in the shared folder; its paths are sorted, never the content. In a
+    store that only Spark opens, its own reader is used, with which the driver lists all files and sorting sends their content through a shuffle.
     """
     tasks = _list_in_few_tasks(spark)
+    if place := tree.opened(spark, path):
+        found = tree.names(spark, place, [lambda name: not tree.hidden(name) and not name.startswith("_")], lambda name: not tree.hidden(name) and name.endswith(".mp4"))
+        listed = kept(tree.paths(found, place), "media_list")
+        if ordered:
+            listed = listed.repartitionByRange(tasks, creator_of(F.col("path")), "path").sortWithinPartitions(creator_of(F.col("path")), "path")
+        rows = tree.contents(listed, place) if content else listed
+        return rows.select(F.col("path").alias("mp4"), creator_of(F.col("path")).alias("creator"), *(["content"] if content else []))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.mp4").load(path)
     rows = files.select(F.col("path").alias("mp4"), creator_of(F.col("path")).alias("creator"), *(["content"] if content else []))
     depth = len(_plain(path).split("/"))
@@ -99,19 +107,22 @@ def scan_media(spark: SparkSession, path: str, content: bool = False, ordered: b
 
 
 def scan_frames(spark: SparkSession, path: str, exts: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
-    """(creator, frame_path, content) of path/<creator>/**/frames/*; unreadable files are skipped."""
+    """(creator, frame_path, content) of path/<creator>/**/frames/*; unreadable files are skipped. Listed as by ``scan_media``."""
+    picture = rf"/frames/[^/]+\.({'|'.join(exts)})$"
+    if place := tree.opened(spark, path):
+        seen = lambda name: not any(map(tree.hidden, name.split("/")))
+        found = tree.names(spark, place, [seen], seen, deep=True).filter(F.lower("name").rlike(picture))
+        rows = tree.contents(kept(tree.paths(found, place), "frame_list"), place, unreadable=True).withColumnRenamed("path", "frame_path")
+        return rows.select(F.split(F.substring("frame_path", len(place.path) + 2, 2**31 - 1), "/")[0].alias("creator"), "frame_path", "content")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(path)
     rest = F.substring(F.regexp_replace("path", "^file:/+", "/"), len(_plain(path)) + 2, 2**31 - 1)
-    ok = F.lower("path").rlike(rf"/frames/[^/]+\.({'|'.join(exts)})$")
-    return files.filter(ok).select(F.element_at(F.split(rest, "/"), 1).alias("creator"), F.col("path").alias("frame_path"), "content")
+    return files.filter(F.lower("path").rlike(picture)).select(F.element_at(F.split(rest, "/"), 1).alias("creator"), F.col("path").alias("frame_path"), "content")
 
 
 def write_media(df: DataFrame, root: str) -> str:
     """Files (path below root, content) written by the tasks that hold them, to any store that Arrow opens; a task that runs again writes the same files."""
 
-    spark = df.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(root)
-    full = re.sub("^file:/+", "file:///", place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString())
+    full = tree.qualified(df.sparkSession, root).uri
 
     def run(batches):
         fs, base = pafs.FileSystem.from_uri(full)
