@@ -25,26 +25,40 @@ def pieces(batch: pa.RecordBatch, column: str):
         yield batch.slice(begin, end - begin)
 
 
+def _split(batches, column: str, most: int):
+    for batch in (x for whole in batches for x in pieces(whole, column)):
+        mp4, idx, jpeg = [], [], []
+        for name, stream in zip(batch.column("mp4").to_pylist(), batch.column(column).to_pylist(), strict=True):
+            at = 0
+            for k in range(most):
+                begin = (stream or b"").find(b"\xff\xd8", at)
+                end = stream.find(b"\xff\xd9", begin + 2) if begin >= 0 else -1
+                if end < 0:
+                    break
+                at = end + 2
+                mp4.append(name)
+                idx.append(k)
+                jpeg.append(stream[begin:at])
+        yield pa.RecordBatch.from_arrays([pa.array(mp4, pa.string()), pa.array(idx, pa.int32()), pa.array(jpeg, pa.binary())], ["mp4", "frame_idx", "jpeg"])
+
+
 def split_frames(df: DataFrame, most: int = 10) -> DataFrame:
     """M1: (mp4, frame_idx, jpeg) from (mp4, stream): FFD8 to the next FFD9, at most ``most``; an unterminated frame ends it."""
+    return df.select("mp4", "stream").mapInArrow(lambda batches: _split(batches, "stream", most), "mp4 string, frame_idx int, jpeg binary")
+
+
+def frames_step(decode: Callable, most: int = 10) -> tuple[Callable, str]:
+    """M1 and the decoding of M4 as a step for the tasks that read media: (mp4, frame_idx, pixels) of batches (mp4, content), as split_frames and decode_frames give them.
+
+    Content, pictures and pixels are one Python worker's, a slice of PIECE_BYTES at a time.
+    """
 
     def run(batches):
-        for batch in (x for whole in batches for x in pieces(whole, "stream")):
-            mp4, idx, jpeg = [], [], []
-            for name, stream in zip(batch.column("mp4").to_pylist(), batch.column("stream").to_pylist(), strict=True):
-                at = 0
-                for k in range(most):
-                    begin = (stream or b"").find(b"\xff\xd8", at)
-                    end = stream.find(b"\xff\xd9", begin + 2) if begin >= 0 else -1
-                    if end < 0:
-                        break
-                    at = end + 2
-                    mp4.append(name)
-                    idx.append(k)
-                    jpeg.append(stream[begin:at])
-            yield pa.RecordBatch.from_arrays([pa.array(mp4, pa.string()), pa.array(idx, pa.int32()), pa.array(jpeg, pa.binary())], ["mp4", "frame_idx", "jpeg"])
-
-    return df.select("mp4", "stream").mapInArrow(run, "mp4 string, frame_idx int, jpeg binary")
+        for batch in _split(batches, "content", most):
+            pixels = pa.array([decode(x) for x in batch.column("jpeg").to_pylist()], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pixels], ["mp4", "frame_idx", "pixels"]).filter(pixels.is_valid())
+
+    return run, "mp4 string, frame_idx int, pixels array<float>"
 
 
 def chunk_audio(df: DataFrame, seconds: int = 30, rate: int = 16000, most_seconds: int | None = 180, skip_seconds: int = 0) -> DataFrame:
@@ -109,8 +123,9 @@ def decode_bytes(side: int = 8) -> Callable:
     def decode(jpeg: bytes | None) -> np.ndarray | None:
         if jpeg is None or len(jpeg) < 4 or jpeg[:2] != b"\xff\xd8":
             return None
-        own = np.frombuffer(jpeg[: side * side], np.uint8).astype(np.float32)
-        return np.pad(own, (0, side * side - len(own)))
+        pixels, own = np.zeros(side * side, np.float32), np.frombuffer(jpeg[: side * side], np.uint8)
+        pixels[: len(own)] = own
+        return pixels
 
     return decode
 

@@ -157,9 +157,11 @@ def _videos(t: Inputs) -> DataFrame:
     return t.video_texts().select(F.concat("creator", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".mp4")).alias("path"), stream.alias("content"))
 
 
-def _frame_vectors(videos: DataFrame) -> DataFrame:
-    frames = media.split_frames(videos.select("mp4", F.col("content").alias("stream")))
-    return media.encode_frames(media.decode_frames(frames, media.decode_bytes(8)), media.row_sums(8), [8, 8]).select("mp4", "frame_idx", "v")
+_FRAMES = media.frames_step(media.decode_bytes(8))
+
+
+def _frame_vectors(frames: DataFrame) -> DataFrame:
+    return media.encode_frames(frames, media.row_sums(8), [8, 8]).select("mp4", "frame_idx", "v")
 
 
 def _pooled(vectors: DataFrame) -> DataFrame:
@@ -171,7 +173,7 @@ def _pooled(vectors: DataFrame) -> DataFrame:
 def _(t: Inputs) -> DataFrame:
     """Media files of all creators scanned, split, decoded, encoded in batches of frames and pooled."""
     root = files.write_media(_videos(t), files.shared_path(t.spark, "media"))
-    vectors = _frame_vectors(files.scan_media(t.spark, root, content=True, ordered=False).select("mp4", "content"))
+    vectors = _frame_vectors(files.scan_media(t.spark, root, ordered=False, then=_FRAMES))
     return _pooled(files.kept(vectors, "vectors"))  # read for the creators and for the means
 
 
@@ -180,7 +182,7 @@ def _(t: Inputs) -> DataFrame:
     """The same files as a stream, moved to an archive once encoded; the vectors of finished batches are pooled."""
     root = files.write_media(_videos(t), files.shared_path(t.spark, "media"))
     out, state, archive = (files.shared_path(t.spark, n) for n in ("vectors", "state", "archive"))
-    ingest.run_available(_frame_vectors(files.media_stream(t.spark, root, 4000, archive=archive)), out, state)
+    ingest.run_available(_frame_vectors(files.media_stream(t.spark, root, 4000, archive=archive, then=_FRAMES)), out, state)
     return _pooled(t.spark.read.schema("mp4 string, frame_idx int, v array<double>").parquet(out))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import creator_of, strip
-from . import schemas, tree, versioned
+from . import arrivals, schemas, tree, versioned
 
 CSV = {"header": True, "multiLine": True, "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
@@ -84,9 +84,10 @@ def _list_in_few_tasks(spark: SparkSession) -> int:
     return tasks
 
 
-def scan_media(spark: SparkSession, path: str, content: bool = False, ordered: bool = True) -> DataFrame:
+def scan_media(spark: SparkSession, path: str, content: bool = False, ordered: bool = True, then: tree.Step | None = None) -> DataFrame:
     """(mp4, creator[, content]) of path/<creator>/*.mp4; names that begin with _ are skipped; sorted by creator, path unless ``ordered`` is False.
 
+    ``then``, a step on Arrow batches (mp4, creator, content) and its schema, runs where the files are read, and its rows are returned.
     Tasks list the folders when this is called and keep the list in the shared folder; its paths are sorted, never the content. In a
     store that only Spark opens, its own reader is used, with which the driver lists all files and sorting sends their content through a shuffle.
     """
@@ -96,14 +97,15 @@ def scan_media(spark: SparkSession, path: str, content: bool = False, ordered: b
         listed = kept(tree.paths(found, place), "media_list")
         if ordered:
             listed = listed.repartitionByRange(tasks, creator_of(F.col("path")), "path").sortWithinPartitions(creator_of(F.col("path")), "path")
-        rows = tree.contents(listed, place) if content else listed
-        return rows.select(F.col("path").alias("mp4"), creator_of(F.col("path")).alias("creator"), *(["content"] if content else []))
+        rows = listed.select(F.col("path").alias("mp4"), creator_of(F.col("path")).alias("creator"))
+        return tree.contents(rows, place, "mp4", then=then) if content or then else rows
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.mp4").load(path)
-    rows = files.select(F.col("path").alias("mp4"), creator_of(F.col("path")).alias("creator"), *(["content"] if content else []))
+    rows = files.select(F.col("path").alias("mp4"), creator_of(F.col("path")).alias("creator"), *(["content"] if content or then else []))
     depth = len(_plain(path).split("/"))
     plain = F.regexp_replace("mp4", "^file:/+", "/")
     found = rows.filter((F.size(F.split(plain, "/")) == depth + 2) & ~F.col("creator").startswith("_"))
-    return found.orderBy("creator", "mp4") if ordered else found.coalesce(tasks)  # else a task reads a few small files only
+    found = found.orderBy("creator", "mp4") if ordered else found.coalesce(tasks)  # else a task reads a few small files only
+    return found.mapInArrow(*then) if then else found
 
 
 def scan_frames(spark: SparkSession, path: str, exts: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
@@ -144,17 +146,27 @@ def write_media(df: DataFrame, root: str) -> str:
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
-def media_stream(spark: SparkSession, root: str, per_trigger: int = 100, glob: str = "*/*.mp4", archive: str | None = None) -> DataFrame:
+def media_stream(spark: SparkSession, root: str, per_trigger: int = 100, glob: str = "*/*.mp4", archive: str | None = None, then: tree.Step | None = None) -> DataFrame:
     """S14 over S3: (mp4, creator, content) of media files as they arrive, ``per_trigger`` a micro-batch; unreadable, vanished and empty files are skipped.
 
-    With ``archive``, a folder outside root, files are moved there once their batch is done.
+    With ``archive``, a folder of the same store outside root, files are moved there once their batch is done. ``then`` is as in ``scan_media``.
+
+    What is there is found by tasks when this is called, later whenever a query has nothing left to read, and noted in a table beside
+    the media that the stream reads (``arrivals``). Stores that only Spark opens, patterns beyond * and ? and a root that isn't there
+    yet are left to Spark's own file stream, with which the driver holds the list of all files.
     """
+    tasks = _list_in_few_tasks(spark)
+    place = tree.opened(spark, root)
+    if place and arrivals.simple(glob):
+        noted = arrivals.stream(spark, place, glob, per_trigger, archive)
+        rows = noted.select(F.col("path").alias("mp4"), creator_of(F.col("path")).alias("creator")).filter(~F.col("creator").startswith("_"))
+        return tree.contents(rows, place, "mp4", unreadable=True, vanished=True, then=then)
     options = {"maxFilesPerTrigger": per_trigger, "ignoreCorruptFiles": True, "ignoreMissingFiles": True}
     if archive is not None:
         options |= {"cleanSource": "archive", "sourceArchiveDir": archive}
-    tasks = _list_in_few_tasks(spark)
     rows = spark.readStream.format("binaryFile").schema(BINARY).options(**options).load(f"{root}/{glob}")
-    return rows.select(F.col("path").alias("mp4"), creator_of(F.col("path")).alias("creator"), "content").filter(~F.col("creator").startswith("_")).coalesce(tasks)
+    rows = rows.select(F.col("path").alias("mp4"), creator_of(F.col("path")).alias("creator"), "content").filter(~F.col("creator").startswith("_")).coalesce(tasks)
+    return rows.mapInArrow(*then) if then else rows
 
 
 def write_index(entries: DataFrame, path: str) -> str:

@@ -80,13 +80,18 @@ def paths(found: DataFrame, tree: Tree) -> DataFrame:
     return found.select(F.concat(F.lit(tree.path), "name").alias("path"))
 
 
-def contents(df: DataFrame, tree: Tree, unreadable: bool = False, vanished: bool = False) -> DataFrame:
-    """Adds content to (path, ...) of files below a tree, in the order of the rows; with the flags, such files are skipped.
+#: What a task makes of batches of files besides reading them, and the schema of that.
+Step = tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str]
 
-    A task holds one file or about PIECE_BYTES of smaller ones at a time.
+
+def contents(df: DataFrame, tree: Tree, column: str = "path", unreadable: bool = False, vanished: bool = False, then: Step | None = None) -> DataFrame:
+    """Adds content to rows with the path of a file below a tree, in their order; with the flags, such files are skipped.
+
+    A task holds one file or about PIECE_BYTES of smaller ones at a time. ``then`` takes them in the same Python worker, so that
+    no content goes through Spark; the result is its.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(tree.uri)
         base = base.rstrip("/")
 
@@ -95,7 +100,7 @@ def contents(df: DataFrame, tree: Tree, unreadable: bool = False, vanished: bool
 
         for batch in batches:
             at, held, size = [], [], 0
-            for n, path in enumerate(batch.column("path").to_pylist()):
+            for n, path in enumerate(batch.column(column).to_pylist()):
                 try:
                     with fs.open_input_file(base + path[len(tree.path) :]) as file:
                         content = file.read()
@@ -116,5 +121,32 @@ def contents(df: DataFrame, tree: Tree, unreadable: bool = False, vanished: bool
             if at:
                 yield given()
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return df.mapInArrow(run, f"{fields}, content binary")
+    if then is None:
+        fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+        return df.mapInArrow(read, f"{fields}, content binary")
+    step, schema = then
+    return df.mapInArrow(lambda batches: step(read(batches)), schema)
+
+
+def move(df: DataFrame, tree: Tree, target: Tree, column: str = "path") -> int:
+    """Files below a tree to target, a folder of the same store, under their full paths; those that are gone or can't be moved stay. Returns how many were moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(tree.uri)
+        base, there = base.rstrip("/"), pafs.FileSystem.from_uri(target.uri)[1].rstrip("/")
+        for batch in batches:
+            n, made = 0, set()
+            for path in batch.column(column).to_pylist():
+                place = base + path[len(tree.path) :]
+                new = f"{there}/{place.lstrip('/')}"
+                try:
+                    if (folder := new.rsplit("/", 1)[0]) not in made:
+                        fs.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    fs.move(place, new)
+                    n += 1
+                except OSError:
+                    pass
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return df.select(column).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..sources import versioned
+from ..sources import arrivals, versioned
 from ..sources.files import feedback_ok, validate_feedback
 
 
@@ -143,7 +143,9 @@ def drop_repeats(rows: DataFrame, key: list[str], event_time: str, delay: str) -
 
 def run_available(df: DataFrame, path: str, checkpoint: str) -> None:
     """Drain what is there into parquet under path and stop."""
-    df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    query = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    arrivals.settled(df.sparkSession, query)
 
 
 def index_upsert(groups: DataFrame, build, path: str, checkpoint: str) -> None:
